@@ -8,21 +8,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ledger
+from . import ledger, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: TESTDATA.md fixes runs of 4 tokens and an overlap of 0.7 for the pages of problems 1 and 3.
+RUN_OF, OVERLAP = 4, 0.7
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "crawl_pages", "page_id", "content").toDF("id", "text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs, pairs = near_duplicates.similar_classes(_pages(spark, folder), RUN_OF, OVERLAP)
+    urls = table(spark, folder, "crawl_pages", "page_id", "unique_url").toDF("id", "value")
+    return near_duplicates.record_pairs(docs, pairs, urls).toDF("page_id_a", "page_id_b")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups(*near_duplicates.similar_classes(_pages(spark, folder), RUN_OF, OVERLAP)).toDF("page_id", "group_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p6_found": p6_found,
 }
 
+_RUNS = """
+    SELECT id, list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i+3], ' '))) AS s
+    FROM (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM ({}) d) x WHERE len(t) >= 4"""
+
+_P1 = f"""
+WITH sets AS (SELECT x.id, u.unique_url, s FROM ({_RUNS.format("SELECT DISTINCT page_id AS id, content FROM crawl_pages")}) x JOIN (SELECT DISTINCT page_id AS id, unique_url FROM crawl_pages) u USING (id)),
+runs AS (SELECT id, unique_url, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+df AS (SELECT h, count(*) AS c FROM runs GROUP BY h),
+ranked AS (SELECT id, unique_url, n, h, row_number() OVER (PARTITION BY id ORDER BY c, h) AS place FROM runs JOIN df USING (h)),
+heads AS (SELECT * FROM ranked WHERE place <= n - ceil(0.7 * n - 1e-9) + 1),
+maybe AS (SELECT DISTINCT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.h = b.h AND a.id < b.id),
+pairs AS (
+  SELECT m.a, m.b, x.unique_url AS ua, y.unique_url AS ub FROM maybe m JOIN sets x ON x.id = m.a JOIN sets y ON y.id = m.b
+  WHERE len(list_intersect(x.s, y.s)) >= 0.7 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9
+)"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _P1 + "SELECT a AS page_id_a, b AS page_id_b FROM pairs WHERE ua IS DISTINCT FROM ub",
+    "p1_groups": _P1.replace("WITH sets", "WITH RECURSIVE sets") + """
+        , links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM sets),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT a AS page_id, min(b) AS group_id FROM reach GROUP BY a""",
     "p6_found": """
         SELECT link_id FROM (SELECT link_id, unique_url, min(link_id) OVER (PARTITION BY unique_url) AS first_at FROM page_links WHERE unique_url IS NOT NULL) x
         WHERE link_id > first_at OR unique_url IN (SELECT unique_url FROM seed_urls WHERE unique_url IS NOT NULL)""",
