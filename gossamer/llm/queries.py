@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ledger, near_duplicates
+from . import ledger, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,14 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(*near_duplicates.similar_classes(_pages(spark, folder), RUN_OF, OVERLAP)).toDF("page_id", "group_id")
 
 
+def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.term_counts(table(spark, folder, "index_docs", "contents", "title"), ["contents", "title"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_terms(spark, folder).where("mark IS NOT NULL").select("field", "term", "mark")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
@@ -39,6 +47,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_terms": p2_terms,
     "p6_found": p6_found,
 }
 
@@ -58,7 +68,17 @@ pairs AS (
   WHERE len(list_intersect(x.s, y.s)) >= 0.7 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9
 )"""
 
+_P2 = r"""
+WITH f AS (SELECT 'contents' AS field, contents AS x, row_number() OVER () AS r FROM index_docs UNION ALL SELECT 'title', title, row_number() OVER () FROM index_docs),
+w AS (SELECT field, r, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}]+')) AS term FROM f WHERE x IS NOT NULL),
+t AS (SELECT field, count(*) AS total FROM f WHERE x IS NOT NULL GROUP BY field),
+c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT r) AS records FROM w GROUP BY field, term),
+m AS (SELECT c.*, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.4 * total THEN 'common' END AS mark FROM c JOIN t USING (field))
+"""
+
 ORACLE: dict[str, str] = {
+    "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p2_terms": _P2 + "SELECT field, term, occurrences, records, mark FROM m",
     "p1_found": _P1 + "SELECT a AS page_id_a, b AS page_id_b FROM pairs WHERE ua IS DISTINCT FROM ub",
     "p1_groups": _P1.replace("WITH sets", "WITH RECURSIVE sets") + """
         , links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM sets),
