@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut
 from . import anchors
-from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, parity_bits, rank_table, shingle_sets, sum_sketch, unpack48
+from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, parity_bits, rank_table, shingle_sets, unpack48
 
 #: Sets that one tile of the exact check holds on average; a larger cluster is split into tiles of pairs of blocks.
 TILE = 2000
@@ -104,7 +104,7 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         rows = list(seen.rows())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
 
-    bits = spark.sparkContext.broadcast(np.packbits(sum_sketch(wanted.select("id").mapInArrow(note, "block int, counts binary")) > 0).tobytes())
+    bits = spark.sparkContext.broadcast(np.packbits(rank_table(wanted.select("id").mapInArrow(note, "block int, counts binary")) > 0).tobytes())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(np.frombuffer(bits.value, np.uint8))
@@ -195,7 +195,7 @@ def similar_classes(records: DataFrame, k: int = 5, t: float = 0.8) -> tuple[Dat
     """
     both = scan(records, k)
     docs = both.where("fp IS NOT NULL").select("id", "n", "fp").distinct()
-    ranks = rank_table(sum_sketch(both.where("block IS NOT NULL").select("block", "counts")))
+    ranks = rank_table(both.where("block IS NOT NULL").select("block", "counts"))
     found = candidates(post(records, k, t, ranks, buckets_for(docs, t)), t)
     found = anchors.enough_shared(found, docs.select("fp", "n").distinct(), t)
     return docs, cut(verified(found, records, docs, k, t), "similar")

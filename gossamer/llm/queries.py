@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ledger, near_duplicates, terms
+from . import encoding, ledger, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,12 +44,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encoded(table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
 }
 
 _RUNS = """

@@ -120,35 +120,33 @@ def cells(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (hashes >> U(HASH_BITS - bits)).astype(np.int64)
 
 
-def sum_sketch(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Rows (block, counts) of all tasks as one array of 2^bits counts on the driver.
+def rank_table(rows: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Rows (block, counts) of all tasks as one byte a cell that grows with the logarithm of its count.
 
-    The blocks are summed on the executors in two levels, so no task sees more than a share of
-    the tasks' rows, and the driver gets 2^bits numbers however large the corpus is.
+    By it rare shingles come first in the order; a cell without a shingle has 0. The blocks are
+    summed on the executors in two levels, so no task sees more than a share of the tasks'
+    rows, and the driver gets 2^bits bytes however large the corpus is.
     """
 
-    def add(width: str) -> Callable[[tuple, pa.Table], pa.Table]:
+    def add(width: str, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
         def fn(key: tuple, t: pa.Table) -> pa.Table:
             total = np.zeros(SKETCH_BLOCK, np.int64)
             for x in t.column("counts"):
                 total += np.frombuffer(x.as_buffer(), width)
+            if last:
+                total = np.minimum(255, np.ceil(8 * np.log2(1 + total))).astype(np.uint8)
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
         return fn
 
-    parts = rows.withColumn("__salt", F.spark_partition_id() % 16).groupBy("block", "__salt").applyInArrow(add("u1"), "block int, counts binary")
-    whole = parts.groupBy("block").applyInArrow(add("i8"), "block int, counts binary")
-    out = np.zeros(1 << bits, np.int64)
+    parts = rows.withColumn("__salt", F.spark_partition_id() % 16).groupBy("block", "__salt").applyInArrow(add("u1", False), "block int, counts binary")
+    whole = parts.groupBy("block").applyInArrow(add("i8", True), "block int, counts binary")
+    out = np.zeros(1 << bits, np.uint8)
     for r in whole.collect():
-        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), np.int64)
+        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), np.uint8)
     return out
 
 
-def rank_table(counts: np.ndarray) -> np.ndarray:
-    """One byte a cell, growing with the logarithm of its count: rare shingles come first in the order."""
-    return np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
-
-
 def rare_first(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The shingles of a set in the common order: by the rank of their cell, then by hash."""
     return s[np.argsort(ranks[cells(s, int(len(ranks)).bit_length() - 1)], kind="stable")]
