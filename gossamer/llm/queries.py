@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encoding, ledger, near_duplicates, terms
+from . import canonical, encoding, ledger, mixture, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,26 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encoded(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixed(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.canonical_texts(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "form")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -55,6 +75,10 @@ QUERIES: dict[str, Query] = {
     "p2_terms": p2_terms,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_forms": p10_forms,
 }
 
 _RUNS = """
