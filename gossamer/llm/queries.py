@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, encoding, ledger, mixture, near_duplicates, terms
+from . import canonical, encoding, history, ledger, mixture, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_terms(spark, folder).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    batches = table(spark, folder, "page_batches", "incoming_id", "abs_url", "content").toDF("id", "abs_url", "text")
+    accepted = table(spark, folder, "crawl_pages", "page_id", "abs_url", "content").toDF("id", "abs_url", "text")
+    return history.brings_nothing(batches, accepted, RUN_OF, OVERLAP).toDF("incoming_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_terms": p2_terms,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
@@ -105,6 +112,23 @@ c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT r) AS records
 m AS (SELECT c.*, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.4 * total THEN 'common' END AS mark FROM c JOIN t USING (field))
 """
 
+_P3 = rf"""
+WITH rows_ AS (SELECT -page_id AS id, -1 AS came, content FROM crawl_pages UNION ALL SELECT incoming_id, incoming_id, content FROM page_batches),
+sets AS (SELECT x.id, r.came, s FROM ({_RUNS.format("SELECT DISTINCT id, content FROM rows_")}) x JOIN (SELECT DISTINCT id, came FROM rows_) r USING (id)),
+runs AS (SELECT id, came, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+df AS (SELECT h, count(*) AS c FROM runs GROUP BY h),
+ranked AS (SELECT id, came, n, h, row_number() OVER (PARTITION BY id ORDER BY c, h) AS place FROM runs JOIN df USING (h)),
+heads AS (SELECT * FROM ranked WHERE place <= n - ceil(0.7 * n - 1e-9) + 1),
+maybe AS (SELECT DISTINCT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.h = b.h AND a.came < b.came WHERE b.came > 0),
+like_ AS (
+  SELECT DISTINCT m.b AS id FROM maybe m JOIN sets x ON x.id = m.a JOIN sets y ON y.id = m.b
+  WHERE len(list_intersect(x.s, y.s)) >= 0.7 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9
+), u AS (SELECT -1 AS came, 0 AS id, abs_url, 'x' AS content FROM crawl_pages UNION ALL SELECT incoming_id, incoming_id, abs_url, content FROM page_batches),
+cut AS (SELECT *, regexp_replace(regexp_replace(abs_url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM u WHERE abs_url IS NOT NULL),
+adr AS (SELECT came, id, content, regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':80$', '') || substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) AS address FROM cut)
+SELECT id AS incoming_id FROM like_
+UNION SELECT a.id FROM adr a WHERE a.came > 0 AND (a.content IS NULL OR a.content = '') AND EXISTS (SELECT 1 FROM adr b WHERE b.address = a.address AND b.came < a.came)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _P2 + "SELECT field, term, occurrences, records, mark FROM m",
@@ -113,6 +137,7 @@ ORACLE: dict[str, str] = {
         , links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM sets),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
         SELECT a AS page_id, min(b) AS group_id FROM reach GROUP BY a""",
+    "p3_found": _P3,
     "p6_found": """
         SELECT link_id FROM (SELECT link_id, unique_url, min(link_id) OVER (PARTITION BY unique_url) AS first_at FROM page_links WHERE unique_url IS NOT NULL) x
         WHERE link_id > first_at OR unique_url IN (SELECT unique_url FROM seed_urls WHERE unique_url IS NOT NULL)""",
