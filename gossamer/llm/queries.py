@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, encoding, history, ledger, mixture, near_duplicates, terms
+from . import canonical, encoding, history, ledger, markup, mixture, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.brings_nothing(batches, accepted, RUN_OF, OVERLAP).toDF("incoming_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.page_elements(table(spark, folder, "crawl_pages", "page_id", "content").toDF("page_id", "text"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
