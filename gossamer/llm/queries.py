@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, encoding, history, ledger, markup, mixture, near_duplicates, terms
+from . import boilerplate, canonical, encoding, history, ledger, markup, mixture, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.brings_nothing(batches, accepted, RUN_OF, OVERLAP).toDF("incoming_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "crawl_pages", "page_id", "title", "content").toDF("rec_id", "title", "text")
+    docs = table(spark, folder, "index_docs", "index_id", "title", "contents").toDF("rec_id", "title", "text")
+    found = [boilerplate.other_line_rows(df, kind).select(F.lit(src).alias("src"), "rec_id", "line_no") for df, kind, src in ((pages, "page", "page"), (docs, "text", "index"))]
+    return found[0].unionByName(found[1])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.page_elements(table(spark, folder, "crawl_pages", "page_id", "content").toDF("page_id", "text"))
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
