@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "of"
 SCOPES = ("H1", "H2", "H3", "H4", "em", "b")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, also where `use` needs it within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between blanks and line ends; a leading blank gives an empty first word, trailing ones none."""
     return F.split(F.regexp_replace(text, "[ \n\r]+$", ""), "[ \n\r]+")

@@ -32,31 +32,42 @@ def lengths(docs: DataFrame, field: str, id_: str = "index_id") -> DataFrame:
 
 def shingles(content: Column, k: int = SHINGLE) -> Column:
     """Array of runs of k words, repeated ones too. Signs are dropped before the text is split, so words on two lines run together; under k words there is none."""
-    w = F.filter(F.split(F.regexp_replace(content, "[^a-zA-Z0-9 ]", ""), "[ \n\r]+"), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
-    return F.when(F.size(w) >= k, runs).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.regexp_replace(content, "[^a-zA-Z0-9 ]", ""), "[ \n\r]+"), lambda x: x != "")
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+        return F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(text.bound(words, runs), F.array().cast("array<string>"))
 
 
 def counted(runs: Column) -> Column:
     """Distinct (run, count) as strings: the same run of another count is another element."""
-    s = F.array_sort(runs)
-    d = F.array_distinct(s)
-    numbered = F.transform(d, lambda x: F.concat(x, F.lit("#"), F.size(F.filter(s, lambda y: y == x)).cast("string")))
-    single = F.transform(d, lambda x: F.concat(x, F.lit("#1")))  # no run comes twice: nothing to count
-    return F.coalesce(F.when(F.size(d) == F.size(s), single).otherwise(numbered), F.array().cast("array<string>"))
+
+    def count(s: Column) -> Column:
+        d = F.array_distinct(s)
+        single = F.transform(d, lambda x: F.concat(x, F.lit("#1")))  # no run comes twice: nothing to count
+        several = F.transform(d, lambda x: F.concat(x, F.lit("#"), F.size(F.filter(s, lambda y: y == x)).cast("string")))
+        return F.when(F.size(d) == F.size(s), single).otherwise(several)
+
+    return F.coalesce(text.bound(runs, count), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays as sets; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)).otherwise(F.lit(0.0))
+
+    def ratio(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), both / (F.size(F.array_distinct(x["a"])) + F.size(F.array_distinct(x["b"])) - both)).otherwise(F.lit(0.0))
+
+    return text.bound(F.struct(a.alias("a"), b.alias("b")), ratio)
 
 
 def minhash(runs: Column, permutations: int = 200) -> Column:
     """Smallest seeded hash of the runs for each of `permutations` seeds."""
     seeds = F.sequence(F.lit(1), F.lit(permutations))
-    hashed = F.transform(F.array_distinct(runs), F.xxhash64)
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, s))))
+    hashed = F.transform(F.array_distinct(runs), lambda x: F.xxhash64(x))
+    return text.bound(hashed, lambda hs: F.transform(seeds, lambda s: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, s)))))
 
 
 def minhash_estimate(a: Column, b: Column) -> Column:

@@ -40,15 +40,19 @@ class Clause:
         elif self.kind == "range":
             hit = F.filter(terms, lambda t: t.between(w[0], w[1]))
         else:
-            n, reach = len(w), self.slop
-            starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - n + 1, F.lit(1)))
-            if reach:
-                ok = lambda i: F.get(terms, i - 1).eqNullSafe(F.lit(w[0])) & _all(F.array_contains(F.slice(terms, F.greatest(i + k - reach, F.lit(1)), 2 * reach + 1), x) for k, x in enumerate(w[1:], 1))
-            else:
-                ok = lambda i: F.slice(terms, i, n) == F.array(*map(F.lit, w))
-            hit = F.when(F.size(terms) >= 1, F.filter(starts, ok))
+            return F.coalesce(text.bound(terms, self._runs), F.lit(0))
         return F.coalesce(F.size(hit), F.lit(0))
 
+    def _runs(self, terms: Column) -> Column:
+        """Places of `terms` from which the words of a phrase follow, each at most slop places off."""
+        w, n, reach = self.words, len(self.words), self.slop
+        starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - n + 1, F.lit(1)))
+        if reach:
+            ok = lambda i: F.get(terms, i - 1).eqNullSafe(F.lit(w[0])) & _all(F.array_contains(F.slice(terms, F.greatest(i + k - reach, F.lit(1)), 2 * reach + 1), x) for k, x in enumerate(w[1:], 1))
+        else:
+            ok = lambda i: F.slice(terms, i, n) == F.array(*map(F.lit, w))
+        return F.size(F.filter(starts, ok))
+
 
 def _all(columns) -> Column:
     out = F.lit(True)

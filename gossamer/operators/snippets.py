@@ -55,28 +55,40 @@ def reduced(content: Column, query: str) -> Column:
     windows joined by ` ... `. Without a hit, the first SIZE + 1 words.
     """
     flat = F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), "[ \t\n\r\f]+", " "))
-    words = F.split(flat, " ")
     asked = query.strip()
-    at = F.locate(asked.lower(), F.lower(flat)) if asked else F.lit(0)
-    begin = F.size(F.split(F.substring(flat, F.lit(1), F.greatest(at - 1, F.lit(0))), " ")) - 1
-    end = begin + len(asked.split(" ")) - 1
-    by = F.get(F.filter(F.sequence(F.lit(AROUND), F.lit(AROUND + TRIES)), lambda w: F.length(_window(words, begin, end, w)) > CHARS), F.lit(0))
-    whole = _window(words, begin, end, F.coalesce(by, F.lit(AROUND + TRIES)))
     wanted = [re.sub(r"[^-a-z0-9_]", "", w.lower()) for w in asked.split(" ") if w not in text.STOP_WORDS]
     wanted = [w for w in dict.fromkeys(wanted) if w]
-    head = text.joined_slice(words, F.lit(0), F.lit(SIZE))
-    if not wanted:
-        return F.when(at > 0, whole).otherwise(head)
-    low = F.transform(words, lambda w: F.lower(text.cleaned(w)))
-    hits = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(low, i).isin(*wanted))
-    first, last = F.array_min(hits), F.array_max(hits)
-    short = last - first < SIZE
-    # widened on both sides alike until it has SIZE words, or the text ends
-    side = F.ceil((SIZE - (last - first + 1)) / 2).cast("int")
-    one = _window(words, first, last, F.greatest(side, F.lit(0)))
-    windows = F.transform(hits, lambda p: F.struct(F.greatest(p - AROUND, F.lit(0)).alias("start"), F.least(p + AROUND, F.size(words) - 1).alias("end")))
-    many = F.array_join(F.transform(merged(windows, AROUND), lambda x: text.joined_slice(words, x["start"], x["end"])), " ... ")
-    return F.when(at > 0, whole).when(F.size(hits) == 0, head).when(short, one).otherwise(many)
+
+    def whole(x: Column) -> Column:
+        begin = F.size(F.split(F.substring(x["flat"], F.lit(1), F.greatest(x["at"] - 1, F.lit(0))), " ")) - 1
+
+        def widened(y: Column) -> Column:
+            end = y["begin"] + len(asked.split(" ")) - 1
+            by = F.get(F.filter(F.sequence(F.lit(AROUND), F.lit(AROUND + TRIES)), lambda w: F.length(_window(y["words"], y["begin"], end, w)) > CHARS), F.lit(0))
+            return _window(y["words"], y["begin"], end, F.coalesce(by, F.lit(AROUND + TRIES)))
+
+        return text.bound(F.struct(x["words"].alias("words"), begin.alias("begin")), widened)
+
+    def about_hits(words: Column, hits: Column) -> Column:
+        first, last = F.array_min(hits), F.array_max(hits)
+        # widened on both sides alike until it has SIZE words, or the text ends
+        side = F.ceil((SIZE - (last - first + 1)) / 2).cast("int")
+        one = _window(words, first, last, F.greatest(side, F.lit(0)))
+        windows = F.transform(hits, lambda p: F.struct(F.greatest(p - AROUND, F.lit(0)).alias("start"), F.least(p + AROUND, F.size(words) - 1).alias("end")))
+        many = F.array_join(F.transform(merged(windows, AROUND), lambda x: text.joined_slice(words, x["start"], x["end"])), " ... ")
+        return F.when(last - first < SIZE, one).otherwise(many)
+
+    def parts(words: Column) -> Column:
+        head = text.joined_slice(words, F.lit(0), F.lit(SIZE))
+        if not wanted:
+            return head
+        marks = F.transform(words, lambda w, i: F.when(F.lower(text.cleaned(w)).isin(*wanted), i))
+        hits = F.filter(marks, lambda i: i.isNotNull())
+        return text.bound(F.struct(words.alias("w"), hits.alias("h")), lambda y: F.when(F.size(y["h"]) == 0, head).otherwise(about_hits(y["w"], y["h"])))
+
+    at = F.locate(asked.lower(), F.lower(flat)) if asked else F.lit(0)
+    bundle = F.struct(flat.alias("flat"), F.split(flat, " ").alias("words"), at.alias("at"))
+    return text.bound(bundle, lambda x: F.when(x["at"] > 0, whole(x)).otherwise(parts(x["words"])))
 
 
 def highlighted(snippet: Column, query: str) -> Column:
@@ -91,13 +103,16 @@ def highlighted(snippet: Column, query: str) -> Column:
 
 def shortened(snippet: Column, size: int = SIZE) -> Column:
     """At most `size` words, but on to the end of a <b> that is still open there."""
-    words = F.split(snippet, " ")
-    head = F.array_join(F.slice(words, 1, size), " ")
-    opened = text.occurrences(head, F.lit("<b>")) > text.occurrences(head, F.lit("</b>"))
-    tail = F.slice(words, size + 1, F.greatest(F.size(words) - size, F.lit(0)))
-    close = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tail), F.lit(1))), lambda i: F.contains(F.get(tail, i - 1), F.lit("</b>"))), F.lit(0))
-    more = F.array_join(F.slice(tail, 1, F.coalesce(close, F.size(tail))), " ")
-    return F.when(F.size(words) <= size, snippet).when(opened & (F.size(tail) > 0), F.concat(head, F.lit(" "), more)).otherwise(head)
+
+    def cut(words: Column) -> Column:
+        head = F.array_join(F.slice(words, 1, size), " ")
+        opened = text.occurrences(head, F.lit("<b>")) > text.occurrences(head, F.lit("</b>"))
+        tail = F.slice(words, size + 1, F.greatest(F.size(words) - size, F.lit(0)))
+        marks = F.filter(F.transform(tail, lambda w, i: F.when(F.contains(w, F.lit("</b>")), i + 1)), lambda i: i.isNotNull())
+        more = F.array_join(F.slice(tail, 1, F.coalesce(F.get(marks, F.lit(0)), F.size(tail))), " ")
+        return F.when(opened & (F.size(tail) > 0), F.concat(head, F.lit(" "), more)).otherwise(head)
+
+    return text.bound(F.split(snippet, " "), lambda words: F.when(F.size(words) <= size, F.array_join(words, " ")).otherwise(cut(words)))
 
 
 def snippet(content: Column, query: str) -> Column:

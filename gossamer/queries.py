@@ -89,8 +89,9 @@ def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crawl_order(spark: SparkSession, folder: str) -> DataFrame:
-    seed = table(spark, folder, "seed_urls").orderBy("seed_id").first()
-    return crawl.crawl(seed["abs_url"] if seed else "", QUERY, table(spark, folder, "crawl_pages", "page_id", "abs_url", "content"), table(spark, folder, "sites", "host", "robots_txt"), max_pages=8, batch=4)
+    open_ = table(spark, folder, "crawl_pages", "page_id", "abs_url").select("*", urls.host(F.col("abs_url")).alias("host"), urls.path(F.col("abs_url")).alias("path"))
+    first = robots.safe(open_, table(spark, folder, "sites", "host", "robots_txt")).agg(F.min_by("abs_url", "page_id")).first()[0]
+    return crawl.crawl(first or "", QUERY, table(spark, folder, "crawl_pages", "page_id", "abs_url", "content"), table(spark, folder, "sites", "host", "robots_txt"), max_pages=8, batch=4)
 
 
 def last_good(spark: SparkSession, folder: str) -> DataFrame:
