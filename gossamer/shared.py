@@ -47,6 +47,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input has fewer splits than there are cores; a larger input is left as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @atexit.register
 def _cleanup() -> None:
     for spark, path in _OWNED:
