@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, spread
 
 # Letters of Cyrillic, Greek, Armenian and Cherokee with the shape of a Latin letter.
 LOOK_ALIKE = {
@@ -211,7 +211,7 @@ def canonical_texts(documents: DataFrame) -> DataFrame:
                 text = part.column(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), text, canonical_array(text)], ["doc_id", "text", "form"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(fn, "doc_id bigint, text string, form string")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(fn, "doc_id bigint, text string, form string")
 
 
 def look_alikes(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, spread
 from .shingles import U, mix
 
 #: Fixed value: the split pattern that belongs to the rank files.
@@ -69,11 +69,11 @@ def chunks(data: bytes) -> list[bytes]:
     if len(data) <= LEAST:
         return [data] if data else []
     raw = np.frombuffer(data, np.uint8)
-    h, width, factor = _BYTE[raw], 1, U(0x9E3779B97F4A7C15)
+    h, width, factor = _BYTE[raw], 1, 0x9E3779B97F4A7C15
     while width < 16:  # doubles the window each time
         wide = h.copy()
-        wide[width:] += h[:-width] * factor
-        h, width, factor = wide, width * 2, factor * factor
+        wide[width:] += h[:-width] * U(factor)
+        h, width, factor = wide, width * 2, factor * factor % (1 << 64)
     ends = (mix(h) >> U(64 - MEAN_BITS)) == 0
     head = np.append((raw[1:] & 0xC0) != 0x80, True)  # the next byte begins a character
     places = np.flatnonzero(ends & head) + 1
@@ -185,7 +185,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     `path` is a rank file (byte_bpe_50k by default) that all executors can read.
     """
     path = path or vocabulary_path()
-    pieces = cut(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut_up, "uid bigint, doc_id bigint, seq int, key binary, chunk binary"), "chunks")
+    pieces = cut(spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_cut_up, "uid bigint, doc_id bigint, seq int, key binary, chunk binary"), "chunks")
 
     def encode_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)[0]

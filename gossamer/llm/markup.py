@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 Element = tuple[str, str]
 
 _SPACE = re.compile(r"\s+")
@@ -30,6 +32,8 @@ _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: Stands for a piece that was taken out, in the text around it.
 _HOLE = "\ue0ff"
+#: A line of its own that stands for a block that was taken out.
+_BLOCK = "\ue0fe"
 
 
 def tidy(text: str) -> str:
@@ -111,7 +115,7 @@ _MD_RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3
 
 
 def _fenced(text: str) -> tuple[str, list[str]]:
-    """The text with each fenced block as an empty line, and the blocks."""
+    """The text with a line _BLOCK for each fenced block, and the blocks."""
     out, blocks, fence, block = [], [], "", []
     for line in text.split("\n"):
         m = _FENCE.match(line.rstrip("\r"))
@@ -123,7 +127,7 @@ def _fenced(text: str) -> tuple[str, list[str]]:
                 block.append(line)
         elif m:
             fence = m[1]
-            out.append("")
+            out.append(_BLOCK)
         else:
             out.append(line)
     if fence:
@@ -162,7 +166,7 @@ def read_markdown(text: str) -> Iterator[Element]:
     text = _MD_DISPLAY.sub(lambda m: f"\n{_HOLE}{m[1]}{_HOLE}\n", text)
     for m in re.finditer(f"{_HOLE}(.+?){_HOLE}", text, re.S):
         yield "formula", tidy(m[1])
-    text = re.sub(f"{_HOLE}.+?{_HOLE}", "\n", text, flags=re.S)
+    text = re.sub(f"{_HOLE}.+?{_HOLE}", _BLOCK, text, flags=re.S)
     paragraph: list[str] = []
     code: list[str] = []
     item: list[str] | None = None
@@ -188,6 +192,12 @@ def read_markdown(text: str) -> Iterator[Element]:
             paragraph = []
             rest.append("")
             continue
+        if flat == _BLOCK:
+            yield from end_item()
+            yield from end_code()
+            paragraph, blank = [], True
+            rest.append("")
+            continue
         width = len(flat) - len(flat.lstrip(" "))
         if item is not None and blank and width < indent and not _BULLET.match(flat):
             yield from end_item()
@@ -392,4 +402,4 @@ def page_elements(pages: DataFrame) -> DataFrame:
                 rows = [(page, *e) for page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for e in dict.fromkeys(elements(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["page_id", "kind", "txt"])
 
-    return pages.select(F.col("page_id").cast("bigint"), "text").mapInArrow(fn, "page_id bigint, kind string, txt string").distinct()
+    return spread(pages.select(F.col("page_id").cast("bigint"), "text")).mapInArrow(fn, "page_id bigint, kind string, txt string").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, spread
 from .encoding import token_counts, vocabulary_path
 from .shingles import U, mix
 
@@ -42,7 +42,7 @@ def measured(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(token_counts(b.column(2).to_pylist(), path), pa.int64())], ["doc_id", "source", "tokens"])
 
     rows = documents.select(F.col("doc_id").cast("bigint"), source_name("source").alias("source"), "text")
-    return rows.mapInArrow(fn, "doc_id bigint, source string, tokens bigint")
+    return spread(rows).mapInArrow(fn, "doc_id bigint, source string, tokens bigint")
 
 
 def plan(measured_docs: DataFrame, targets: DataFrame) -> list[dict]:
@@ -134,7 +134,7 @@ def mixed(documents: DataFrame, targets: DataFrame, path: str | None = None) ->
     floor = F.floor(F.col("expected") + 1e-12)
     items = items.select("doc_id", "source", "tokens", floor.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("expected") - floor).alias("part"))
     level = cut(items.mapInArrow(_combine, _ROW), "level")
-    done, tasks = level.where("part IS NULL"), items.rdd.getNumPartitions()
+    done, tasks = level.where("part IS NULL"), max(1, items.rdd.getNumPartitions())
     while True:
         tasks = -(-tasks // FAN_IN)
         level = cut(level.where("part IS NOT NULL").repartition(tasks, "doc_id").sortWithinPartitions("source", "doc_id").mapInArrow(_combine, _ROW), "level")

@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, spread
 from . import anchors
 from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, parity_bits, rank_table, shingle_sets, unpack48
 
@@ -53,7 +53,7 @@ def scan(records: DataFrame, k: int) -> DataFrame:
         none = [None] * len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, [r[0] for r in rows], [r[1] for r in rows]), kinds)], names)
 
-    return cut(records.select(F.col("id").cast("bigint"), "text").mapInArrow(fn, _SCAN), "sets")
+    return cut(spread(records.select(F.col("id").cast("bigint"), "text")).mapInArrow(fn, _SCAN), "sets")
 
 
 def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int) -> DataFrame:
@@ -70,7 +70,7 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
                         yield run.rows()
         yield run.rows()
 
-    return records.select("text").mapInArrow(fn, "bucket int, postings binary")
+    return spread(records.select("text")).mapInArrow(fn, "bucket int, postings binary")
 
 
 def buckets_for(docs: DataFrame, t: float) -> int:
@@ -116,7 +116,7 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             out = [(int(i), fingerprint(s), pack48(s)) for i, s in zip(ids[keep], shingle_sets(texts, k)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "fp", "packed"])
 
-    found = records.select(F.col("id").cast("bigint"), "text").mapInArrow(fn, "id bigint, fp bigint, packed binary")
+    found = spread(records.select(F.col("id").cast("bigint"), "text")).mapInArrow(fn, "id bigint, fp bigint, packed binary")
     return found.join(wanted.select("id"), "id", "left_semi").select("fp", "packed")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, spread
 
 #: Distinct terms that a task holds before it writes a run.
 RUN_TERMS = 400_000
@@ -58,7 +58,7 @@ def _runs(records: DataFrame, fields: list[str]) -> DataFrame:
                 yield from run()
         yield from run()
 
-    return records.select(*fields).mapInArrow(fn, _RUN)
+    return spread(records.select(*fields)).mapInArrow(fn, _RUN)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
