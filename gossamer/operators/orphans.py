@@ -33,8 +33,7 @@ def address_host(url: Column) -> Column:
 def heavy_keys(refs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     """Keys of `refs` (key, ...) with more than `share` of its rows: (key), at most 1 / share rows."""
     counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = refs.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") > F.col("total") * share).select("key")
+    return counts.where(F.col("n") > refs.count() * share).select("key")
 
 
 def _split(refs: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -16,8 +16,8 @@ def bases(pages: DataFrame) -> DataFrame:
     """
     n = F.greatest(F.size(text.words(html.text(F.coalesce("content", F.lit(""))))), F.lit(1))
     phi = pages.select("node", F.log2(n).alias("phi"))
-    total = phi.agg(F.sum("phi").alias("total"))
-    return phi.crossJoin(F.broadcast(total)).select("node", F.coalesce(F.try_divide("phi", "total"), F.lit(0.0)).alias("base"))  # total is a single row
+    total = phi.agg(F.sum("phi")).first()[0] or 0.0
+    return phi.select("node", (F.col("phi") / total if total else F.lit(0.0)).alias("base"))
 
 
 def strengths(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -58,10 +58,10 @@ def ranks(base: DataFrame, weights: DataFrame, f: float = 0.7, tolerance: float
     tolerance = 0.01 / max(n, 1) if tolerance is None else tolerance
     scores = base.select("node", F.col("base").alias("score"))
     for _ in range(limit if iterations is None else iterations):
-        even = scores.join(idle, "node", "left_semi").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / n).alias("even"))
+        even = (scores.join(idle, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0) / max(n, 1)
         flow = weights.join(scores.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
-        new = base.join(flow, "node", "left").crossJoin(F.broadcast(even))  # even is a single row
-        score = (1 - f) * F.col("base") + f * (F.coalesce("flow", F.lit(0.0)) + F.col("even"))
+        new = base.join(flow, "node", "left")
+        score = (1 - f) * F.col("base") + f * (F.coalesce("flow", F.lit(0.0)) + even)
         stepped = cut(new.select("node", score.alias("score")), "scores")
         moved = iterations is not None or stepped.join(scores.withColumnRenamed("score", "old"), "node").where(F.abs(F.col("score") - F.col("old")) > tolerance).limit(1).count() > 0
         scores = stepped

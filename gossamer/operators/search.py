@@ -168,7 +168,7 @@ def matches(docs: DataFrame, query: str, id_: str = "index_id", default: str = "
     fields = list(dict.fromkeys(c.field for c in clauses))
     rows = docs.select(F.col(id_).alias("doc_id"), *(F.coalesce(text.terms(F.col(f)), F.array().cast("array<string>")).alias(f"t_{f}") for f in fields))
     rows = rows.select("doc_id", *(c.count(F.col(f"t_{c.field}")).alias(f"c{i}") for i, c in enumerate(clauses)), *(F.size(f"t_{f}").alias(f"n_{f}") for f in fields))
-    facts = rows.agg(F.count(F.lit(1)).alias("N"), *(F.sum((F.col(f"c{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(clauses))), *(F.avg(f"n_{f}").alias(f"a_{f}") for f in fields))
+    facts = rows.agg(F.count(F.lit(1)).alias("N"), *(F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(clauses))), *(F.avg(f"n_{f}").alias(f"a_{f}") for f in fields)).first()  # a single row of numbers
     place = {id(c): i for i, c in enumerate(clauses)}
 
     def holds(node: Node) -> Column:
@@ -181,21 +181,21 @@ def matches(docs: DataFrame, query: str, id_: str = "index_id", default: str = "
             out = out & any_
         return out & _all(~one(p) for p in node.never)
 
-    found = rows.crossJoin(F.broadcast(facts)).where(holds(tree))  # facts is a single row
-    score, norm, coord = F.lit(0.0), F.lit(0.0), F.lit(0)
+    found, total = rows.where(holds(tree)), facts["N"]
+    score, norm, coord = F.lit(0.0), 0.0, F.lit(0)
     for c, boost in scored_:
         i = place[id(c)]
-        tf, df, n = F.col(f"c{i}"), F.col(f"d{i}"), F.col(f"n_{c.field}")
+        tf, df, n = F.col(f"c{i}"), facts[f"d{i}"], F.col(f"n_{c.field}")
         if scoring == "tfidf":
-            idf = 1 + F.log(F.col("N") / (df + 1))
-            score = score + F.when(tf > 0, F.sqrt(tf) * idf * idf * boost / F.sqrt(F.greatest(n, F.lit(1)))).otherwise(0.0)
-            norm = norm + idf * idf * boost * boost
+            weight = idf(total, df)
+            score = score + F.when(tf > 0, F.sqrt(tf) * weight * weight * boost / F.sqrt(F.greatest(n, F.lit(1)))).otherwise(0.0)
+            norm += weight * weight * boost * boost
             coord = coord + (tf > 0).cast("int")
         else:
-            idf = F.log(1 + (F.col("N") - df + 0.5) / (df + 0.5))
-            score = score + F.when(tf > 0, boost * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / F.col(f"a_{c.field}")))).otherwise(0.0)
+            weight = math.log(1 + (total - df + 0.5) / (df + 0.5))
+            score = score + F.when(tf > 0, boost * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (facts[f"a_{c.field}"] or 1)))).otherwise(0.0)
     if scoring == "tfidf":
-        score = score * coord / len(scored_) / F.sqrt(norm)
+        score = score * coord / len(scored_) / (math.sqrt(norm) or 1)
     return found.select("doc_id", score.alias("score"))
 
 
@@ -218,4 +218,4 @@ def fused(ranks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
 
 def idf(n: int, df: int) -> float:
-    return 1 + math.log(n / (df + 1))
+    return 1 + math.log(n / (df + 1)) if n else 0.0

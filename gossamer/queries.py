@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import html, text, urls
 from .operators import crawl, index, links, orphans, pagerank, records, robots, search, snippets
-from .shared import cut
+from .plans import runs
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,26 +144,19 @@ def pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
     return pagerank.ranks(*_graph(spark, folder), f=DAMPING)
 
 
-def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.top(search.matches(_docs(spark, folder, "contents"), QUERY), 50)
+def _doc_ranks(spark: SparkSession, folder: str) -> DataFrame:
     latest = _pages(spark, folder, "abs_url").groupBy("abs_url").agg(F.min("page_id").alias("node"))
     scores = pagerank.ranks(*_graph(spark, folder), f=DAMPING, iterations=ROUNDS)
-    ranks = _docs(spark, folder, "abs_url").join(latest, "abs_url").join(scores, "node").select(F.col("index_id").alias("doc_id"), F.col("score").alias("rank"))
-    return search.fused(ranks, hits, 10)
+    return _docs(spark, folder, "abs_url").join(latest, "abs_url").join(scores, "node").select(F.col("index_id").alias("doc_id"), F.col("score").alias("rank"))
 
 
 def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder).select("doc_id", F.round("rank", 9).alias("rank"), F.round("text_score", 6).alias("text_score"), F.round("score", 6).alias("score"))
+    hits = search.top(search.matches(_docs(spark, folder, "contents"), QUERY), 50)
+    return search.fused(_doc_ranks(spark, folder), hits, 10).select("doc_id", F.round("rank", 9).alias("rank"), F.round("text_score", 6).alias("text_score"), F.round("score", 6).alias("score"))
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
-    best = cut(_fused(spark, folder), "fused")
-    docs = _docs(spark, folder, "title", "abs_url", "contents").join(F.broadcast(best.select(F.col("doc_id").alias("index_id"), "score")), "index_id")  # best has 10 rows
-    # the k hits of one result page
-    from pyspark.sql import Window as W
-
-    ranked = docs.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "index_id")))
-    return ranked.select("rank", "title", "abs_url", snippets.snippet(F.col("contents"), QUERY).alias("snippet"))
+    return runs.ranked_results(_docs(spark, folder, "title", "abs_url", "contents"), _doc_ranks(spark, folder), QUERY)
 
 
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
