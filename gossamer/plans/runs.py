@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import html
 from ..operators import crawl, index, pagerank, records, search, snippets
 from ..shared import cut
 from ..sources import files, sinks
@@ -60,6 +61,17 @@ def link_scores(pages: DataFrame, links: DataFrame, f: float = 0.7) -> DataFrame
     return pagerank.ranks(pagerank.bases(pages), pagerank.normalized(pagerank.strengths(pages, links)), f)
 
 
+def folder_ranks(spark: SparkSession, folder: str, f: float) -> DataFrame:
+    """(node, score), best first, of the pages in a flat folder, by their links to each other's file names.
+
+    A page whose links all lead elsewhere gives an equal part to every page.
+    """
+    pages = files.html_folder(spark, folder, recursive=False, extensions="*").select(F.regexp_extract("filename", "([^/]+)$", 1).alias("node"), F.col("html").alias("content"))
+    pages = cut(pages.withColumn("url", F.col("node")), "pages")
+    links = pages.select("node", F.explode(html.links(F.col("content"))).alias("l")).select("node", "l.href", "l.anchor").where(F.col("href").endswith("html")).distinct()
+    return link_scores(pages, links, f).orderBy(F.desc("score"), "node")
+
+
 def inspection_dates(spark: SparkSession, source: str, target: str) -> None:
     """First and last inspection of every place in the CSV file `source`, as id,first,last."""
     rows = files.inspections(spark, source)

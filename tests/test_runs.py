@@ -41,3 +41,21 @@ def test_contract(spark):
     assert set(sql) <= set(queries) and all(map(callable, queries.values()))
     for name in ("tfidf_top", "robots_rules", "p7_report", "last_good"):
         assert queries[name](spark, FOLDER).count() > 0
+
+
+def test_commands(spark, tmp_path):
+    from gossamer.__main__ import run
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.html").write_text('<TITLE>A page</TITLE>walrus words <A href="b.html">the <b>other</b></A>')
+    (tmp_path / "d" / "b.html").write_text('<TITLE>B</TITLE>other words <A href="a.html">back</A>')
+    (tmp_path / "d" / "c.html").write_text('words that lead nowhere <A href="gone.html">x</A>')
+    assert run(spark, ["index", str(tmp_path / "d"), str(tmp_path / "index")]) == "3 documents"
+    found = run(spark, ["search", str(tmp_path / "index"), "walrus"])
+    assert found.startswith("1: A page\nURL: ") and "<b>walrus</b>" in found
+    assert run(spark, ["search", str(tmp_path / "index"), "nothing"]) == "No results were found"
+    ranks = dict(x.split() for x in run(spark, ["ranks", str(tmp_path / "d")]).splitlines())
+    assert set(ranks) == {"a.html", "b.html", "c.html"} and abs(sum(map(float, ranks.values())) - 1) < 0.01
+    snapshot = spark.createDataFrame([(1, "http://a.b/1", "One", "x y z words here")], "page_id long, abs_url string, title string, content string")
+    snapshot.write.parquet(str(tmp_path / "pages"))
+    assert run(spark, ["crawl", "-u", "http://a.b/1", "-q", "x", "--pages", str(tmp_path / "pages"), "--target", str(tmp_path / "t")]) == "insert 1"
