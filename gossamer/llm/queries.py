@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boilerplate, canonical, encoding, history, ledger, markup, mixture, near_duplicates, terms
+from . import boilerplate, canonical, clean_text, encoding, history, ledger, markup, mixture, near_duplicates, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup.page_elements(table(spark, folder, "crawl_pages", "page_id", "content").toDF("page_id", "text"))
 
 
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_text.clean_texts(table(spark, folder, "crawl_pages", "page_id", "content").dropDuplicates(["page_id"]).toDF("page_id", "text"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_text": p5_text,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,

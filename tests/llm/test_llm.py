@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gossamer.llm import anchors, boilerplate, canonical, encoding, history, ledger, markup, mixture, near_duplicates, shingles, terms
+from gossamer.llm import anchors, boilerplate, canonical, clean_text, encoding, history, ledger, markup, mixture, near_duplicates, shingles, terms
 
 
 def runs(x: str | None, k: int) -> set:
@@ -285,6 +285,21 @@ def test_markup(text, want):
     assert set(markup.elements(text.replace("\n", "\r\n") if text else text)) == want
 
 
+@pytest.mark.parametrize("text", [HTML, MARKDOWN, WIKI, LATEX])
+def test_clean_text_shows_every_element(text):
+    out = clean_text.clean(text)
+    flat = markup.tidy(re.sub(r"(?m)^(?:# |- |    )", "", out))
+    marked = {kind: {x[2:] for x in out.split("\n") if x.startswith(sign)} for kind, sign in (("heading", "# "), ("item", "- "))}
+    for kind, txt in markup.elements(text):
+        assert txt in (marked[kind] if kind in marked else flat), (kind, txt)
+
+
+def test_clean_text_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "x " * 50_000, 1)], "page_id long, text string, txt int")
+    got = {r.page_id: r.txt for r in clean_text.clean_texts(df).collect()}
+    assert got[1] is None and got[2] == "" and len(got[3]) == 99_999
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([(1, HTML, "k"), (1, HTML, "k"), (2, None, "k"), (3, "# x\n" * 3000, "k")], "page_id long, text string, kind string")
     got = markup.page_elements(df)
