@@ -3,12 +3,13 @@
 Composite text density: every node of the page's tree gets its characters per tag, adjusted by
 the share of them that are link text; the sum over its children is the density sum, and the
 node with the largest one holds the body. The smallest density on the path from there up to
-the page's root is the threshold. Lines outside that subtree, or in a run of text below the
-threshold, are candidates; a run above it is text of the article, whatever it talks about.
-Headings, list items, tables, code and formulas are short too, so of the candidates those that
-are part of the article's structure stay, and the others go if they read as what sites put
-around a text: menus, notices, prompts, teasers, ratings, adverts, footers. Sources without
-tags (extracted text, Markdown, wiki) have one run a line and the whole text as their tree.
+the page's root is the threshold. Lines outside that subtree go, whatever they say, but for
+headings and code. Within it density can't decide: table rows, list items and paragraphs full
+of links lie below the threshold, and footers and notices without tags lie above it. There a
+long line above the threshold stays, whatever it talks about, and the others go if they read
+as what sites put into a text: menus, notices, prompts, teasers, ratings, adverts, footers.
+Sources without tags (extracted text, Markdown, wiki) have one run a line and the whole text
+as their tree, so all their lines are judged by how they read.
 
 One pass over whole texts, no shuffle.
 """
@@ -91,6 +92,7 @@ def composite(chars: float, link_chars: float, tags: float, link_tags: float, ro
 _VOID = {"br", "hr", "img", "meta", "link", "input", "base", "area", "col", "source", "wbr", "embed", "param", "track"}
 _HIDDEN = {"head", "script", "style", "template", "title", "noscript"}
 _RUNS = {"br", "p", "div", "td", "th", "tr", "table", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "nav", "article", "section", "center", "header", "footer", "main", "aside", "body", "span", "small", "form", "blockquote", "dl", "dd", "dt"}
+_PARTS = {"p", "ul", "ol", "dl", "li", "dd", "dt"}
 _AUTO = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^>]*>|<\?[^>]*>|<(script|style|template|title|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?=<body\b|</head\s*>|\Z)", re.S | re.I)
 
@@ -156,6 +158,9 @@ def html_lines(text: str) -> tuple[list[Line], float]:
     # text that stands in a node itself counts as a child of it
     sums = [s + (own[i] if sums[i] else 0) for i, s in enumerate(sums)]
     best = max(range(len(name)), key=lambda i: sums[i])
+    # a paragraph or list is part of a body, however dense it is
+    while name[best] in _PARTS:
+        best = parent[best]
     path, least = best, density[best]
     while path >= 0:
         least, path = min(least, density[path]) if chars[path] else least, parent[path]
@@ -258,7 +263,8 @@ def other_lines(text: str | None, source: str, title: str | None = None, names:
             before = i > 0 and marks[i - 1] == "menu" and (lines[i - 1].number >= x.number - 1 or lang == "text")
             if before and (i < 2 or marks[i - 2] == "menu" or i + 1 < len(lines) and marks[i + 1]):
                 marks[i] = "menu"
-    out = [x.number for x, m in zip(lines, marks) if m]
+    # outside the subtree of the body a line needn't read as anything
+    out = [x.number for x, m in zip(lines, marks) if m or not x.inside and x.kind != "code" and x.kind[:1] != "h"]
     return out
 
 

@@ -323,6 +323,14 @@ Copyright was a stout question for the walrus, who collected heaps of krill. Our
 </body></html>"""
 
 
+def test_lines_outside_the_body_go_whatever_they_say():
+    article = [f"<p>In the fjord number {i} the walrus collected heaps of krill, said the report, and nobody had counted them before the thaw.</p>" for i in range(8)]
+    page = "\n".join(["<html><body>", '<div class="side">', "<a href='/z'>Seventeen puffins wait for you</a>", "Zorblat tells all, each Monday", "<h2>A heading</h2>", "</div>", '<div class="main">', *article, "A short line of the article", "</div>", "</body></html>"])
+    assert boilerplate.other_lines(page, "page") == [3, 4]
+    dense = "\n".join(["<html><body><center>", *[x.replace("p>", "i>") for x in article[:2]], "<ol>", *[f"<li>The walrus of fjord {i} collected krill until further notice.</li>" for i in range(9)], "</ol>", "</center></body></html>"])
+    assert boilerplate.other_lines(dense, "page") == []
+
+
 def test_other_lines(spark):
     assert boilerplate.other_lines(PAGE, "page", "Deep fjords") == [3, 4, 10, 11, 12, 14]
     plain = "Home\nMaps\nOwnsection\nDeep fjords\nCopyright was a stout question for the walrus, who collected heaps of krill.\nMaps burrow\nAccept all\nPopular now\nOn the walrus\nLast updated on 3 May 2020"
