@@ -12,11 +12,12 @@ No list, class or tile is capped: nothing is lost to a limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +90,8 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(whole, "a bigint, b bigint, shared int")
 
 
-def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Shingle sets (fp, packed) of the records (id, text) whose id is in `wanted` (id).
-
-    The wanted ids are summed up in a bit table of fixed size (512 KB), by which nearly all
-    others are dropped during the scan, before their texts are hashed; the join then is exact.
-    """
-    spark = records.sparkSession
+def held_bits(wanted: DataFrame) -> Broadcast:
+    """A bit table of fixed size (512 KB) of the numbers in `wanted` (one BIGINT column)."""
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = CellCounts()
@@ -104,7 +100,29 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         rows = list(seen.rows())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
 
-    bits = spark.sparkContext.broadcast(np.packbits(rank_table(wanted.select("id").mapInArrow(note, "block int, counts binary")) > 0).tobytes())
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(rank_table(wanted.mapInArrow(note, "block int, counts binary")) > 0).tobytes())
+
+
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `rows` (fp, ...) whose fp is in `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
+    bits = held_bits(wanted.select("fp"))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits.value, np.uint8))
+        for b in batches:
+            fps = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield b.filter(pa.array(held[cells(mix(fps.view(U)) >> U(64 - HASH_BITS))] > 0))
+
+    return rows.mapInArrow(fn, rows.schema).join(wanted.select("fp").distinct(), "fp", "left_semi")
+
+
+def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Shingle sets (fp, packed) of the records (id, text) whose id is in `wanted` (id).
+
+    The wanted ids are summed up in a bit table of fixed size (512 KB), by which nearly all
+    others are dropped during the scan, before their texts are hashed; the join then is exact.
+    """
+    bits = held_bits(wanted.select("id"))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(np.frombuffer(bits.value, np.uint8))
@@ -155,9 +173,10 @@ def similar_in_tile(fps: list[int], packed: list[bytes], a: np.ndarray, b: np.nd
     return good
 
 
-def verified(pairs: DataFrame, records: DataFrame, docs: DataFrame, k: int, t: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], docs: DataFrame, t: float) -> DataFrame:
     """Of candidate pairs (a, b) of fingerprints those with a true similarity of at least t.
 
+    sets: gives the sets (fp, packed) of the classes in a table (fp, id), the id one of docs (id, fp).
     Pairs of one neighbourhood (same smallest neighbour) go to one tile, so a set travels about
     once however many partners it has. A neighbourhood of over TILE sets is cut into blocks,
     a tile for each pair of blocks that holds a pair.
@@ -176,7 +195,7 @@ def verified(pairs: DataFrame, records: DataFrame, docs: DataFrame, k: int, t: f
     keyed = keyed.withColumn("tile", F.pmod(F.xxhash64("label", part("a"), part("b")), F.lit(tiles)).cast("int")).select("tile", "a", "b")
     keyed = cut(keyed, "tiles")
     members = keyed.select("tile", F.col("a").alias("fp")).unionByName(keyed.select("tile", F.col("b").alias("fp"))).distinct()
-    sets = members.join(sets_of(records, need, k), "fp").select(F.col("tile").alias("to_tile"), "fp", "packed")
+    sets = members.join(sets(need), "fp").select(F.col("tile").alias("to_tile"), "fp", "packed")
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
@@ -198,7 +217,7 @@ def similar_classes(records: DataFrame, k: int = 5, t: float = 0.8) -> tuple[Dat
     ranks = rank_table(both.where("block IS NOT NULL").select("block", "counts"))
     found = candidates(post(records, k, t, ranks, buckets_for(docs, t)), t)
     found = anchors.enough_shared(found, docs.select("fp", "n").distinct(), t)
-    return docs, cut(verified(found, records, docs, k, t), "similar")
+    return docs, cut(verified(found, lambda wanted: sets_of(records, wanted, k), docs, t), "similar")
 
 
 def record_pairs(docs: DataFrame, pairs: DataFrame, differ: DataFrame) -> DataFrame:

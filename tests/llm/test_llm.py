@@ -129,6 +129,28 @@ def test_batches_one_by_one_equal_all_at_once(spark):
         assert got == want
 
 
+def test_a_history_is_taken_up_again(spark, tmp_path):
+    rows = corpus(2)
+    old, new = rows[:60], rows[60:]
+    want = {j for j, y in new if any(i < j and alike(x, y, 4, 0.7) for i, x in rows)}
+    cols, path = "id long, at long, text string", str(tmp_path / "history")
+    start = spark.createDataFrame([(i, -1, x) for i, x in old], cols)
+    history.History(spark, path, 4, 0.7).start(start)
+    got = set()
+    for part in (new[:20], new[20:]):
+        h = history.History(spark, path)
+        assert (h.k, h.t) == (4, 0.7)
+        got |= {r.id for r in h.accept(spark.createDataFrame([(i, i, x) for i, x in part], cols)).collect()}
+    assert got == want and history.History(spark, path).batches == 3
+    with pytest.raises(AssertionError):
+        history.History(spark, path).start(start)
+    with pytest.raises(ValueError):
+        history.History(spark, path, k=5)
+    (tmp_path / "other" / "pivots" / "batch=0").mkdir(parents=True)
+    with pytest.raises(FileExistsError):
+        history.History(spark, str(tmp_path / "other"))
+
+
 def test_batches_that_bring_nothing(spark):
     cols = "id long, abs_url string, text string"
     accepted = spark.createDataFrame([(1, "http://A.b:80/x", "a b c d e f g"), (2, None, None)], cols)
