@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import HASH_BITS, U, needed_overlap, pack48, rare_first, unpack48
+from .shingles import HASH_BITS, U, cells, needed_overlap, pack48, rare_first, unpack48
 
 #: Shared anchors that a pair must have (fewer if its sets are smaller than that).
 LEAST = 8
@@ -74,20 +74,41 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(HASH_BITS - 32)) * U(buckets) >> U(32)).astype(np.int32)
 
 
+def _parts(x: bytes | memoryview) -> list[np.ndarray]:
+    """Fingerprints, sizes and numbers of postings of the sets in one packed row; hashes and places of its postings."""
+    raw = memoryview(x)
+    m, p = np.frombuffer(raw[:16], np.int64)
+    at, parts = 16, []
+    for kind, count, width in ((np.int64, m, 8), (np.uint32, m, 4), (np.uint32, m, 4), (None, p, 6), (np.uint16, p, 2)):
+        piece = raw[at : at + int(count) * width]
+        parts.append(unpack48(piece) if kind is None else np.frombuffer(piece, kind))
+        at += int(count) * width
+    return parts
+
+
+def hashes(x: bytes | memoryview) -> np.ndarray:
+    return _parts(x)[3]
+
+
+def thinned(x: bytes | memoryview, held: np.ndarray) -> bytes | None:
+    """A packed row with those postings alone whose cell is marked in `held`; None if there are none."""
+    fps, sizes, counts, h, places = _parts(x)
+    keep = held[cells(h, int(len(held)).bit_length() - 1)] > 0
+    if not keep.any():
+        return None
+    own, count = np.unique(np.repeat(np.arange(len(fps)), counts)[keep], return_counts=True)
+    head = np.array([len(own), np.count_nonzero(keep)], np.int64).tobytes()
+    return head + fps[own].tobytes() + sizes[own].tobytes() + count.astype(np.uint32).tobytes() + pack48(h[keep]) + places[keep].tobytes()
+
+
 class Postings:
     """Postings of one bucket, sorted by shingle and, of one shingle, by the size of the set."""
 
     def __init__(self, packed: list, mark: list[int] | None = None):
         fps, sizes, counts, hs, places, marks = [], [], [], [], [], []
         for k, x in enumerate(packed):
-            raw = memoryview(x)
-            m, p = np.frombuffer(raw[:16], np.int64)
-            at = 16
-            parts = []
-            for kind, count, width in ((np.int64, m, 8), (np.uint32, m, 4), (np.uint32, m, 4), (None, p, 6), (np.uint16, p, 2)):
-                piece = raw[at : at + int(count) * width]
-                parts.append(unpack48(piece) if kind is None else np.frombuffer(piece, kind))
-                at += int(count) * width
+            parts = _parts(x)
+            m = len(parts[0])
             fps.append(parts[0]), sizes.append(parts[1]), counts.append(parts[2]), hs.append(parts[3]), places.append(parts[4])
             marks.append(np.full(int(m), mark[k] if mark else 0, np.int8))
         join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)

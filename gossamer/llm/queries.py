@@ -40,7 +40,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    batches = table(spark, folder, "page_batches", "incoming_id", "abs_url", "content").toDF("id", "abs_url", "text")
+    batches = table(spark, folder, "page_batches", "incoming_id", "batch_no", "abs_url", "content").toDF("id", "batch", "abs_url", "text")
     accepted = table(spark, folder, "crawl_pages", "page_id", "abs_url", "content").toDF("id", "abs_url", "text")
     return history.brings_nothing(batches, accepted, RUN_OF, OVERLAP).toDF("incoming_id")
 

@@ -159,6 +159,20 @@ def test_batches_that_bring_nothing(spark):
     assert history.brings_nothing(spark.createDataFrame([], cols), accepted.limit(0), 4, 0.7).count() == 0
 
 
+def test_batches_are_accepted_one_after_another(spark, monkeypatch):
+    rows = corpus(2)
+    old, new = rows[:60], rows[60:]
+    want = {j for j, y in new if any(i < j and alike(x, y, 4, 0.7) for i, x in rows)}
+    sizes, accept = [], history.History.accept
+    monkeypatch.setattr(history.History, "accept", lambda self, records: (sizes.append(records.count()), accept(self, records))[1])
+    cols = "id long, abs_url string, text string, batch int"
+    batch = spark.createDataFrame([(i, None, x, 1 if n < 20 else 7 if n < 30 else None) for n, (i, x) in enumerate(new)], cols)
+    got = {r.id for r in history.brings_nothing(batch, spark.createDataFrame([(i, None, x, 0) for i, x in old], cols), 4, 0.7).collect()}
+    assert got == want and sizes == [20, 10, len(new) - 30]
+    crossed = spark.createDataFrame([(1, 1), (5, 1), (3, 2), (9, 2), (10, 3)], "id long, batch int")
+    assert history.arrivals(crossed) == [(1, 9), (10, 10)]
+
+
 def test_ledger(spark):
     seeds = spark.createDataFrame([("s",), (None,)], "url string")
     rows = [(1, "a"), (2, "s"), (3, "a"), (4, None), (5, ""), (6, ""), (7, "A"), *((i, "hot") for i in range(10, 400))]
