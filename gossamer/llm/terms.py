@@ -1,10 +1,10 @@
 """How often every distinct term occurs, and in how many records.
 
 Terms are maximal runs of letters and digits (Unicode, accents kept) of the lower-cased text.
-Every task sorts the (term, record) pairs of a run of records and scans them into one row a
+Every task counts the terms of a run of records by hash and sorts the distinct ones, one row a
 term (occurrences, records): a record lies in one task whole, so its distinct count just adds
-up. The runs then go through a range-partitioned external sort by term, and a run-length scan
-over the sorted partitions adds them. A term in a third of all records is one row a run.
+up. The runs then go through a range-partitioned external sort by term, and a scan over the
+sorted partitions adds equal neighbours, by a hash grouping within each batch. A term in a third of all records is one row a run.
 """
 
 from __future__ import annotations
