@@ -1,17 +1,20 @@
-"""Which lines of a page are not its main body.
-
-Composite text density: every node of the page's tree gets its characters per tag, adjusted by
-the share of them that are link text; the sum over its children is the density sum, and the
-node with the largest one holds the body. The smallest density on the path from there up to
-the page's root is the threshold. Lines outside that subtree go, whatever they say, but for
-headings and code. Within it density can't decide: table rows, list items and paragraphs full
-of links lie below the threshold, and footers and notices without tags lie above it. There a
-long line above the threshold stays, whatever it talks about, and the others go if they read
-as what sites put into a text: menus, notices, prompts, teasers, ratings, adverts, footers.
-Sources without tags (extracted text, Markdown, wiki) have one run a line and the whole text
-as their tree, so all their lines are judged by how they read.
-
-One pass over whole texts, no shuffle.
+"""Which lines of a page are not its main body, by composite text density.
+
+1. Every node of an HTML page's tree gets its characters per tag, adjusted by the share of them
+   that are link text; the sum over its children is the density sum, and the node with the
+   largest one holds the body. The smallest density on the path from there up to the root is
+   the threshold. Lines outside that subtree aren't main body, but for headings and code.
+2. Sites put the same lines also into the body, and into texts that have no tree (extracted
+   text, Markdown, wiki, LaTeX). So density also teaches: a line outside the subtree, or within
+   it below the threshold and not part of a list, table, heading or code, is noticed. What was
+   noticed on at least LEAST_SHARE of all different pages is a site line, wherever it stands; so is
+   a line most of whose clauses or menu parts are. Numbers and the names of hosts are masked.
+   After a site line that is mostly followed by ever other links, a box caption, short
+   lines count with it up to the next one that is something else.
+
+No word or wording is given: what isn't learned from the tables at hand is not known. Without
+density nothing is learned. Two passes over whole texts; what is shuffled between them is three
+numbers for each noticed line.
 """
 
 from __future__ import annotations
@@ -20,53 +23,28 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread
+from ..shared import cut, spread
 from .markup import _FENCE, _TAG, _TEX_CODE, language, markdown_text, tex_text, tidy, wiki_text
 
-# Names of the sections that menus and breadcrumbs list.
-SECTIONS = frozenset(
-    x.lower()
-    for x in (
-        "Home, Start, News, Blog, About, About us, Contact, Contact us, Careers, Jobs, Prices, Partners, My account, Account, Staff, Site map, Sitemap, Notes, Search, Forum, Reports, "
-        "Lectures, Inspections, Feeds, Register, Basket, Cart, Archive, Tools, Press, Sign in, Sign up, Log in, Login, Log out, Help, FAQ, Visit us, Donate, Field notes, Maps, Grades, Gallery, "
-        "Guides, Shop, Store, Listings, Topics, Opening hours, Courses, Calendar, Events, Directory, Support, Downloads, Neighborhoods, Products, Services, Menu, Terms, Privacy, Imprint, Legal notice, Accessibility"
-    ).split(", ")
-)
-
-# What whole lines around a text say. Site names and numbers stand where .* and \d do.
-CUES = re.compile(
-    r"""(?ix)^(?:
-    (?:©|\(c\)|copyright\s+(?:©\s*|\(c\)\s*)?)\s*\d{4}\b.* | .*\ball\s+rights\s+reserved\.? | all\s+texts\s+\d{4}\s.*
-  | published\s+by\s.*\bedition\.? | .*\bis\s+run\s+by\s+volunteers\b.*\d{4}\.? | \S.{0,60}\s[-–]\s+since\s+\d{4}
-  | by\s+(?:browsing|using|continuing)\b.{0,40}\b(?:accept|agree)\b.* | cookies\s+help\s+us\b.* | we\s+use\s+cookies\b.* | (?:this|our)\s+(?:web)?site\s+(?:stores|uses)\b.*
-  | tracking\s+is\s+(?:off|on)\b.* | we\s+measure\s+visits\b.* | some\s+features\s+need\s+browser\s+storage\b.* | your\s+privacy\s+(?:matters|is\s+important)\b.*
-  | before\s+you\s+continue\s+to\s.* | to\s+improve\s.*\bwe\s+would\s+like\s+to\b.* | .*\band\s+(?:its|our)\s+partners\s+(?:keep|store|use|process)\b.*
-  | (?:refusing\s+does\s+not\s+limit\s+reading|no\s+profile\s+is\s+built\s+from\s+them|you\s+(?:may|can)\s+(?:change\s+this\s+at\s+any\s+time|withdraw\s+consent\b.*)|see\s+the\s+policy\s+for\s+details)\.?
-  | (?:(?:i\s+)?(?:accept|agree|reject|decline|refuse|allow|deny)(?:\s+(?:all|cookies|and\s+close|and\s+continue|all\s+cookies))?(?:\s*[|/·]\s*)?){1,3}
-  | no,?\s+thanks | manage\s+(?:choices|cookies|settings|preferences) | ok(?:ay)?,?\s+got\s+it | got\s+it | save\s+(?:settings|choices|preferences) | (?:cookie\s+)?settings | continue | ok | close | dismiss
-  | (?:log|sign)\s+in\s+(?:to|or|with)\b.{0,40} | you\s+are\s+not\s+(?:logged|signed)\s+in\.? | (?:welcome,\s+)?guest | forgot(?:ten)?\s+(?:your\s+)?password\??
-  | search(?:\s+(?:this\s+site|the\s+site|here|our\s+site))?\s*:?(?:\s*\[?\s*go\s*\]?)? | (?:skip|jump)\s+to\s.{0,30} | (?:toggle|open|close|show)\s+(?:the\s+)?(?:navigation|menu)\b.{0,10} | menu | (?:back\s+to\s+)?top
-  | (?:choose\s+)?language\s*:.* | (?:print|mail|e-?mail|bookmark|share|tweet|pdf|save)(?:\s*[|/·]\s*(?:print|mail|e-?mail|bookmark|share|tweet|pdf|save))+
-  | share\s+(?:this|on|via)\b.{0,30} | (?:follow|like|find)\s+us\s+on\b.{0,40} | newsletter\s*:.* | (?:subscribe|sign\s+up)\s+(?:to|for)\s+(?:our|the)\s+(?:newsletter|feed|mailing\s+list)\b.{0,40}
-  | (?:rate|rating)\s+(?:this|of\s+this)\s+(?:page|article|text)\b.* | rating\s*:.* | \d[\d.,]*\s+(?:comments?|replies|votes?|ratings?|likes|shares|views)\b.{0,40} | (?:leave|write|post|add)\s+a\s+(?:comment|reply)\.?
-  | (?:visitors?|visits|hits|views)\s+(?:today|so\s+far|this\s+\w+)\s*:?\s*\d.* | (?:tags?|filed\s+under|categories|keywords|labels)\s*:.*
-  | advert(?:isement|ising|s)?s? | sponsored(?:\s+(?:content|links?|by\b.*))? | promotion | \[?ad\]?
-  | (?:contact|write\s+to)\s+the\s+(?:webmaster|editors?|office)\.? | best\s+viewed\b.* | page\s+(?:served|rendered|generated|loaded|created)\s+in\s.*\d.* | powered\s+by\s.{1,60}
-  | (?:last\s+(?:updated|modified|changed|edited)|updated|modified)\s+(?:on|at|:)\s*.*\d.* | printed\s+from\s.* | report\s+an?\s+(?:error|problem|bug)
-  | (?:(?:terms(?:\s+(?:of\s+use|of\s+service|and\s+conditions))?|privacy(?:\s+(?:policy|notice))?|contact|imprint|legal(?:\s+notice)?|accessibility|cookies?(?:\s+policy)?|report\s+an\s+error|disclaimer|sitemap|site\s+map|help|about)(?:\s*[|/·–-]\s*|$)){2,}
-    )$""",
-)
-# Captions of boxes with links to other pages.
-TEASERS = re.compile(
-    r"(?i)^(?:popular\s+(?:now|posts|pages|entries)|readers\s+also\s+(?:opened|read|liked|viewed)|elsewhere\s+(?:on\s+this\s+site|here)|you\s+(?:may|might)\s+(?:also\s+)?(?:like|enjoy|want\s+to\s+read).{0,12}|(?:most|more)\s+(?:read|viewed|popular)\b.{0,20}|recent\s+(?:entries|posts|articles|pages|comments)|related\s+(?:pages|posts|articles|links|topics|entries|content|reading)|more\s+from\s.{1,60}|see\s+also|read\s+(?:next|more|on)|latest\s+(?:news|entries|posts)|recommended(?:\s+for\s+you)?|trending(?:\s+now)?|further\s+reading)\s*:?$"
-)
-_SPLIT = re.compile(r"\s*(?:[|»>/·•›→\[\]–]|(?<=\s)[-–](?=\s)|\s{2,}| {2,})\s*")
-_NAME = re.compile(r"^[^\W\d_][\w'’ -]{0,28}$")
+#: Share of the different pages on which a line must be noticed to be a site's, and the least number of them.
+LEAST_SHARE, LEAST_PAGES = 0.001, 3
+#: A caption: this share of its pages have a next link line of their own.
+OWN_NEXT = 0.6
+#: Characters of a line in a box of links.
+BOX_LINE = 90
+
+_PARTS_OF = re.compile(r"\s*(?:[|»>/·•›→\[\]–]|(?<=\s)[-–](?=\s)|\s{2,}|(?<=[.!?])\s|,\s)\s*")
+_NUMBER = re.compile(r"\d(?:[\d.,]*\d)?")
+_SPACE = re.compile(r"\s+")
+_FORMULA = re.compile(r"\s*(?:\\\[|\$\$|\\begin)")
 _GOING = re.compile(r"[.!?;:]$")
 
 
@@ -75,8 +53,8 @@ class Line:
 
     __slots__ = ("density", "inside", "kind", "links", "number", "text")
 
-    def __init__(self, number: int, text: str, links: float = 0.0, kind: str = "", density: float = 0.0, inside: bool = True):
-        self.number, self.text, self.links, self.kind, self.density, self.inside = number, text, links, kind, density, inside
+    def __init__(self, number: int, text: str, kind: str = "", links: float = 0.0, density: float = 0.0, inside: bool = True):
+        self.number, self.text, self.kind, self.links, self.density, self.inside = number, text, kind, links, density, inside
 
 
 def composite(chars: float, link_chars: float, tags: float, link_tags: float, root_chars: float, root_link_chars: float) -> float:
@@ -175,12 +153,12 @@ def html_lines(text: str) -> tuple[list[Line], float]:
         total = sum(p[1] for p in parts)
         linked = sum(p[1] for p in parts if p[2])
         kind = next((p[3] for p in parts if p[1] and p[3]), "")
-        out.append(Line(no, shown, linked / max(1, total), kind, composite(total, linked, len({p[4] for p in parts}), len({p[4] for p in parts if p[2]}), chars[0], links[0]), any(within[p[4]] for p in parts if p[1])))
+        out.append(Line(no, shown, kind, linked / max(1, total), composite(total, linked, len({p[4] for p in parts}), len({p[4] for p in parts if p[2]}), chars[0], links[0]), any(within[p[4]] for p in parts if p[1])))
     return out, least
 
 
-def plain_lines(text: str, lang: str) -> tuple[list[Line], float]:
-    """Lines of a source without a tree, one run each; the threshold is the mean density."""
+def plain_lines(text: str, lang: str) -> list[Line]:
+    """Lines of a source without a tree."""
     text = re.sub(r"<!--.*?(?:-->|\Z)", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
     if lang == "latex":
         text = re.sub(r"(?<!\\)%[^\n]*", "", _TEX_CODE.sub(lambda m: "\\codeblock" + re.sub(r"[^\n]", "", m[0]), text))
@@ -199,33 +177,117 @@ def plain_lines(text: str, lang: str) -> tuple[list[Line], float]:
                 kind = "code"
             pre = bool(opened or pre) and not re.search(r"</(pre|source|syntaxhighlight)", line, re.I)
             if lang == "markdown":
-                kind = kind or "code" * line.startswith(("    ", "\t")) or "h1" * bool(re.match(r" {0,3}#{1,6} |\s*<h[1-6]", line)) or "item" * bool(re.match(r" {0,3}(?:[-+*]|\d{1,9}[.)]) ", line))
+                kind = kind or "code" * line.startswith(("    ", "\t")) or "h1" * bool(re.match(r" {0,3}#{1,6} |\s*<h[1-6]", line))
             else:
-                kind = kind or "h1" * bool(re.match(r"=+.+=+\s*$", line)) or "item" * line.startswith(("*", "#")) or "cell" * line.startswith(("{|", "|", "!"))
+                kind = kind or "h1" * bool(re.match(r"=+.+=+\s*$", line))
         elif lang == "latex":
-            kind = "h1" * ("section" in line) or "item" * ("\\item" in line)
-        elif re.match(r"\s*(?:[•*◦▪‣]|\d+[.)])\s+\S", line):
-            kind = "item"
-        links = re.findall(r"!?\[([^\[\]]*)\]\([^)]*\)|\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[(?:https?:/)?/\S+ ([^\]]*)\]", line) if lang in ("markdown", "wiki") else []
+            kind = "h1" * ("section" in line)
         shown = read(line) if lang != "text" else line.strip()
-        if not shown:
-            continue
-        linked = sum(len(a or b or c) for a, b, c in links)
-        out.append(Line(no, shown, min(1.0, linked / len(shown)), kind, composite(len(shown), linked, 1 + len(links), len(links), 1, 0)))
-    mean = sum(x.density for x in out) / len(out) if out else 0.0
-    return out, mean
+        if shown:
+            out.append(Line(no, shown, kind))
+    return out
+
+
+def masks(host: str | None) -> re.Pattern | None:
+    """Matches a host's name and its longest label, with the capitalised words after it: how sites call themselves."""
+    if not host:
+        return None
+    label = max(host.lower().split("."), key=len)
+    return re.compile(rf"(?i:{re.escape(host)}|{re.escape(label)})(?: [A-Z]\w+)*") if label else None
+
+
+def _masked(text: str, mask: re.Pattern | None) -> str:
+    return _NUMBER.sub("0", (mask.sub("§", text) if mask else text).strip().lower())
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(_SPACE.sub(" ", text).strip(" .!?,:;")) - (1 << 63)
+
+
+def whole_key(text: str, mask: re.Pattern | None) -> int:
+    return _key(_masked(text, mask))
+
+
+def part_keys(text: str, mask: re.Pattern | None) -> list[int]:
+    """Keys of the clauses and menu parts of a line."""
+    return [_key(p) for p in _PARTS_OF.split(_masked(text, mask)) if p.strip(" .!?,:;")]
+
 
+def is_article(x: Line) -> bool:
+    return x.kind == "code" or x.kind[:1] == "h" or bool(_FORMULA.match(x.text))
 
-def _menu(text: str, names: frozenset[str]) -> bool:
-    """A line that lists sections or a way through them."""
-    parts = [p for p in _SPLIT.split(text.strip(" []|»>/·•-–")) if p]
-    if not parts or not all(_NAME.match(p) for p in parts):
-        return False
-    known = sum(p.lower() in names for p in parts)
-    return known == len(parts) if len(parts) == 1 else known * 2 >= len(parts)
 
+def noticed(x: Line, threshold: float) -> bool:
+    """A line that density puts aside."""
+    return not is_article(x) and (not x.inside or x.density < threshold and x.kind not in ("item", "cell"))
 
-def other_lines(text: str | None, source: str, title: str | None = None, names: frozenset[str] = SECTIONS) -> list[int]:
+
+@dataclass
+class SiteLines:
+    """Keys of the site lines of a corpus, and those of them that are captions; sorted."""
+
+    known: np.ndarray
+    captions: np.ndarray
+
+
+def noticed_rows(text: str | None, host: str | None) -> tuple[int | None, list[tuple[int, int | None]]]:
+    """Identity of a page, the hash of its longest line, and the keys it notices, a line's with the key of the link line that follows it."""
+    if not text or language(text) != "html":
+        return None, []
+    lines, threshold = html_lines(text)
+    if not lines:
+        return None, []
+    mask, out = masks(host), {}
+    held = [x if noticed(x, threshold) else None for x in lines]
+    keys = [whole_key(x.text, mask) if x else None for x in held]
+    for i, x in enumerate(held):
+        if x:
+            after = held[i + 1] if i + 1 < len(held) else None
+            out[keys[i]] = keys[i + 1] if after and after.links > 0.9 else None
+            for k in part_keys(x.text, mask):
+                out.setdefault(k, None)
+    return xxhash.xxh64_intdigest(max((x.text for x in lines), key=len)) - (1 << 63), list(out.items())
+
+
+def site_lines(pages: DataFrame, share: float = LEAST_SHARE, least: int = LEAST_PAGES) -> SiteLines:
+    """The site lines that density finds in `pages` (host, text).
+
+    Pages of one longest line count once, so copies of a text, however many, don't make its lines
+    a site's. A known key is on at least `share` of the different pages, so there are at most
+    1 / share times as many as a page notices on average, however large the corpus is: that
+    many numbers are collected and broadcast. An empty table knows nothing.
+    """
+    spark = pages.sparkSession
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for b in batches:
+            for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                page, rows = noticed_rows(text, host)
+                if page is not None:
+                    seen.add((None, page, None))
+                    seen.update((k, page, after) for k, after in rows)
+            if len(seen) > 500_000:
+                yield _rows(seen, 3)
+                seen.clear()
+        yield _rows(seen, 3)
+
+    def _rows(rows: set[tuple], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(n)], ["key", "page", "after"][:n])
+
+    found = spread(pages.select("host", "text")).mapInArrow(fn, "key bigint, page bigint, after bigint")
+    once = cut(found.groupBy("key", "page").agg(F.min("after").alias("after")), "noticed")
+    total = once.where("key IS NULL").count()
+    often = once.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= max(least, share * total))
+    often = cut(often, "site-lines")
+    known = F.broadcast(often)  # see above for its bound
+    after = once.where("key IS NOT NULL AND after IS NOT NULL").join(known, "key").join(F.broadcast(often.select(F.col("key").alias("after"))), "after", "left_anti")
+    owned = after.groupBy("key").agg(F.count(F.lit(1)).alias("owned"))
+    rows = often.join(owned, "key", "left").select("key", (F.col("owned") > OWN_NEXT * F.col("pages")).alias("caption")).collect()
+    return SiteLines(np.sort(np.array([r.key for r in rows], np.int64)), np.sort(np.array([r.key for r in rows if r.caption], np.int64)))
+
+
+def other_lines(text: str | None, source: str, title: str | None, host: str | None, known: set[int], captions: set[int]) -> list[int]:
     """Numbers of the lines of `text` that show a reader something which isn't main body.
 
     source: 'text' for extracted text, 'page' for a source in any markup language.
@@ -233,53 +295,42 @@ def other_lines(text: str | None, source: str, title: str | None = None, names:
     if not text:
         return []
     lang = "text" if source == "text" else language(text)
-    lines, threshold = html_lines(text) if lang == "html" else plain_lines(text, lang)
-    heads = {tidy(title or "").lower()} | {x.text.lower() for x in lines if x.kind[:1] == "h"}
-    heads.discard("")
-    out: list[int] = []
-    marks = [""] * len(lines)
-    box = False
-    for i, x in enumerate(lines):
-        text_ = tidy(x.text)
-        article = x.kind == "code" or x.kind[:1] == "h"
-        if x.inside and x.density >= threshold and len(text_) > 160 or article:
+    lines = html_lines(text)[0] if lang == "html" else plain_lines(text, lang)
+    mask, out, box = masks(host), [], False
+    heads = {h for h in (tidy(title or "").lower(), *(tidy(x.text).lower() for x in lines if x.kind[:1] == "h")) if h}
+    for x in lines:
+        if is_article(x):
             box = False
             continue
-        if TEASERS.match(text_) and x.kind != "item":
-            marks[i], box = "teaser", True
-        elif x.kind == "item" and x.links < 0.9:
-            box = False
-        elif _menu(x.text, names):
-            marks[i], box = "menu", False
-        elif CUES.match(text_):
-            marks[i], box = "cue", False
-        elif box and not _GOING.search(text_) and len(text_) < 90 and (x.links > 0.9 or lang == "text" and not any(h.startswith(text_.lower()) for h in heads)):
-            marks[i] = "teaser"
+        key = whole_key(x.text, mask)
+        if not x.inside or key in known:
+            box = key in captions
         else:
-            box = False
-    # a name among sections is a section of this site, unless the page's title begins with it
-    for i, x in enumerate(lines):
-        if not marks[i] and not any(h.startswith(tidy(x.text).lower()) for h in heads) and x.kind in ("", "cell", "item") and _NAME.match(tidy(x.text)) and len(tidy(x.text).split()) <= 2 and (x.links > 0.9 or lang == "text"):
-            before = i > 0 and marks[i - 1] == "menu" and (lines[i - 1].number >= x.number - 1 or lang == "text")
-            if before and (i < 2 or marks[i - 2] == "menu" or i + 1 < len(lines) and marks[i + 1]):
-                marks[i] = "menu"
-    # outside the subtree of the body a line needn't read as anything
-    out = [x.number for x, m in zip(lines, marks) if m or not x.inside and x.kind != "code" and x.kind[:1] != "h"]
+            shown = tidy(x.text)
+            parts = part_keys(x.text, mask)
+            if len(parts) > 1 and 2 * sum(p in known for p in parts) > len(parts):
+                box = False
+            elif not box or len(shown) >= BOX_LINE or _GOING.search(shown) or any(h.startswith(shown.lower()) for h in heads):
+                box = False
+                continue
+        out.append(x.number)
     return out
 
 
-def other_line_rows(records: DataFrame, source: str) -> DataFrame:
-    """(rec_id, line_no) of `records` (rec_id, title, text), distinct: the lines that aren't main body.
+def other_line_rows(records: DataFrame, source: str, lines: SiteLines) -> DataFrame:
+    """(rec_id, line_no) of `records` (rec_id, host, title, text), distinct: the lines that aren't main body.
 
     Lines are counted from 1 and split at newlines. Null and empty texts have none, a null
-    title is like an empty one. source as in other_lines.
+    title is like an empty one, a null host masks nothing. source as in other_lines.
     """
+    sent = records.sparkSession.sparkContext.broadcast((lines.known.tobytes(), lines.captions.tobytes()))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, captions = (set(np.frombuffer(x, np.int64).tolist()) for x in sent.value)
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.slice(i, 1000)
-                rows = [(rec, no) for rec, title, text in zip(*(part.column(c).to_pylist() for c in range(3))) for no in other_lines(text, source, title)]
+                rows = [(rec, no) for rec, host, title, text in zip(*(part.column(c).to_pylist() for c in range(4))) for no in other_lines(text, source, title, host, known, captions)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int32()))], ["rec_id", "line_no"])
 
-    return spread(records.select(F.col("rec_id").cast("bigint"), "title", "text")).mapInArrow(fn, "rec_id bigint, line_no int").distinct()
+    return spread(records.select(F.col("rec_id").cast("bigint"), "host", "title", "text")).mapInArrow(fn, "rec_id bigint, line_no int").distinct()

@@ -46,9 +46,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "crawl_pages", "page_id", "title", "content").toDF("rec_id", "title", "text")
-    docs = table(spark, folder, "index_docs", "index_id", "title", "contents").toDF("rec_id", "title", "text")
-    found = [boilerplate.other_line_rows(df, kind).select(F.lit(src).alias("src"), "rec_id", "line_no") for df, kind, src in ((pages, "page", "page"), (docs, "text", "index"))]
+    pages = table(spark, folder, "crawl_pages", "page_id", "host", "title", "content").toDF("rec_id", "host", "title", "text")
+    docs = table(spark, folder, "index_docs", "index_id", "host", "title", "contents").toDF("rec_id", "host", "title", "text")
+    lines = boilerplate.site_lines(pages.select("host", "text"))
+    found = [boilerplate.other_line_rows(df, kind, lines).select(F.lit(src).alias("src"), "rec_id", "line_no") for df, kind, src in ((pages, "page", "page"), (docs, "text", "index"))]
     return found[0].unionByName(found[1])
 
 

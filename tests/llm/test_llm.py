@@ -342,35 +342,63 @@ def test_markup_rows(spark):
     assert got.count() == 8 and got.where("page_id = 3").count() == 1
 
 
-PAGE = """<html><head><title>Deep fjords - Site Notes</title>
-</head><body>
-<div class="nav"><a href="/h">Home</a> » <a href="/m">Maps</a> » <a href="/o">Ownsection</a></div>
-<span>By browsing on you accept our cookies. You may change this at any time.</span><br>
-<h1>Deep fjords</h1>
-Copyright was a stout question for the walrus, who collected heaps of krill. Our privacy hedge is strange and measures the parking under heavy rain, says the report.<br>
-<ul>
-<li>Maps burrow</li>
-</ul>
-<p><small>Tags: fjord, krill</small></p>
-<div class="box"><b>Related pages</b><br>
-<a href="/go/1">On the walrus</a><br>
-</div>
-<a href="#">© 2020 Site Notes</a><br>
-</body></html>"""
-
-
 def test_lines_outside_the_body_go_whatever_they_say():
     article = [f"<p>In the fjord number {i} the walrus collected heaps of krill, said the report, and nobody had counted them before the thaw.</p>" for i in range(8)]
     page = "\n".join(["<html><body>", '<div class="side">', "<a href='/z'>Seventeen puffins wait for you</a>", "Zorblat tells all, each Monday", "<h2>A heading</h2>", "</div>", '<div class="main">', *article, "A short line of the article", "</div>", "</body></html>"])
-    assert boilerplate.other_lines(page, "page") == [3, 4]
+    of = lambda text: boilerplate.other_lines(text, "page", None, None, set(), set())
+    assert of(page) == [3, 4]
     dense = "\n".join(["<html><body><center>", *[x.replace("p>", "i>") for x in article[:2]], "<ol>", *[f"<li>The walrus of fjord {i} collected krill until further notice.</li>" for i in range(9)], "</ol>", "</center></body></html>"])
-    assert boilerplate.other_lines(dense, "page") == []
+    assert of(dense) == []
+    assert of(None) == of("") == []
 
 
-def test_other_lines(spark):
-    assert boilerplate.other_lines(PAGE, "page", "Deep fjords") == [3, 4, 10, 11, 12, 14]
-    plain = "Home\nMaps\nOwnsection\nDeep fjords\nCopyright was a stout question for the walrus, who collected heaps of krill.\nMaps burrow\nAccept all\nPopular now\nOn the walrus\nLast updated on 3 May 2020"
-    assert boilerplate.other_lines(plain, "text", "Deep fjords") == [1, 2, 3, 7, 8, 9, 10]
-    assert boilerplate.other_lines(None, "text") == boilerplate.other_lines("", "page") == []
-    df = spark.createDataFrame([(1, None, PAGE), (1, None, PAGE), (2, "t", None), (3, "", "Menu\n" + "word " * 20_000)], "rec_id long, title string, text string")
-    assert {(r.rec_id, r.line_no) for r in boilerplate.other_line_rows(df, "page").collect()} >= {(1, 4), (1, 14), (3, 1)}
+def _site_pages():
+    """(rec_id, host, title, text) of 12 HTML pages and one extracted text, with what isn't body by line numbers."""
+    word = lambda i, j: "".join(chr(97 + (i * 31 + j * 7 + k * k * (i + 2 * j + 1)) % 26) for k in range(7))
+    sentence = lambda i, j: " ".join(word(i, 10 * j + k) for k in range(14)).capitalize() + "."
+    pages, cases = [], set()
+    for i in range(12):
+        lines = [
+            "<html><body>", '<div><a href="/a">Zorb</a> | <a href="/b">Quill</a> | <a href="/c">Vantel</a></div>', "<div>", f"<h1>{word(i, 1)}</h1>", *(f"<p>{sentence(i, j)}</p>" for j in range(6)),
+            "<p><small>Mirf dolun 17 tarasi</small></p>" if i % 2 else "<p></p>", "</div>", "<div><b>Skar onim</b><br>", f'<a href="/1">{word(i, 2)} {word(i, 3)}</a><br>', f'<a href="/2">{word(i, 4)} {word(i, 5)}</a><br>', "</div>", "<p><small>Mirf dolun 4 tarasi</small></p>", "</body></html>",
+        ]
+        pages.append((i, f"www.site{i % 3}.example", None, "\n".join(lines)))
+        cases |= {(i, n) for n, x in enumerate(lines, 1) if any(y in x for y in ("Zorb", "Mirf", "Skar", 'href="/1', 'href="/2'))}
+    text = ["Quill", "A title", sentence(40, 1), "Vantel burrow", "Mirf dolun 9 tarasi", "Skar onim", "fresh walrus", "Zorb | Quill | Other"]
+    return pages, cases, [(77, "www.site1.example", "A title", "\n".join(text))], {(77, n) for n in (1, 5, 6, 7, 8)}
+
+
+def _found(spark, pages, texts):
+    kind = "rec_id long, host string, title string, text string"
+    html_pages, plain = spark.createDataFrame(pages, kind), spark.createDataFrame(texts, kind)
+    lines = boilerplate.site_lines(html_pages.select("host", "text"))
+    return {(r.rec_id, r.line_no) for df, source in ((html_pages, "page"), (plain, "text")) for r in boilerplate.other_line_rows(df, source, lines).collect()}
+
+
+def test_site_lines_are_learned_through_density(spark, monkeypatch):
+    pages, cases, texts, more = _site_pages()
+    assert _found(spark, pages + pages, texts) == cases | more
+    # another wording of everything a reader sees gives the same rows: no word is known beforehand
+    other = str.maketrans("abcdefghijklmnopqrstuvwxyz", "kvpzqxjwybcdfghlmnrstueoia")
+    again = [(i, h, None, re.sub(r"(?<=>)[^<]+", lambda m: m[0].lower().translate(other), x)) for i, h, _, x in pages]
+    texts_again = [(i, h, t.lower().translate(other), x.lower().translate(other)) for i, h, t, x in texts]
+    assert _found(spark, again, texts_again) == cases | more
+    # a third of all pages as copies of one text: its lines stay
+    copies = [(100 + i, "www.site1.example", None, pages[0][3]) for i in range(12)]
+    assert {x for x in _found(spark, pages + copies, texts) if x[0] < 100} == cases | more
+    # without density other lines go, and other lines are learned
+    outside = lambda: {(i, n) for i, h, t, x in pages for n in boilerplate.other_lines(x, "page", t, h, set(), set())}
+    taught = lambda: {k for i, h, _, x in pages for k, _ in boilerplate.noticed_rows(x, h)[1]}
+    before = outside(), taught()
+    monkeypatch.setattr(boilerplate, "composite", lambda *_: 1.0)
+    assert outside() != before[0] and taught() != before[1]
+
+
+def test_other_line_rows_of_odd_tables(spark):
+    pages, cases, _, _ = _site_pages()
+    kind = "rec_id long, host string, title string, text string, line_no int"
+    odd = spark.createDataFrame([(1, None, None, None, 5), (2, "", "t", "", 5), (3, "h", "t", "Zorb\n" + "word " * 20_000, 5), (None, None, None, "Zorb", 5)], kind)
+    lines = boilerplate.site_lines(spark.createDataFrame(pages, kind.rpartition(",")[0]).select("host", "text"))
+    assert {(r.rec_id, r.line_no) for r in boilerplate.other_line_rows(odd, "page", lines).collect()} == {(3, 1), (None, 1)}
+    nothing = boilerplate.site_lines(odd.where("rec_id > 9").select("host", "text"))
+    assert len(nothing.known) == 0 and boilerplate.other_line_rows(odd, "page", nothing).count() == 0
