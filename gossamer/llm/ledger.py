@@ -18,17 +18,22 @@ from pyspark.sql import functions as F
 from ..shared import shared_path
 
 
+#: Keys that a bucket of the ledger is made for.
+BUCKET_KEYS = 4_000_000
+
+
 class KeyLedger:
     """Exact ledger at `path` (a new one in the shared folder by default).
 
     Null keys are never seen and never stored. Rows with the same arrival count as one
     arrival: of a new key both are unseen. An empty batch changes nothing. Keys are compared
     as stored, byte by byte; an empty string is a key. Columns besides key and arrival play no part.
+    keys: how many keys the ledger is going to hold, by which it is cut into buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, keys: int = 0):
         self.spark, self.path = spark, path or shared_path(spark, "ledger")
-        self.buckets = buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // BUCKET_KEYS))
         self.table = f"ledger_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (key STRING, batch BIGINT, first_at BIGINT) USING parquet "
@@ -58,9 +63,30 @@ class KeyLedger:
             mine = self.history().where(F.col("batch") == batch_no)
         return rows.join(mine.select(F.col("first_at").alias("at")), "at", "left_anti").select("key", "at")
 
+    def close(self) -> None:
+        """Takes the ledger's name out of the catalog; its files stay where they are, and so do answers that read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def seen_keys(batch: DataFrame, history: DataFrame, key: str, arrival: str) -> DataFrame:
     """Rows (key, at) of `batch` whose key is in `history` or in a row of `batch` that arrived earlier."""
-    ledger = KeyLedger(batch.sparkSession)
+    ledger = KeyLedger(batch.sparkSession, keys=batch.count())
     ledger.accept(history.select(key, F.lit(-1).alias("__at")), key, "__at", 0)
-    return ledger.accept(batch, key, arrival, 1)
+    seen = ledger.accept(batch, key, arrival, 1)
+    ledger.close()
+    return seen
+
+
+def wrong_answers(seen: DataFrame, batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """One row (asked, seen, wrong, wrong_rate): how often the answers `seen` (key, at) to `batch` are wrong.
+
+    Checked by another way than the ledger's: of a key's rows all but the first must be seen,
+    and the first too if `history` has the key. Rows are counted a key on both sides, and
+    what is too many or too few is wrong. Without a row to ask about the rate is 0.
+    """
+    asked = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("asked"))
+    said = seen.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    old = history.select(F.col(key).alias("key"), F.lit(1).alias("old")).where("key IS NOT NULL").distinct()
+    both = asked.join(said, "key", "left").join(old, "key", "left").select("asked", F.coalesce("seen", F.lit(0)).alias("seen"), (F.col("asked") - 1 + F.coalesce("old", F.lit(0))).alias("due"))
+    whole = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in ((F.col("asked"), "asked"), (F.col("seen"), "seen"), (F.abs(F.col("seen") - F.col("due")), "wrong"))))
+    return whole.withColumn("wrong_rate", F.coalesce(F.col("wrong") / F.nullif(F.col("asked"), F.lit(0)), F.lit(0.0)))

@@ -3,8 +3,10 @@
 Every document of a source gets the same expected number of copies; what exceeds a whole
 number is rounded by pivotal sampling: two fractions meet, token mass moves from one to the
 other in a random direction until one of them is whole, and the other goes on. The mass of a
-source stays the same in every step, so its share is met up to a part of one document. A task
-leaves one fraction a source; these residuals are combined through a tree of ever fewer tasks.
+source stays the same in every step, so its share is met up to a part of one document. Documents
+are dealt to homes by a hash of their id, about HOME to a home, and meet there in the order of that
+hash; a home leaves one fraction a source, and these residuals are combined through a tree of ever
+fewer homes. Neither the layout of the table nor the number of cores plays a part.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ from ..shared import cut, spread
 from .encoding import token_counts, vocabulary_path
 from .shingles import U, mix
 
-#: Tasks whose residuals one task of the next level combines.
-FAN_IN = 32
+#: Documents of a home on average, and homes whose residuals one home of the next level combines.
+HOME, FAN_IN = 100_000, 32
 SEED = 20_240_501
 
 _ROW = "doc_id bigint, source string, tokens bigint, whole int, part double"
-_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64())
 
 
 def source_name(c: str) -> Column:
@@ -95,27 +96,19 @@ def pivotal(ids: np.ndarray, tokens: np.ndarray, part: np.ndarray, seed: int = S
     return part
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rounds all rows of a task but one residual a source; residuals come last, with their part."""
-    kept: dict[str, tuple] = {}
-    for b in batches:
-        ids, tokens, whole, part = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
-        names = np.array(b.column(1).to_pylist(), object)
-        for name in sorted(set(names)):
-            at = names == name
-            cols = [ids[at], tokens[at], whole[at], part[at].astype(float)]
-            if name in kept:
-                cols = [np.append(np.array([v]), c) for v, c in zip(kept.pop(name), cols)]
-            cols[3] = pivotal(cols[0].astype(np.int64), cols[1], cols[3])
-            rest = np.flatnonzero((cols[3] > 0) & (cols[3] < 1))
-            if len(rest):
-                kept[name] = tuple(c[rest[0]] for c in cols)
-                cols = [np.delete(c, rest) for c in cols]
-            n = len(cols[0])
-            values = (cols[0], [name] * n, cols[1], cols[2] + np.round(cols[3]).astype(np.int64), [None] * n)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _KINDS)], ["doc_id", "source", "tokens", "whole", "part"])
-    left = [(v[0], name, v[1], v[2], v[3]) for name, v in sorted(kept.items())]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in left], kind) for k, kind in enumerate(_KINDS)], ["doc_id", "source", "tokens", "whole", "part"])
+def _combine(rows: pa.Table) -> pa.Table:
+    """Rounds all rows of a home but one residual a source, which keeps its part."""
+    rows = rows.sort_by([("source", "ascending"), ("place", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
+    ids, tokens, whole, part = (rows.column(c).to_numpy() for c in ("doc_id", "tokens", "whole", "part"))
+    names = rows.column("source").combine_chunks().dictionary_encode()
+    code, part, whole = names.indices.to_numpy(), part.copy(), whole.copy()
+    left = np.zeros(len(part), bool)
+    for c in range(len(names.dictionary)):
+        at = np.flatnonzero(code == c)
+        part[at] = pivotal(ids[at].astype(np.int64), tokens[at], part[at])
+        left[at] = (part[at] > 0) & (part[at] < 1)
+    whole = whole + np.where(left, 0, np.round(part)).astype(whole.dtype)
+    return pa.table([rows.column("doc_id"), rows.column("source"), rows.column("tokens"), pa.array(whole, pa.int32()), pa.array(part, pa.float64(), mask=~left)], ["doc_id", "source", "tokens", "whole", "part"])
 
 
 def mixed(documents: DataFrame, targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +117,7 @@ def mixed(documents: DataFrame, targets: DataFrame, path: str | None = None) ->
     shares: for each target source its target_share, documents and tokens there, copies and
     tokens taken and actual_share; a source that has no documents shows as 0. A document is
     taken at most max_repeats times; documents without tokens are never taken. The draw depends
-    on SEED and the ids only. Empty tables give an empty mixture.
+    on SEED, the ids and the number of documents only. Empty tables give an empty mixture.
     """
     spark = documents.sparkSession
     docs = cut(measured(documents, path), "measured")
@@ -133,17 +126,20 @@ def mixed(documents: DataFrame, targets: DataFrame, path: str | None = None) ->
     items = docs.where("tokens > 0").join(F.broadcast(copies), "source")  # as many rows as there are targets
     floor = F.floor(F.col("expected") + 1e-12)
     items = items.select("doc_id", "source", "tokens", floor.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("expected") - floor).alias("part"))
-    level = cut(items.mapInArrow(_combine, _ROW), "level")
-    done, tasks = level.where("part IS NULL"), max(1, items.rdd.getNumPartitions())
+    # nothing but the number of documents decides how many homes there are
+    homes, level, done = max(1, -(-sum(r["documents"] for r in rows if r["copies"] > 0) // HOME)), items, None
+    place = F.xxhash64("doc_id", F.lit(SEED))
     while True:
-        tasks = -(-tasks // FAN_IN)
-        level = cut(level.where("part IS NOT NULL").repartition(tasks, "doc_id").sortWithinPartitions("source", "doc_id").mapInArrow(_combine, _ROW), "level")
-        done = done.unionByName(level.where("part IS NULL"))
-        if tasks == 1:
+        dealt = level.withColumn("place", place).withColumn("home", F.pmod("place", F.lit(homes)))
+        level = cut(dealt.groupBy("home").applyInArrow(_combine, _ROW), "level")
+        done = level.where("part IS NULL") if done is None else done.unionByName(level.where("part IS NULL"))
+        level = level.where("part IS NOT NULL")
+        if homes == 1:
             break
+        homes = -(-homes // FAN_IN)
     # one residual a source: its part decides as a probability
     coin = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    last = level.where("part IS NOT NULL").withColumn("whole", F.col("whole") + (coin < F.col("part")).cast("int"))
+    last = level.withColumn("whole", F.col("whole") + (coin < F.col("part")).cast("int"))
     mixture = done.unionByName(last).where("whole > 0").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
     mixture = cut(mixture, "mixture")
     asked = spark.createDataFrame([(r["source"], r["share"], r["cap"], r["documents"], r["tokens"]) for r in rows], "source string, target_share double, max_repeats int, documents bigint, tokens bigint")

@@ -66,6 +66,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.seen_keys(links, seeds, "unique_url", "link_id").select(F.col("at").alias("link_id"))
 
 
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the answers of p6_found are wrong."""
+    links, seeds = table(spark, folder, "page_links", "link_id", "unique_url"), table(spark, folder, "seed_urls", "unique_url")
+    return ledger.wrong_answers(ledger.seen_keys(links, seeds, "unique_url", "link_id"), links, seeds, "unique_url")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encoded(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_text": p5_text,
     "p6_found": p6_found,
+    "p6_report": p6_report,
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
@@ -160,4 +167,7 @@ ORACLE: dict[str, str] = {
     "p6_found": """
         SELECT link_id FROM (SELECT link_id, unique_url, min(link_id) OVER (PARTITION BY unique_url) AS first_at FROM page_links WHERE unique_url IS NOT NULL) x
         WHERE link_id > first_at OR unique_url IN (SELECT unique_url FROM seed_urls WHERE unique_url IS NOT NULL)""",
+    "p6_report": """
+        SELECT count(*) AS asked, count_if(link_id > first_at OR unique_url IN (SELECT unique_url FROM seed_urls WHERE unique_url IS NOT NULL)) AS seen, 0 AS wrong, 0.0 AS wrong_rate
+        FROM (SELECT link_id, unique_url, min(link_id) OVER (PARTITION BY unique_url) AS first_at FROM page_links WHERE unique_url IS NOT NULL) x""",
 }
