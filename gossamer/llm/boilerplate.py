@@ -19,6 +19,7 @@ numbers for each noticed line.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -43,7 +44,6 @@ BOX_LINE = 90
 
 _PARTS_OF = re.compile(r"\s*(?:[|»>/·•›→\[\]–]|(?<=\s)[-–](?=\s)|\s{2,}|(?<=[.!?])\s|,\s)\s*")
 _NUMBER = re.compile(r"\d(?:[\d.,]*\d)?")
-_SPACE = re.compile(r"\s+")
 _FORMULA = re.compile(r"\s*(?:\\\[|\$\$|\\begin)")
 _GOING = re.compile(r"[.!?;:]$")
 
@@ -188,6 +188,7 @@ def plain_lines(text: str, lang: str) -> list[Line]:
     return out
 
 
+@functools.lru_cache(10_000)
 def masks(host: str | None) -> re.Pattern | None:
     """Matches a host's name and its longest label, with the capitalised words after it: how sites call themselves."""
     if not host:
@@ -201,16 +202,16 @@ def _masked(text: str, mask: re.Pattern | None) -> str:
 
 
 def _key(text: str) -> int:
-    return xxhash.xxh64_intdigest(_SPACE.sub(" ", text).strip(" .!?,:;")) - (1 << 63)
+    return xxhash.xxh64_intdigest(" ".join(text.split()).strip(" .!?,:;")) - (1 << 63)
 
 
 def whole_key(text: str, mask: re.Pattern | None) -> int:
     return _key(_masked(text, mask))
 
 
-def part_keys(text: str, mask: re.Pattern | None) -> list[int]:
-    """Keys of the clauses and menu parts of a line."""
-    return [_key(p) for p in _PARTS_OF.split(_masked(text, mask)) if p.strip(" .!?,:;")]
+def part_keys(masked: str) -> list[int]:
+    """Keys of the clauses and menu parts of a masked line."""
+    return [_key(p) for p in _PARTS_OF.split(masked) if p.strip(" .!?,:;")]
 
 
 def is_article(x: Line) -> bool:
@@ -244,7 +245,7 @@ def noticed_rows(text: str | None, host: str | None) -> tuple[int | None, list[t
         if x:
             after = held[i + 1] if i + 1 < len(held) else None
             out[keys[i]] = keys[i + 1] if after and after.links > 0.9 else None
-            for k in part_keys(x.text, mask):
+            for k in part_keys(_masked(x.text, mask)):
                 out.setdefault(k, None)
     return xxhash.xxh64_intdigest(max((x.text for x in lines), key=len)) - (1 << 63), list(out.items())
 
@@ -287,6 +288,10 @@ def site_lines(pages: DataFrame, share: float = LEAST_SHARE, least: int = LEAST_
     return SiteLines(np.sort(np.array([r.key for r in rows], np.int64)), np.sort(np.array([r.key for r in rows if r.caption], np.int64)))
 
 
+def _in_box(shown: str, heads: set[str]) -> bool:
+    return len(shown) < BOX_LINE and not _GOING.search(shown) and not any(h.startswith(shown.lower()) for h in heads)
+
+
 def other_lines(text: str | None, source: str, title: str | None, host: str | None, known: set[int], captions: set[int]) -> list[int]:
     """Numbers of the lines of `text` that show a reader something which isn't main body.
 
@@ -302,15 +307,15 @@ def other_lines(text: str | None, source: str, title: str | None, host: str | No
         if is_article(x):
             box = False
             continue
-        key = whole_key(x.text, mask)
+        masked = _masked(x.text, mask)
+        key = _key(masked)
         if not x.inside or key in known:
             box = key in captions
         else:
-            shown = tidy(x.text)
-            parts = part_keys(x.text, mask)
+            parts = part_keys(masked)
             if len(parts) > 1 and 2 * sum(p in known for p in parts) > len(parts):
                 box = False
-            elif not box or len(shown) >= BOX_LINE or _GOING.search(shown) or any(h.startswith(shown.lower()) for h in heads):
+            elif not box or not _in_box(tidy(x.text), heads):
                 box = False
                 continue
         out.append(x.number)
