@@ -4,7 +4,13 @@ Two sets of sizes a and b with a similarity of at least t share o = ceil(t / (1
 shingles, so in any common order of the shingles they share at least LEAST of the first
 a - o + LEAST and b - o + LEAST. The order is rarest first by a frequency sketch of fixed size
 over the whole corpus, so frequent shingles are hardly ever posted and lists stay short; any
-order gives the same pairs. Postings travel packed, a row for each run of texts and bucket.
+order gives the same pairs. Postings travel packed, a row for each run of texts and tile.
+
+A tile is a range of the hash within a size band (an octave of sizes): a set is posted in the band
+of its own size and in those that a partner of up to size / t may have, and a pair is found in
+the band of its larger set. With each set goes its bitmap, which has the width of the band, so the
+bit counts of all pairs of a chunk are taken at once; they bound the overlap from above before
+any set is read. A shingle that the sketch takes for hot is dealt to tiles of pairs of blocks.
 """
 
 from __future__ import annotations
@@ -16,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import HASH_BITS, U, cells, needed_overlap, pack48, rare_first, unpack48
+from .shingles import HASH_BITS, U, cells, mix, needed_overlap, pack48, parity_words, rare_first, size_band, unpack48
 
 #: Shared anchors that a pair must have (fewer if its sets are smaller than that).
 LEAST = 8
-#: Postings that a task holds before it writes a run, and pairs expanded at once.
-RUN, CHUNK = 1_000_000, 2_000_000
+#: Postings that a task holds before it writes a run, pairs expanded at once, and pairs whose bitmaps are held at once.
+RUN, CHUNK, MAPS = 1_000_000, 2_000_000, 50_000
+#: Sets of a list that are compared in one task; a longer one is split into blocks of about so many.
+HOT = 20_000
+#: Greatest place that is kept; the bit above it tells the block of a split list.
+LAST_PLACE = 32767
 
 
 def prefix_length(n: int, t: float) -> int:
@@ -29,14 +39,17 @@ def prefix_length(n: int, t: float) -> int:
 
 
 class Run:
-    """Postings of one run of sets, packed a bucket of the hash range at a time."""
+    """Postings of one run of sets, packed a tile at a time.
+
+    banded: with size bands, bitmaps and split lists; else there is one band, and no bitmaps.
+    """
 
-    def __init__(self, buckets: int, t: float, ranks: np.ndarray):
-        self.buckets, self.t, self.ranks = buckets, t, ranks
+    def __init__(self, buckets: int, t: float, ranks: np.ndarray, banded: bool = False, hot: int = HOT):
+        self.buckets, self.t, self.ranks, self.banded, self.hot = buckets, t, ranks, banded, hot
         self.clear()
 
     def clear(self) -> None:
-        self.fps, self.sizes, self.hashes, self.seen, self.posted = [], [], [], set(), 0
+        self.fps, self.sizes, self.hashes, self.maps, self.seen, self.posted = [], [], [], [], set(), 0
 
     def add(self, fp: int, s: np.ndarray) -> None:
         if fp in self.seen:
@@ -46,27 +59,55 @@ class Run:
         self.fps.append(fp)
         self.sizes.append(len(s))
         self.hashes.append(h)
+        if self.banded:
+            self.maps.append([parity_words(s, band) for band in range(size_band(len(s)), size_band(int(len(s) / self.t + 1e-9)) + 1)])
         self.posted += len(h)
 
+    def _blocks(self, h: np.ndarray) -> np.ndarray:
+        """Blocks that the list of each hash is split into, by the sketch."""
+        if not self.banded:
+            return np.ones(len(h), np.int64)
+        often = np.exp2(self.ranks[cells(h, int(len(self.ranks)).bit_length() - 1)] / 8) - 1
+        return np.maximum(1, np.ceil(often / self.hot)).astype(np.int64)
+
     def rows(self) -> pa.RecordBatch:
+        first = np.array([size_band(n) for n in self.sizes], np.int64) if self.banded else np.zeros(len(self.sizes), np.int64)
+        bands = np.array([len(m) for m in self.maps], np.int64) if self.banded else np.ones(len(self.sizes), np.int64)
         lengths = np.array([len(h) for h in self.hashes], np.int64)
         h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, U)
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        bucket = bucket_of(h, self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        h, doc, place, bucket = h[order], doc[order], place[order], bucket[order]
+        place = np.minimum(np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths), LAST_PLACE)
         fps, sizes = np.array(self.fps, np.int64), np.array(self.sizes, np.uint32)
-        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        blocks = self._blocks(h)
+        mine = (mix(fps.view(U))[doc] % blocks.astype(U)).astype(np.int64)
+        # a posting of a split list meets each block once
+        copy = np.repeat(np.arange(len(h)), blocks)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        h, doc, place, mine = h[copy], doc[copy], place[copy], mine[copy]
+        low, high = np.minimum(mine, other), np.maximum(mine, other)
+        place = place | ((mine == high) & (low < high)).astype(np.int64) << 15
+        # and comes once for each band
+        copy = np.repeat(np.arange(len(h)), bands[doc])
+        band = first[doc[copy]] + np.arange(len(copy)) - np.repeat(np.cumsum(bands[doc]) - bands[doc], bands[doc])
+        h, doc, place, low, high = h[copy], doc[copy], place[copy], low[copy], high[copy]
+        tile = tile_of(band, bucket_of(h, self.buckets), low, high)
+        order = np.lexsort((doc, tile))
+        h, doc, place, band, tile = h[order], doc[order], place[order], band[order], tile[order]
+        cuts = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(tile)) if len(tile) else np.zeros(1, np.int64)
         out: tuple[list, list] = ([], [])
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if i < j:
-                own, count = np.unique(doc[i:j], return_counts=True)
-                head = np.array([len(own), j - i], np.int64).tobytes()
-                out[0].append(b)
-                out[1].append(head + fps[own].tobytes() + sizes[own].tobytes() + count.astype(np.uint32).tobytes() + pack48(h[i:j]) + np.minimum(place[i:j], 65535).astype(np.uint16).tobytes())
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            own, count = np.unique(doc[i:j], return_counts=True)
+            maps = [self.maps[d][int(band[i] - first[d])] for d in own] if self.banded else []
+            head = np.array([len(own), j - i, len(maps[0]) if maps else 0], np.int64).tobytes()
+            out[0].append(int(tile[i]))
+            out[1].append(head + fps[own].tobytes() + sizes[own].tobytes() + count.astype(np.uint32).tobytes() + pack48(h[i:j]) + place[i:j].astype(np.uint16).tobytes() + b"".join(m.tobytes() for m in maps))
         self.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "postings"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "postings"])
+
+
+def tile_of(band: np.ndarray, bucket: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A number for a band (6 bits), a bucket (25 bits) and a pair of blocks (16 bits each, low <= high)."""
+    return band.astype(np.int64) << 57 | bucket.astype(np.int64) << 32 | np.minimum(low, 65535) << 16 | np.minimum(high, 65535)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -75,14 +116,15 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _parts(x: bytes | memoryview) -> list[np.ndarray]:
-    """Fingerprints, sizes and numbers of postings of the sets in one packed row; hashes and places of its postings."""
+    """Fingerprints, sizes and numbers of postings of the sets in one packed row; hashes and places of its postings; bitmaps of the sets."""
     raw = memoryview(x)
-    m, p = np.frombuffer(raw[:16], np.int64)
-    at, parts = 16, []
-    for kind, count, width in ((np.int64, m, 8), (np.uint32, m, 4), (np.uint32, m, 4), (None, p, 6), (np.uint16, p, 2)):
+    m, p, words = np.frombuffer(raw[:24], np.int64)
+    at, parts = 24, []
+    for kind, count, width in ((np.int64, m, 8), (np.uint32, m, 4), (np.uint32, m, 4), (None, p, 6), (np.uint16, p, 2), (np.uint64, m * words, 8)):
         piece = raw[at : at + int(count) * width]
         parts.append(unpack48(piece) if kind is None else np.frombuffer(piece, kind))
         at += int(count) * width
+    parts[5] = parts[5].reshape(int(m), int(words))
     return parts
 
 
@@ -91,32 +133,35 @@ def hashes(x: bytes | memoryview) -> np.ndarray:
 
 
 def thinned(x: bytes | memoryview, held: np.ndarray) -> bytes | None:
-    """A packed row with those postings alone whose cell is marked in `held`; None if there are none."""
-    fps, sizes, counts, h, places = _parts(x)
+    """A packed row without bitmaps, with those postings alone whose cell is marked in `held`; None if there are none."""
+    fps, sizes, counts, h, places, _ = _parts(x)
     keep = held[cells(h, int(len(held)).bit_length() - 1)] > 0
     if not keep.any():
         return None
     own, count = np.unique(np.repeat(np.arange(len(fps)), counts)[keep], return_counts=True)
-    head = np.array([len(own), np.count_nonzero(keep)], np.int64).tobytes()
+    head = np.array([len(own), np.count_nonzero(keep), 0], np.int64).tobytes()
     return head + fps[own].tobytes() + sizes[own].tobytes() + count.astype(np.uint32).tobytes() + pack48(h[keep]) + places[keep].tobytes()
 
 
 class Postings:
-    """Postings of one bucket, sorted by shingle and, of one shingle, by the size of the set."""
-
-    def __init__(self, packed: list, mark: list[int] | None = None):
-        fps, sizes, counts, hs, places, marks = [], [], [], [], [], []
-        for k, x in enumerate(packed):
-            parts = _parts(x)
-            m = len(parts[0])
-            fps.append(parts[0]), sizes.append(parts[1]), counts.append(parts[2]), hs.append(parts[3]), places.append(parts[4])
-            marks.append(np.full(int(m), mark[k] if mark else 0, np.int8))
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        fp, size, count, mk = join(fps, np.int64), join(sizes, np.uint32), join(counts, np.uint32), join(marks, np.int8)
-        h, place = join(hs, U), join(places, np.uint16)
-        fp, size, mk = np.repeat(fp, count), np.repeat(size, count).astype(np.int64), np.repeat(mk, count)
+    """Postings of one tile, sorted by shingle and, of one shingle, by the size of the set.
+
+    tile: its number, from which the band and the pair of blocks are read. mark: a number for
+    each packed row, for pairs between marked and other rows.
+    """
+
+    def __init__(self, packed: list, mark: list[int] | None = None, tile: int = 0):
+        self.band, self.across = tile >> 57, (tile >> 16 & 65535) != (tile & 65535)
+        parts = [_parts(x) for x in packed]
+        join = lambda c, kind: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kind)
+        self.maps = np.concatenate([p[5] for p in parts]) if parts else np.zeros((0, 0), U)
+        count = join(2, np.uint32)
+        owner = np.repeat(np.arange(len(count)), count)
+        marks = np.repeat(np.array(mark if mark else [0] * len(parts), np.int8), [len(p[0]) for p in parts]) if parts else np.zeros(0, np.int8)
+        fp, size, mk = join(0, np.int64)[owner], join(1, np.uint32)[owner].astype(np.int64), marks[owner]
+        h, place = join(3, U), join(4, np.uint16).astype(np.int64)
         order = np.lexsort((mk, fp, size, h))
-        h, fp, size, mk, place = h[order], fp[order], size[order], mk[order], place[order].astype(np.int64)
+        h, fp, size, mk, place, owner = h[order], fp[order], size[order], mk[order], place[order], owner[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
         # a set that both sides posted carries both marks
@@ -124,14 +169,15 @@ class Postings:
             mk = np.bitwise_or.reduceat(mk, np.flatnonzero(fresh))
         else:
             mk = mk[fresh]
-        self.h, self.fp, self.size, self.place, self.mark = h[fresh], fp[fresh], size[fresh], place[fresh], mk
+        self.h, self.fp, self.size, self.mark, self.owner = h[fresh], fp[fresh], size[fresh], mk, owner[fresh]
+        self.place, self.block = place[fresh] & LAST_PLACE, place[fresh] >> 15
 
     def pairs(self, t: float, sides: bool = False) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b, shared) of fingerprints, a < b, that share `shared` postings here and may reach t.
 
-        Of a list, a set meets those from its own size up to size / t (its band); a shared
-        posting counts if both places allow the overlap. With `sides`, one of the two must be marked 1.
-        Lists are expanded a chunk at a time, so a long one doesn't fill memory.
+        Of a list, a set meets those from its own size up to size / t that belong to the tile's band; a
+        shared posting counts if both places allow the overlap, and both bitmaps. With `sides`, one of
+        the two must be marked 1. Lists are expanded a chunk at a time, so a long one doesn't fill memory.
         """
         n = len(self.h)
         if not n:
@@ -140,7 +186,10 @@ class Postings:
         # within a list sizes ascend, so (list, size) is sorted and the band is a range of it
         key = group * (1 << 40) + self.size
         upto = np.searchsorted(key, group * (1 << 40) + np.minimum(np.floor(self.size / t + 1e-9).astype(np.int64), (1 << 40) - 1), side="right")
-        width = upto - np.arange(n) - 1
+        begin = np.arange(1, n + 1)
+        if self.band:
+            begin = np.maximum(begin, np.searchsorted(key, group * (1 << 40) + (1 << (self.band - 1)), side="left"))
+        width = np.maximum(upto - begin, 0)
         start = 0
         total = np.cumsum(width)
         while start < n:
@@ -148,25 +197,29 @@ class Postings:
             stop = max(start + 1, int(np.searchsorted(total, done + CHUNK, side="right")))
             rows = np.arange(start, stop)
             if width[start] > CHUNK:
-                spans = [(start, i, min(CHUNK, int(width[start]) - i)) for i in range(0, int(width[start]), CHUNK)]
-                for r, skip, count in spans:
-                    yield from self._expand(np.full(count, r), r + 1 + skip + np.arange(count), t, sides)
+                for skip in range(0, int(width[start]), CHUNK):
+                    count = min(CHUNK, int(width[start]) - skip)
+                    yield from self._expand(np.full(count, start), begin[start] + skip + np.arange(count), t, sides)
             else:
                 w = width[rows]
                 left = np.repeat(rows, w)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)
-                yield from self._expand(left, right, t, sides)
+                yield from self._expand(left, begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w), t, sides)
             start = stop
 
     def _expand(self, i: np.ndarray, j: np.ndarray, t: float, sides: bool) -> Iterator[pa.RecordBatch]:
         na, nb, pa_, pb = self.size[i], self.size[j], self.place[i], self.place[j]
         need = needed_overlap(na, nb, t)
-        known = (pa_ < 65535) & (pb < 65535)
+        known = (pa_ < LAST_PLACE) & (pb < LAST_PLACE)
         bound = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
         ok = ~known | ((pa_ < na - need + LEAST) & (pb < nb - need + LEAST) & (bound >= need))
         if sides:
             ok &= ((self.mark[i] | self.mark[j]) & 1) == 1
+        if self.across:
+            ok &= self.block[i] != self.block[j]
         i, j = i[ok], j[ok]
+        if self.maps.shape[1] and len(i):
+            ok = np.concatenate([self._allowed(i[k : k + MAPS], j[k : k + MAPS], t) for k in range(0, len(i), MAPS)])
+            i, j = i[ok], j[ok]
         a, b = np.minimum(self.fp[i], self.fp[j]), np.maximum(self.fp[i], self.fp[j])
         if not len(a):
             return
@@ -175,6 +228,11 @@ class Postings:
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))).astype(np.int32))], ["a", "b", "shared"])
 
+    def _allowed(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """Which pairs the bit counts allow: d cells that differ are d shingles at least that only one has."""
+        apart = np.bitwise_count(self.maps[self.owner[i]] ^ self.maps[self.owner[j]]).sum(axis=1, dtype=np.int64)
+        return (self.size[i] + self.size[j] - apart) // 2 >= needed_overlap(self.size[i], self.size[j], t)
+
 
 def enough_shared(pairs: DataFrame, sizes: DataFrame, t: float) -> DataFrame:
     """Of candidate pairs (a, b, shared) those with enough shared anchors over all buckets: (a, b, na, nb).

@@ -2,10 +2,9 @@
 
 1. One scan gives each record the size and fingerprint of its shingle set, and the corpus a
    frequency sketch of fixed size. Records with equal sets are one class from here on.
-2. A second scan posts the anchors of every set; lists meet within size bands (anchors.py).
-3. Candidate classes are gathered in tiles. A tile sorts its sets into size bands; the parity
-   bitmaps of a pair bound its overlap from above, and only pairs that pass are intersected as
-   sorted arrays.
+2. A second scan deals the classes to size-banded tiles by their anchors (anchors.py). In a tile,
+   the bit counts of hashed bitmaps bound the overlap of a pair from above.
+3. Pairs that pass with enough anchors are intersected as sorted arrays, all pairs of a chunk at once.
 4. Pairs of classes are expanded to records, or joined to groups.
 No list, class or tile is capped: nothing is lost to a limit.
 """
@@ -23,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, spread
 from . import anchors
-from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, parity_bits, rank_table, shingle_sets, unpack48
+from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
 
+#: Elements of the sets that are intersected at once.
+CHUNK = 4_000_000
 #: Sets that one tile of the exact check holds on average; a larger cluster is split into tiles of pairs of blocks.
 TILE = 2000
 
@@ -62,7 +63,7 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
     shared = records.sparkSession.sparkContext.broadcast(ranks.tobytes())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8))
+        run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8), banded=True)
         for b in batches:
             for s in shingle_sets(b.column(0).to_pylist(), k):
                 if len(s):
@@ -71,7 +72,7 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
                         yield run.rows()
         yield run.rows()
 
-    return spread(records.select("text")).mapInArrow(fn, "bucket int, postings binary")
+    return spread(records.select("text")).mapInArrow(fn, "bucket bigint, postings binary")
 
 
 def buckets_for(docs: DataFrame, t: float) -> int:
@@ -81,13 +82,11 @@ def buckets_for(docs: DataFrame, t: float) -> int:
 
 
 def candidates(postings: DataFrame, t: float) -> DataFrame:
-    def fn(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from anchors.Postings([x.as_buffer() for x in table.column("postings")]).pairs(t)
+    def fn(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = [x.as_buffer() for b in parts for x in b.column("postings")]
+        yield from anchors.Postings(packed, tile=key[0].as_py()).pairs(t)
 
-    def whole(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(fn(table)), pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32())]))
-
-    return postings.groupBy("bucket").applyInArrow(whole, "a bigint, b bigint, shared int")
+    return postings.groupBy("bucket").applyInArrow(fn, "a bigint, b bigint, shared int")
 
 
 def held_bits(wanted: DataFrame) -> Broadcast:
@@ -140,36 +139,22 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def similar_in_tile(fps: list[int], packed: list[bytes], a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """Which of the pairs (a, b) of fingerprints reach t; all their sets are among `packed`."""
-    place = {fp: i for i, fp in enumerate(fps)}
-    sets = [unpack48(x) for x in packed]
-    i, j = (np.array([place[int(x)] for x in side], np.int64) for side in (a, b))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    need = needed_overlap(sizes[i], sizes[j], t)
-    good = np.zeros(len(i), bool)
-    maps = [np.unpackbits(np.frombuffer(parity_bits(s), np.uint8)) for s in sets]
-    band = np.array([len(m) for m in maps])
-    folded: dict[tuple[int, int], np.ndarray] = {}
-
-    def fold(x: int, bits: int) -> np.ndarray:
-        m = maps[x]
-        if len(m) > bits:
-            if (x, bits) not in folded:
-                while len(m) > bits:
-                    m = m[::2] ^ m[1::2]
-                folded[x, bits] = m
-            m = folded[x, bits]
-        return m
-
-    for p in range(len(i)):
-        x, y = i[p], j[p]
-        bits = min(band[x], band[y])
-        apart = np.count_nonzero(fold(x, bits) ^ fold(y, bits))
-        if (sizes[x] + sizes[y] - apart) // 2 < need[p]:
-            continue
-        small, large = (sets[x], sets[y]) if sizes[x] <= sizes[y] else (sets[y], sets[x])
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        good[p] = np.count_nonzero(large[at] == small) >= need[p]
+    order = np.argsort(np.array(fps, np.int64))
+    ids = np.array(fps, np.int64)[order]
+    i, j = (order[np.searchsorted(ids, side)] for side in (a, b))
+    sizes = np.array([len(x) // 6 for x in packed], np.int64)
+    i, j = np.where(sizes[i] <= sizes[j], i, j), np.where(sizes[i] <= sizes[j], j, i)
+    need, good = needed_overlap(sizes[i], sizes[j], t), np.zeros(len(i), bool)
+    cuts, weight = [0], np.cumsum(sizes[i] + sizes[j])
+    while cuts[-1] < len(i):  # a pair's number and a shingle fill 64 bits
+        done = weight[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(min(cuts[-1] + (1 << 64 - HASH_BITS), max(cuts[-1] + 1, int(np.searchsorted(weight, done + CHUNK, side="right")))))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        number = np.arange(y - x, dtype=U) << U(HASH_BITS)
+        small, large = (np.repeat(number, sizes[side[x:y]]) | unpack48(b"".join(packed[k] for k in side[x:y])) for side in (i, j))
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        shared = np.bincount((small[large[at] == small] >> U(HASH_BITS)).astype(np.int64), minlength=y - x)
+        good[x:y] = shared >= need[x:y]
     return good
 
 

@@ -163,25 +163,20 @@ def unpack48(raw: bytes | memoryview) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: bit c is the parity of its shingles in cell c.
+def size_band(n: int) -> int:
+    """The octave of a set's size: 1 for 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
+    return int(n).bit_length()
 
-    Its length is 2 to 4 bits a shingle (64 to 65536 bits), so sets of one size band have maps
-    of one length; a longer map folds onto a shorter one by joining neighbours.
-    """
-    bits = min(16, max(6, int(len(s)).bit_length() + 1))
-    cell = (s >> U(HASH_BITS - bits)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
 
+def parity_words(s: np.ndarray, band: int) -> np.ndarray:
+    """Hashed bitmap of a set, in words of 64 bits: a bit is the parity of the set's shingles in its cell.
 
-def parity_distance(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of shingles that just one of two sets has."""
-    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[::2] ^ x[1::2]
-    return int(np.count_nonzero(x ^ y))
+    It has 1 to 2 bits a shingle of the largest sets of the band, from 64 to 16384. Two sets differ
+    in at least as many shingles as bits.
+    """
+    bits = min(14, max(6, band))
+    cell = (s >> U(HASH_BITS - bits)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=1 << bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def needed_overlap(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:

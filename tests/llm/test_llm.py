@@ -79,7 +79,8 @@ def test_bounds_of_signatures():
         universe = np.unique(r.integers(0, 1 << 48, 900, dtype=np.uint64))
         a, b = (np.sort(r.choice(universe, r.integers(1, 700), replace=False)) for _ in range(2))
         apart = len(np.setxor1d(a, b))
-        assert shingles.parity_distance(shingles.parity_bits(a), shingles.parity_bits(b)) <= apart
+        band = shingles.size_band(max(len(a), len(b)))
+        assert np.bitwise_count(shingles.parity_words(a, band) ^ shingles.parity_words(b, band)).sum() <= apart
         pa_, pb = (np.frombuffer(history.profile(x), np.uint8).astype(int) for x in (a, b))
         assert np.abs(pa_ - pb).sum() <= apart
         assert (shingles.unpack48(shingles.pack48(a)) == a).all()
@@ -101,9 +102,41 @@ def test_a_long_list_is_expanded_in_chunks(monkeypatch):
     assert len(seen) == 66 and all(n >= anchors.LEAST for n in seen.values())
 
 
-def test_terms_are_those_of_brute_force(spark):
+def test_tiles_of_bands_and_blocks_give_each_pair_once():
+    r = np.random.default_rng(1)
+    sets = {}
+    for i in range(120):
+        base = np.sort(r.choice(1 << 40, int(r.integers(5, 300)), replace=False)).astype(np.uint64) << np.uint64(8)
+        for j in range(4):
+            keep = base[r.random(len(base)) > 0.04 * j]
+            if len(keep):
+                sets[i * 4 + j] = np.unique(np.append(keep, r.choice(1 << 40, j, replace=False).astype(np.uint64) << np.uint64(8)))
+    ranks = np.full(1 << shingles.SKETCH_BITS, 24, np.uint8)  # as if each shingle came 7 times
+    want: dict = {}
+    for hot, banded in ((10_000, False), (10_000, True), (2, True)):
+        seen: dict = {}
+        run = anchors.Run(3, 0.7, ranks, banded, hot)
+        for fp, s in sets.items():
+            run.add(fp, s)
+        rows = run.rows()
+        assert len(set(rows.column(0).to_pylist())) == len(rows)
+        for tile, x in zip(rows.column(0).to_pylist(), rows.column(1)):
+            for b in anchors.Postings([x.as_buffer()], tile=tile).pairs(0.7):
+                for p, q, n in zip(*(c.to_pylist() for c in b.columns)):
+                    seen[p, q] = seen.get((p, q), 0) + n
+        like = {(p, q) for p in sets for q in sets if p < q and len(np.intersect1d(sets[p], sets[q])) >= 0.7 * len(np.union1d(sets[p], sets[q]))}
+        assert like and like <= {k for k, n in seen.items() if n >= min(anchors.LEAST, shingles.needed_overlap(len(sets[k[0]]), len(sets[k[1]]), 0.7))}
+        want = want or {k: seen[k] for k in like}
+        assert {k: seen[k] for k in like} == want
+        pairs = np.array(sorted(seen))
+        good = near_duplicates.similar_in_tile(list(sets), [shingles.pack48(s) for s in sets.values()], pairs[:, 0], pairs[:, 1], 0.7)
+        assert {tuple(p) for p in pairs[good].tolist()} == like
+
+
+def test_terms_are_those_of_brute_force(spark, monkeypatch):
     rows = [("Crème brûlée x_y 12", "T"), ("crème CRÈME", None), (None, ""), ("", "t t"), ("x " * 5000 + "é", "t"), ("crème brûlée x_y 12", "T")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "contents string, title string, term string").repartition(3)
+    monkeypatch.setattr(terms, "RUN_PAIRS", 3)
     got = {(r.field, r.term): (r.occurrences, r.records, r.mark) for r in terms.term_counts(df, ["contents", "title"]).collect()}
     want = {}
     for f, name in enumerate(("contents", "title")):
