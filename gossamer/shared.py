@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +14,13 @@ _OWNED: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (local tests)."""
+    """The session's checkpoint folder; one of our own only where none is set and everything runs on this machine (tests)."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if current.isEmpty():
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gossamer-"))
         current = sc._jsc.sc().getCheckpointDir()
     return configured or current.get()
@@ -52,10 +56,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that are cut within it when it ends; what outlives it must be written elsewhere."""
+    began = len(_OWNED)
+    try:
+        yield
+    finally:
+        for spark, path in _OWNED[began:]:
+            remove(spark, path)
+        del _OWNED[began:]
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its input has fewer splits than there are cores; a larger input is left as it is, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df over all cores if the files it reads are too small to be cut into as many splits; else as it is, unshuffled.
+
+    Decided by the size of the files that the plan names; nothing is run. What is shuffled is
+    less than a split a core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
 @atexit.register
