@@ -15,7 +15,7 @@ any set is read. A shingle that the sketch takes for hot is dealt to tiles of pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,10 +132,10 @@ def hashes(x: bytes | memoryview) -> np.ndarray:
     return _parts(x)[3]
 
 
-def thinned(x: bytes | memoryview, held: np.ndarray) -> bytes | None:
-    """A packed row without bitmaps, with those postings alone whose cell is marked in `held`; None if there are none."""
+def thinned(x: bytes | memoryview, wanted: Callable[[np.ndarray], np.ndarray]) -> bytes | None:
+    """A packed row without bitmaps, with those postings alone whose hash is wanted; None if there are none."""
     fps, sizes, counts, h, places, _ = _parts(x)
-    keep = held[cells(h, int(len(held)).bit_length() - 1)] > 0
+    keep = wanted(h)
     if not keep.any():
         return None
     own, count = np.unique(np.repeat(np.arange(len(fps)), counts)[keep], return_counts=True)

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, spread
 from . import anchors
-from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
+from .shingles import HASH_BITS, SKETCH_BLOCK, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
 
+#: Cells of a bit table as a power of two.
+HELD_BITS = 26
 #: Elements of the sets that are intersected at once.
 CHUNK = 4_000_000
 #: Sets that one tile of the exact check holds on average; a larger cluster is split into tiles of pairs of blocks.
@@ -89,28 +91,50 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(fn, "a bigint, b bigint, shared int")
 
 
-def held_bits(wanted: DataFrame) -> Broadcast:
-    """A bit table of fixed size (512 KB) of the numbers in `wanted` (one BIGINT column)."""
+def bit_table(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
+    """A bit table of fixed size (8 MB) in which the cells of the hashes are set that `of` reads from the rows.
+
+    It is put together block by block on the executors; the driver gets its 8 MB at most.
+    """
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = CellCounts()
+        held = np.zeros(1 << HELD_BITS, bool)
         for b in batches:
-            seen.add(mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(64 - HASH_BITS))
-        rows = list(seen.rows())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+            held[cells(of(b), HELD_BITS)] = True
+        blocks = np.packbits(held).reshape(-1, SKETCH_BLOCK)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], ["block", "bits"])
+
+    def joined(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = np.zeros(SKETCH_BLOCK, np.uint8)
+        for b in parts:
+            for x in b.column("bits"):
+                whole |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((1 << HELD_BITS) // 8, np.uint8)
+    for r in hashes.mapInArrow(note, "block int, bits binary").groupBy("block").applyInArrow(joined, "block int, bits binary").collect():
+        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.bits), np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def held(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in a bit table."""
+    c = cells(hashes, HELD_BITS)
+    return np.frombuffer(bits, np.uint8)[c >> 3] >> (7 - (c & 7)) & 1 > 0
+
 
-    return wanted.sparkSession.sparkContext.broadcast(np.packbits(rank_table(wanted.mapInArrow(note, "block int, counts binary")) > 0).tobytes())
+def _hashed(numbers: pa.Array) -> np.ndarray:
+    return mix(numbers.to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(64 - HASH_BITS)
 
 
 def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of `rows` (fp, ...) whose fp is in `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
-    bits = held_bits(wanted.select("fp"))
+    bits = bit_table(wanted.select("fp"), lambda b: _hashed(b.column(0)))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(bits.value, np.uint8))
         for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield b.filter(pa.array(held[cells(mix(fps.view(U)) >> U(64 - HASH_BITS))] > 0))
+            yield b.filter(pa.array(held(bits.value, _hashed(b.column("fp")))))
 
     return rows.mapInArrow(fn, rows.schema).join(wanted.select("fp").distinct(), "fp", "left_semi")
 
@@ -118,19 +142,17 @@ def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Shingle sets (fp, packed) of the records (id, text) whose id is in `wanted` (id).
 
-    The wanted ids are summed up in a bit table of fixed size (512 KB), by which nearly all
-    others are dropped during the scan, before their texts are hashed; the join then is exact.
+    The wanted ids are summed up in a bit table of fixed size, by which nearly all others are
+    dropped during the scan, before their texts are hashed; the join then is exact.
     """
-    bits = held_bits(wanted.select("id"))
+    bits = bit_table(wanted.select("id"), lambda b: _hashed(b.column(0)))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(bits.value, np.uint8))
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = held[cells(mix(ids.view(U)) >> U(64 - HASH_BITS))] > 0
-            texts = b.column(1).filter(pa.array(keep)).to_pylist()
-            out = [(int(i), fingerprint(s), pack48(s)) for i, s in zip(ids[keep], shingle_sets(texts, k)) if len(s)]
+            keep = held(bits.value, _hashed(b.column(0)))
+            ids, texts = (b.column(c).filter(pa.array(keep)).to_pylist() for c in range(2))
+            out = [(i, fingerprint(s), pack48(s)) for i, s in zip(ids, shingle_sets(texts, k)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "fp", "packed"])
 
     found = spread(records.select(F.col("id").cast("bigint"), "text")).mapInArrow(fn, "id bigint, fp bigint, packed binary")
