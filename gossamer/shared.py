@@ -8,9 +8,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _OWNED: list[tuple[SparkSession, str]] = []
+_SENT: list[Broadcast] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,16 +58,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: bytes) -> Broadcast:
+    """A broadcast value; it is destroyed at the end of the scratch() it is sent in."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Removes the tables that are cut within it when it ends; what outlives it must be written elsewhere."""
-    began = len(_OWNED)
+    """Removes the tables that are cut and the values that are sent within it; what outlives it must be written elsewhere."""
+    tables, values = len(_OWNED), len(_SENT)
     try:
         yield
     finally:
-        for spark, path in _OWNED[began:]:
+        for spark, path in _OWNED[tables:]:
             remove(spark, path)
-        del _OWNED[began:]
+        for value in _SENT[values:]:
+            value.destroy()
+        del _OWNED[tables:], _SENT[values:]
 
 
 def spread(df: DataFrame) -> DataFrame:
