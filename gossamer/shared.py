@@ -78,17 +78,25 @@ def scratch() -> Iterator[None]:
         del _OWNED[tables:], _SENT[values:]
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads, whole tables, as the plan's statistics have them; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if the files it reads are too small to be cut into as many splits; else as it is, unshuffled.
 
-    Decided by the size of the files that the plan names; nothing is run. What is shuffled is
-    less than a split a core.
+    What is shuffled is less than a split a core.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if file_bytes(df) < cores * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file at `path`, by which a step is known to be done."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True).close()
 
 
 @atexit.register
