@@ -20,11 +20,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, spread
+from ..shared import cut, file_bytes, sent, spread
 from . import anchors
-from .shingles import HASH_BITS, SKETCH_BLOCK, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
+from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
 
-#: Cells of a bit table as a power of two.
+#: Most cells of a bit table as a power of two.
 HELD_BITS = 26
 #: Elements of the sets that are intersected at once.
 CHUNK = 4_000_000
@@ -62,7 +62,7 @@ def scan(records: DataFrame, k: int) -> DataFrame:
 
 def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int) -> DataFrame:
     """Packed anchors (bucket, postings) of `records` (text)."""
-    shared = records.sparkSession.sparkContext.broadcast(ranks.tobytes())
+    shared = sent(records.sparkSession, ranks.tobytes())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8), banded=True)
@@ -78,9 +78,9 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
 
 
 def buckets_for(docs: DataFrame, t: float) -> int:
-    """So many buckets that one has about a million postings, and at least as many as there are shuffle partitions."""
+    """So many ranges of the hash that one has about a million postings, and a few at least."""
     total = docs.agg(F.sum("n")).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * (1 - t) / 1e6) + 1)
+    return max(8, int(total * (1 - t) / 1e6) + 1)
 
 
 def candidates(postings: DataFrame, t: float) -> DataFrame:
@@ -91,37 +91,40 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(fn, "a bigint, b bigint, shared int")
 
 
-def bit_table(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
-    """A bit table of fixed size (8 MB) in which the cells of the hashes are set that `of` reads from the rows.
+def bit_table(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], many: int) -> Broadcast:
+    """A bit table in which the cells of the hashes are set that `of` reads from the rows.
 
-    It is put together block by block on the executors; the driver gets its 8 MB at most.
+    It has 32 to 64 cells for each of about `many` hashes, but at most 2^HELD_BITS (8 MB). It is put
+    together block by block on the executors. It only spares work: an exact join follows.
     """
+    bits = min(HELD_BITS, max(17, int(many).bit_length() + 5))
+    block = (1 << bits) // 8 // min(512, (1 << bits) // 8 // 1024)
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << HELD_BITS, bool)
+        found = np.zeros(1 << bits, bool)
         for b in batches:
-            held[cells(of(b), HELD_BITS)] = True
-        blocks = np.packbits(held).reshape(-1, SKETCH_BLOCK)
+            found[cells(of(b), bits)] = True
+        blocks = np.packbits(found).reshape(-1, block)
         at = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], ["block", "bits"])
 
     def joined(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(SKETCH_BLOCK, np.uint8)
+        whole = np.zeros(block, np.uint8)
         for b in parts:
             for x in b.column("bits"):
                 whole |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([whole.tobytes()], pa.binary())], ["block", "bits"])
 
-    out = np.zeros((1 << HELD_BITS) // 8, np.uint8)
-    for r in hashes.mapInArrow(note, "block int, bits binary").groupBy("block").applyInArrow(joined, "block int, bits binary").collect():
-        out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.bits), np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in hashes.mapInArrow(note, "block int, bits binary").groupBy("block").applyInArrow(joined, "block int, bits binary").collect():  # the table itself
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.bits), np.uint8)
+    return sent(hashes.sparkSession, out.tobytes())
 
 
-def held(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+def held(table: bytes, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes may be in a bit table."""
-    c = cells(hashes, HELD_BITS)
-    return np.frombuffer(bits, np.uint8)[c >> 3] >> (7 - (c & 7)) & 1 > 0
+    c = cells(hashes, len(table).bit_length() + 2)
+    return np.frombuffer(table, np.uint8)[c >> 3] >> (7 - (c & 7)) & 1 > 0
 
 
 def _hashed(numbers: pa.Array) -> np.ndarray:
@@ -129,8 +132,8 @@ def _hashed(numbers: pa.Array) -> np.ndarray:
 
 
 def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `rows` (fp, ...) whose fp is in `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
-    bits = bit_table(wanted.select("fp"), lambda b: _hashed(b.column(0)))
+    """Rows of `rows` (fp, ...) whose fp is in the stored table `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
+    bits = bit_table(wanted.select("fp"), lambda b: _hashed(b.column(0)), file_bytes(wanted) // 8)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,12 +143,12 @@ def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Shingle sets (fp, packed) of the records (id, text) whose id is in `wanted` (id).
+    """Shingle sets (fp, packed) of the records (id, text) whose id is in the stored table `wanted` (fp, id).
 
     The wanted ids are summed up in a bit table of fixed size, by which nearly all others are
     dropped during the scan, before their texts are hashed; the join then is exact.
     """
-    bits = bit_table(wanted.select("id"), lambda b: _hashed(b.column(0)))
+    bits = bit_table(wanted.select("id"), lambda b: _hashed(b.column(0)), file_bytes(wanted) // 8)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
