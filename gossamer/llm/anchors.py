@@ -173,7 +173,7 @@ class Postings:
         self.place, self.block = place[fresh] & LAST_PLACE, place[fresh] >> 15
 
     def pairs(self, t: float, sides: bool = False) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b, shared) of fingerprints, a < b, that share `shared` postings here and may reach t.
+        """Pairs (a, b, shared, least) of fingerprints, a < b, that share `shared` postings here, must share `least` anywhere, and may reach t.
 
         Of a list, a set meets those from its own size up to size / t that belong to the tile's band; a
         shared posting counts if both places allow the overlap, and both bitmaps. With `sides`, one of
@@ -226,7 +226,8 @@ class Postings:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))).astype(np.int32))], ["a", "b", "shared"])
+        least = np.minimum(LEAST, needed_overlap(self.size[i], self.size[j], t))[order][first]
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))).astype(np.int32)), pa.array(least.astype(np.int32))], ["a", "b", "shared", "least"])
 
     def _allowed(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
         """Which pairs the bit counts allow: d cells that differ are d shingles at least that only one has."""
@@ -234,14 +235,7 @@ class Postings:
         return (self.size[i] + self.size[j] - apart) // 2 >= needed_overlap(self.size[i], self.size[j], t)
 
 
-def enough_shared(pairs: DataFrame, sizes: DataFrame, t: float) -> DataFrame:
-    """Of candidate pairs (a, b, shared) those with enough shared anchors over all buckets: (a, b, na, nb).
-
-    sizes: (fp, n). Pairs with LEAST shared anchors pass at once; only the others need their sizes.
-    """
-    summed = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    big = sizes.where(F.col("n") * (2 * t / (1 + t)) < LEAST + 1).select("fp", "n")
-    small = summed.where(F.col("shared") < LEAST).join(big.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a")
-    small = small.join(big.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
-    return summed.where(F.col("shared") >= LEAST).select("a", "b").unionByName(small.where(F.col("shared") >= need).select("a", "b"))
+def enough_shared(pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b, shared, least) those with enough shared anchors over all tiles: (a, b)."""
+    summed = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("least").alias("least"))
+    return summed.where("shared >= least").select("a", "b")

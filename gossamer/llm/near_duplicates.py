@@ -88,7 +88,7 @@ def candidates(postings: DataFrame, t: float) -> DataFrame:
         packed = [x.as_buffer() for b in parts for x in b.column("postings")]
         yield from anchors.Postings(packed, tile=key[0].as_py()).pairs(t)
 
-    return postings.groupBy("bucket").applyInArrow(fn, "a bigint, b bigint, shared int")
+    return postings.groupBy("bucket").applyInArrow(fn, "a bigint, b bigint, shared int, least int")
 
 
 def bit_table(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], many: int) -> Broadcast:
@@ -226,7 +226,7 @@ def similar_classes(records: DataFrame, k: int = 5, t: float = 0.8) -> tuple[Dat
     docs = both.where("fp IS NOT NULL").select("id", "n", "fp").distinct()
     ranks = rank_table(both.where("block IS NOT NULL").select("block", "counts"))
     found = candidates(post(records, k, t, ranks, buckets_for(docs, t)), t)
-    found = anchors.enough_shared(found, docs.select("fp", "n").distinct(), t)
+    found = anchors.enough_shared(found)
     return docs, cut(verified(found, lambda wanted: sets_of(records, wanted, k), docs, t), "similar")
 
 

@@ -97,7 +97,7 @@ def test_a_long_list_is_expanded_in_chunks(monkeypatch):
     pairs = anchors.Postings([x.as_buffer() for x in rows.column(1)]).pairs(0.7)
     seen: dict = {}
     for b in pairs:
-        for x, y, n in zip(*(c.to_pylist() for c in b.columns)):
+        for x, y, n, _ in zip(*(c.to_pylist() for c in b.columns)):
             seen[x, y] = seen.get((x, y), 0) + n
     assert len(seen) == 66 and all(n >= anchors.LEAST for n in seen.values())
 
@@ -122,7 +122,7 @@ def test_tiles_of_bands_and_blocks_give_each_pair_once():
         assert len(set(rows.column(0).to_pylist())) == len(rows)
         for tile, x in zip(rows.column(0).to_pylist(), rows.column(1)):
             for b in anchors.Postings([x.as_buffer()], tile=tile).pairs(0.7):
-                for p, q, n in zip(*(c.to_pylist() for c in b.columns)):
+                for p, q, n, _ in zip(*(c.to_pylist() for c in b.columns)):
                     seen[p, q] = seen.get((p, q), 0) + n
         like = {(p, q) for p in sets for q in sets if p < q and len(np.intersect1d(sets[p], sets[q])) >= 0.7 * len(np.union1d(sets[p], sets[q]))}
         assert like and like <= {k for k, n in seen.items() if n >= min(anchors.LEAST, shingles.needed_overlap(len(sets[k[0]]), len(sets[k[1]]), 0.7))}
