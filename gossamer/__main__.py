@@ -11,6 +11,12 @@ from .operators import search, snippets
 from .plans import runs
 
 
+def _crawl_options(c: argparse.ArgumentParser) -> argparse.ArgumentParser:
+    c.add_argument("-q", "--query", required=True), c.add_argument("-m", "--max", type=int, default=50), c.add_argument("--batch", type=int, default=15)
+    c.add_argument("--pages", required=True, help="parquet of page_id, abs_url, title, content"), c.add_argument("--sites", help="parquet of host, robots_txt"), c.add_argument("--target", required=True)
+    return c
+
+
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gossamer", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -19,8 +25,11 @@ def arguments() -> argparse.ArgumentParser:
     c = sub.add_parser("search", help="search an index table")
     c.add_argument("target"), c.add_argument("query"), c.add_argument("-k", type=int, default=10), c.add_argument("--html", action="store_true")
     c = sub.add_parser("crawl", help="crawl a table of pages from a URL and upsert what is found")
-    c.add_argument("-u", "--url", required=True), c.add_argument("-q", "--query", required=True), c.add_argument("-m", "--max", type=int, default=50)
-    c.add_argument("--pages", required=True, help="parquet of page_id, abs_url, title, content"), c.add_argument("--sites", help="parquet of host, robots_txt"), c.add_argument("--target", required=True)
+    c.add_argument("-u", "--url", required=True)
+    c = _crawl_options(c)
+    c = sub.add_parser("update", help="crawl again, from a URL or the last good page, and upsert what has changed")
+    c.add_argument("-u", "--url", help="where to start; the last good page of the crawl before if none is given")
+    c = _crawl_options(c)
     c = sub.add_parser("ranks", help="PageRank of the pages in a folder")
     c.add_argument("folder"), c.add_argument("-f", type=float, default=0.7)
     c = sub.add_parser("inspections", help="first and last inspection of every place in a CSV file")
@@ -33,15 +42,15 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     if a.command == "index":
         return f"{runs.index_folder(spark, a.folder, a.target)} documents"
     if a.command == "search":
-        docs = spark.read.parquet(a.target)
+        docs = runs.documents_of(spark, a.target)
         name = "filename" if "filename" in docs.columns else "abs_url"
-        hits = search.top(search.matches(docs, a.query), a.k)
+        hits = search.top(search.matches(runs.open_index(spark, a.target), a.query), a.k)
         # k hits, numbered on the driver
         order = {r.doc_id: i for i, r in enumerate(hits.collect(), 1)}
         rows = docs.where(F.col("index_id").isin(*order)).select(F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), F.col("index_id")).alias("rank"), "title", F.col(name).alias("abs_url"), snippets.snippet(F.col("contents"), a.query).alias("snippet")) if order else spark.createDataFrame([], "rank int, title string, abs_url string, snippet string")
         return (snippets.as_html(rows).select(snippets.broken_lines(F.col("html"))) if a.html else snippets.as_text(rows)).first()[0]
-    if a.command == "crawl":
-        actions = runs.crawl_and_index(a.url, a.query, spark.read.parquet(a.pages), a.target, spark.read.parquet(a.sites) if a.sites else None, a.max)
+    if a.command in ("crawl", "update"):
+        actions = runs.crawl_and_index(a.url, a.query, spark.read.parquet(a.pages), a.target, spark.read.parquet(a.sites) if a.sites else None, a.max, a.batch)
         return "\n".join(f"{r.action} {r.n}" for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).orderBy("action").collect())
     if a.command == "ranks":
         return "\n".join(f"{r.node} {r.score:.6f}" for r in runs.folder_ranks(spark, a.folder, a.f).toLocalIterator())

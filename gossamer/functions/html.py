@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The references that are decoded, ampersand last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# The named references that are decoded, ampersand last.
+REFERENCES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&middot;", "·"), ("&bull;", "•"), ("&sup2;", "²"), ("&deg;", "°"), ("&euro;", "€"),
+    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&ntilde;", "ñ"), ("&amp;", "&"),
+)
+
+
+def _numbered(text: Column) -> Column:
+    """Decimal and hexadecimal references as their characters; a text without any is left alone."""
+    pieces = F.split(text, "&#")
+
+    def one(piece: Column, k: Column) -> Column:
+        digits = F.regexp_extract(piece, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+        good = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(k == 0, piece).when(good, F.concat(F.when(code == 160, F.lit(" ")).otherwise(char), F.substring(piece, F.length(digits) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&#"), piece))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def decoded(text: Column) -> Column:
+    text = _numbered(text)
     for reference, char in REFERENCES:
         text = F.replace(text, F.lit(reference), F.lit(char))
     return text
@@ -39,11 +58,25 @@ def body_text(html: Column) -> Column:
     return _stripped(F.regexp_replace(html, "(?is)<head[^>]*>.*?</head>|<title[^>]*>.*?</title>", " "))
 
 
+def walked_text(html: Column) -> Column:
+    """Text of the body as its nodes have it, one blank after each element, white space as it is."""
+    body = F.regexp_replace(F.regexp_replace(html, "(?is)^.*?<body[^>]*>|</body>.*$", ""), "(?is)<!--.*?-->|<head[^>]*>.*?</head>|<title[^>]*>.*?</title>", "")
+    return decoded(F.regexp_replace(F.regexp_replace(body, "(?i)</[^>]*>|<(?:br|hr|img|input|meta|link|area|col)\\b[^>]*>", " "), "(?s)<[^>]*>", ""))
+
+
 def links(html: Column) -> Column:
-    """Array of (href, anchor) of the a elements with a quoted href, in order."""
-    pattern = r"(?is)<a\s[^>]*?href\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
-    hrefs, anchors = (F.regexp_extract_all(html, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(hrefs.alias("href"), anchors.alias("anchor")), lambda x: F.struct(decoded(x["href"]).alias("href"), _stripped(x["anchor"]).alias("anchor")))
+    """Array of (href, anchor) of the a elements with an href, in quotes of either kind or none, in order."""
+    pattern = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>"
+    double, single, bare, anchors = (F.regexp_extract_all(html, F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4))
+    zipped = F.arrays_zip(double.alias("d"), single.alias("s"), bare.alias("b"), anchors.alias("anchor"))
+    return F.transform(zipped, lambda x: F.struct(decoded(F.concat(*(F.coalesce(x[c], F.lit("")) for c in "dsb"))).alias("href"), _stripped(x["anchor"]).alias("anchor")))
+
+
+def escaped(text: Column) -> Column:
+    """A text within HTML."""
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(char), F.lit(reference))
+    return text
 
 
 def refresh_target(html: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 # The stop words of snippets.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "of", "the", "to")
+# The stop words of the index.
+INDEX_STOP_WORDS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
+).split()
 # The scopes in which an anchor counts more.
 SCOPES = ("H1", "H2", "H3", "H4", "em", "b")
 
@@ -24,8 +28,13 @@ def words(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Index terms: runs of letters a-z and digits of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Terms: runs of letters and digits of any script of the lower-cased text, stop words too, so that places are kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def indexed(term: Column) -> Column:
+    """Whether a term is no stop word."""
+    return ~term.isin(*INDEX_STOP_WORDS)
 
 
 def plain(text: Column) -> Column:
@@ -42,12 +51,21 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).otherwise(0).cast("int")
 
 
-def scope_hits(html: Column, anchor: Column, scope: str) -> Column:
-    """Pieces between <scope> and </scope> on one line that contain the anchor; case matters."""
-    pieces = F.regexp_extract_all(html, F.lit(f"<{scope}>(.*?)</{scope}>"), F.lit(1))
+def scope_hits(html: Column, anchor: Column, scope: str, greedy: bool = False) -> Column:
+    """Pieces between <scope> and </scope> on one line that contain the anchor; case matters. greedy: from the first tag of a line to the last is one piece."""
+    pieces = F.regexp_extract_all(html, F.lit(f"<{scope}>(.*{'' if greedy else '?'})</{scope}>"), F.lit(1))
     return F.when(F.length(anchor) > 0, F.size(F.filter(pieces, lambda p: F.contains(p, anchor)))).otherwise(0)
 
 
+def polynomial_hash(text: Column, count: Column) -> Column:
+    """h = 31 h + code over the characters, from 1125899906842597, plus count, in 64 bits with a sign."""
+    whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    codes = F.filter(F.split(text, ""), lambda c: c != "")
+    h = F.aggregate(codes, F.lit(1125899906842597).cast("decimal(38,0)"), lambda acc, c: ((acc * F.lit(31).cast("decimal(3,0)") + F.ascii(c)) % whole).cast("decimal(38,0)"))
+    h = ((h + count) % whole).cast("decimal(38,0)")
+    return F.when(h >= F.lit(str(1 << 63)).cast("decimal(38,0)"), h - whole).otherwise(h).cast("bigint")
+
+
 def word_index(array: Column, word: Column) -> Column:
     """First index of a word whatever its case, -1 if there is none."""
     return (F.array_position(F.transform(array, F.lower), F.lower(word)) - 1).cast("int")

@@ -66,6 +66,11 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
 
 
+def local(folder: Column, href: Column) -> Column:
+    """A file named by `href` in a local folder, whose name ends with a slash or not; null if either is."""
+    return F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), href)
+
+
 def resolved(href: Column, page_url: Column) -> Column:
     """An absolute URL for `href` found on `page_url`; empty if there is none."""
     root = F.regexp_extract(page_url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
@@ -81,4 +86,7 @@ def resolved(href: Column, page_url: Column) -> Column:
         .when(href.startswith("?"), F.concat(F.regexp_extract(page_url, "^([^?#]*)", 1), href))
         .otherwise(F.concat(dir_, href))
     )
+    # `.` and `..` in what was put together; a href that is a whole URL stays as it is
+    pieces = [F.regexp_extract(whole, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)([^?#]*)(.*)$", i) for i in (1, 2, 3)]
+    whole = F.when(~href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & F.contains(whole, F.lit("/.")) & (pieces[0] != ""), F.concat(pieces[0], without_dots(pieces[1]), pieces[2])).otherwise(whole)
     return F.coalesce(whole, F.lit(""))

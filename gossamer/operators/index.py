@@ -2,23 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 #: Run length and similarity of the near-duplicate gate of an update.
 SHINGLE, SIMILAR = 4, 0.9
+#: Folders of terms that the postings of a stored index are dealt to, and parts of each folder, so that a term of most documents isn't one task's.
+BUCKETS, PARTS = 64, 8
 
 
-def postings(docs: DataFrame, field: str, id_: str = "index_id") -> DataFrame:
-    """(doc_id, field, term, tf, positions) of `docs`; a null or empty field has none.
+def postings(docs: DataFrame, *fields: str, id_: str = "index_id") -> DataFrame:
+    """(field, term, doc_id, tf, positions, length, bucket) of `docs`; a null or empty field has none.
 
-    Documents indexed twice count under their own ids; rows of one id are told apart by nothing,
-    so their terms add up.
+    positions count all terms of the field, length those that are no stop words. Documents indexed
+    twice count under their own ids; rows of one id are told apart by nothing, so their terms add
+    up. One shuffle deals the terms to their buckets and groups them there.
     """
-    each = docs.select(F.col(id_).alias("doc_id"), F.posexplode(text.terms(F.col(field))).alias("pos", "term"))
-    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("doc_id", F.lit(field).alias("field"), "term", "tf", "positions")
+    each = docs.select(F.col(id_).alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.terms(F.col(f)).alias("terms")) for f in fields))).alias("x"))
+    each = each.select("doc_id", "x.field", F.col("x.terms").alias("terms"), F.size(F.filter("x.terms", text.indexed)).alias("length"))
+    each = each.select("doc_id", "field", "length", F.posexplode("terms").alias("pos", "term")).where(text.indexed(F.col("term")))
+    each = each.withColumns({"bucket": bucket(F.col("term")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))}).repartition("bucket", "part")
+    grouped = each.groupBy("bucket", "part", "field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+    return grouped.select("field", "term", "doc_id", "tf", "positions", "length", "bucket")
+
+
+def bucket(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+def bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+@dataclass
+class Index:
+    """Postings as in postings(), and (field, docs, total): how many documents there are and the sum of their lengths in that field."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, *fields: str, id_: str = "index_id") -> Index:
+        """The index of a table that isn't stored; every search reads the table."""
+        sizes = [lengths(docs, f, id_).agg(F.lit(f).alias("field"), F.count(F.lit(1)).alias("docs"), F.sum("length").alias("total")) for f in fields]
+        both = sizes[0]
+        for x in sizes[1:]:
+            both = both.unionByName(x)
+        return Index(postings(docs, *fields, id_=id_), both)
+
+    def store(self, path: str) -> Index:
+        """Writes the index: a folder a bucket of terms, sorted by term, so a search reads its terms' folders and row groups only."""
+        self.postings.sortWithinPartitions("bucket", "field", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+        return Index.open(self.postings.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        kind = "field string, term string, doc_id bigint, tf bigint, positions array<int>, length int, bucket int"
+        return Index(spark.read.schema(kind).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes"))
 
 
 def dictionary(postings_: DataFrame) -> DataFrame:
@@ -27,7 +73,7 @@ def dictionary(postings_: DataFrame) -> DataFrame:
 
 
 def lengths(docs: DataFrame, field: str, id_: str = "index_id") -> DataFrame:
-    return docs.select(F.col(id_).alias("doc_id"), F.coalesce(F.size(text.terms(F.col(field))), F.lit(0)).alias("length"))
+    return docs.select(F.col(id_).alias("doc_id"), F.coalesce(F.size(F.filter(text.terms(F.col(field)), text.indexed)), F.lit(0)).alias("length"))
 
 
 def shingles(content: Column, k: int = SHINGLE) -> Column:
@@ -42,13 +88,20 @@ def shingles(content: Column, k: int = SHINGLE) -> Column:
 
 
 def counted(runs: Column) -> Column:
-    """Distinct (run, count) as strings: the same run of another count is another element."""
+    """Distinct (run, count) as strings: the same run of another count is another element.
+
+    The sorted array is folded once: a run's number counts up along its equals, and what stands
+    before another run is the count of the run it ends.
+    """
 
     def count(s: Column) -> Column:
-        d = F.array_distinct(s)
-        single = F.transform(d, lambda x: F.concat(x, F.lit("#1")))  # no run comes twice: nothing to count
-        several = F.transform(d, lambda x: F.concat(x, F.lit("#"), F.size(F.filter(s, lambda y: y == x)).cast("string")))
-        return F.when(F.size(d) == F.size(s), single).otherwise(several)
+        distinct = F.size(F.array_distinct(s))
+        single = F.transform(s, lambda x: F.concat(x, F.lit("#1")))  # no run comes twice: nothing to count
+        return F.when(distinct == F.size(s), single).otherwise(text.bound(F.array_sort(s), ends))
+
+    def ends(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.coalesce(F.get(s, i - 2), F.lit(""))))
+        return text.bound(F.struct(s.alias("s"), begins.alias("b")), lambda x: F.transform(x["b"], lambda i, k: F.concat(F.get(x["s"], i - 1), F.lit("#"), (F.coalesce(F.get(x["b"], k + 1), F.size(x["s"]) + 1) - i).cast("string"))))
 
     return F.coalesce(text.bound(runs, count), F.array().cast("array<string>"))
 

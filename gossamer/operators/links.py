@@ -60,12 +60,23 @@ def with_score(rows: DataFrame, query: str) -> DataFrame:
 def scored(pages: DataFrame, links: DataFrame, query: str) -> DataFrame:
     """Links (page_id, pos, href, anchor, ...) with their score; a page is split into words once.
 
-    Pages (page_id, content) travel as word arrays; columns of pages but the id are not read.
+    The links of a page are gathered before they meet its words, so a page's words travel and are
+    held once, not with each link; columns of pages (page_id, content) but these are not read.
     """
     words = pages.select("page_id", "content").dropDuplicates(["page_id"]).select("page_id", F.split(text.plain(html.text(F.col("content"))), " ").alias("tokens"))
-    return with_score(links.join(words, "page_id"), query).drop("tokens")
+    gathered = links.groupBy("page_id").agg(F.collect_list(F.struct(*(c for c in links.columns if c != "page_id"))).alias("__links"))
+    each = gathered.join(words, "page_id").select("page_id", "tokens", F.explode("__links").alias("__l")).select("page_id", "tokens", "__l.*")
+    return with_score(each, query).drop("tokens").select(*links.columns, "score")
 
 
 def frontier(scores: DataFrame, key: str = "abs_url") -> DataFrame:
     """Scores of links summed a target: (key, unique_url, score, links)."""
     return scores.groupBy(key).agg(F.min("unique_url").alias("unique_url"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("links"))
+
+
+def strictly_joined(rows: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """rows joined with targets by `key`, in which a row without a target is an error when it is reached."""
+    there = targets.withColumn("__there", F.lit(True))
+    both = rows.join(there, key, "left")
+    found = F.when(F.col("__there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"no target for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return both.where(found).drop("__there")

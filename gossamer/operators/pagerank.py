@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text
-from ..shared import cut
+from ..shared import Bucketed, cut, file_bytes
 
 
 def bases(pages: DataFrame) -> DataFrame:
@@ -21,18 +21,22 @@ def bases(pages: DataFrame) -> DataFrame:
 
 
 def strengths(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst, weight): strength of the links (node, href, anchor) between `pages` (node, url, content).
+    """(src, dst, weight): strength of the links (node, dst, href, anchor) of `pages` (node, content).
 
-    A link counts if its href is the url of a page, spelled alike: once for each time the href
-    stands in the source's text, and once for each emphasised piece that holds the anchor.
-    Links without a target page are left out.
+    A link counts once for each time its href stands in the source's text, and once for each
+    emphasised piece that holds the anchor. The links of a page are gathered before they meet it, so
+    its content is read once and not copied to each of them.
     """
-    targets = pages.select(F.col("url").alias("href"), F.col("node").alias("dst"))
-    sources = pages.select("node", "content")
-    each = links.where("href IS NOT NULL").join(targets, "href").join(sources, "node")
-    hits = sum((text.scope_hits(F.col("content"), F.col("anchor"), s) for s in text.SCOPES), F.lit(0))
-    weight = text.occurrences(F.col("content"), F.col("href")) + F.coalesce(hits, F.lit(0))
-    return each.select(F.col("node").alias("src"), "dst", weight.alias("weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    gathered = links.where("href IS NOT NULL").groupBy("node").agg(F.collect_list(F.struct("dst", "href", "anchor")).alias("links"))
+    pieces = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(f"<{s}>(.*?)</{s}>"), F.lit(1)) for s in text.SCOPES)))
+    both = pages.select("node", "content").join(gathered, "node").select("node", "links", "content", pieces.alias("pieces"))
+
+    def weighed(x: Column) -> Column:
+        held = F.when(F.length(x["anchor"]) > 0, F.size(F.filter("pieces", lambda p: F.contains(p, x["anchor"])))).otherwise(0)
+        return F.struct(x["dst"].alias("dst"), (text.occurrences(F.col("content"), x["href"]) + held).alias("weight"))
+
+    each = both.select(F.col("node").alias("src"), F.explode(F.transform("links", weighed)).alias("x")).select("src", "x.dst", F.coalesce("x.weight", F.lit(0)).alias("weight"))
+    return each.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def normalized(edges: DataFrame) -> DataFrame:
@@ -41,33 +45,41 @@ def normalized(edges: DataFrame) -> DataFrame:
     return edges.join(total, "src").where("total > 0").select("src", "dst", (F.col("weight") / F.col("total")).alias("w"))
 
 
-def ranks(base: DataFrame, weights: DataFrame, f: float = 0.7, tolerance: float | None = None, iterations: int | None = None, limit: int = 100) -> DataFrame:
+def ranks(base: DataFrame, weights: DataFrame, f: float = 0.7, tolerance: float | None = None, iterations: int | None = None, limit: int = 1000) -> DataFrame:
     """(node, score) after rounds of score = (1 - f) base + f * sum of the scores that flow in.
 
     base: (node, base); weights: (src, dst, w), shares that sum to 1 a source. A node without
     weights gives an equal part to every node, itself too. Rounds are `iterations`, or go on
-    until no score moves by more than `tolerance` (0.01 / nodes by default), at most `limit`.
-    Edges are hashed by source once and kept; a round shuffles one number an edge, pre-summed.
+    until no score moves by more than `tolerance` (0.01 / nodes by default); if that isn't
+    reached within `limit` rounds it is an error. Edges and scores are bucketed alike on disk, so
+    a round doesn't shuffle the edges but one number a target, pre-summed; what nodes without
+    weights give and how far scores moved come from one aggregate.
     """
     if not 0 < f < 1:
         raise ValueError("f must lie between 0 and 1")
-    base = cut(base, "base")
-    n = base.count()
-    weights = cut(weights.repartition("src"), "weights")
-    idle = cut(base.select("node").join(weights.select(F.col("src").alias("node")).distinct(), "node", "left_anti"), "idle")
-    tolerance = 0.01 / max(n, 1) if tolerance is None else tolerance
-    scores = base.select("node", F.col("base").alias("score"))
-    for _ in range(limit if iterations is None else iterations):
-        even = (scores.join(idle, "node", "left_semi").agg(F.sum("score")).first()[0] or 0.0) / max(n, 1)
-        flow = weights.join(scores.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
-        new = base.join(flow, "node", "left")
-        score = (1 - f) * F.col("base") + f * (F.coalesce("flow", F.lit(0.0)) + even)
-        stepped = cut(new.select("node", score.alias("score")), "scores")
-        moved = iterations is not None or stepped.join(scores.withColumnRenamed("score", "old"), "node").where(F.abs(F.col("score") - F.col("old")) > tolerance).limit(1).count() > 0
-        scores = stepped
-        if not moved:
-            break
-    return scores
+    weights = cut(weights, "weights")
+    tables = Bucketed(base.sparkSession, file_bytes(weights))
+    try:
+        edges = tables.keep(weights.select(F.col("src").alias("node"), "dst", "w"))
+        idle = base.join(weights.select(F.col("src").alias("node"), F.lit(False).alias("idle")).distinct(), "node", "left").select("node", "base", F.coalesce("idle", F.lit(True)).alias("idle"))
+        nodes = tables.keep(idle)
+        n, scores = nodes.count(), nodes.select("node", F.col("base").alias("score"))
+        even = nodes.where("idle").agg(F.sum("base")).first()[0] or 0.0
+        tolerance = 0.01 / max(n, 1) if tolerance is None else tolerance
+        for done in range(1, (limit if iterations is None else iterations) + 1):
+            flow = edges.join(scores, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("flow"))
+            score = (1 - f) * F.col("base") + f * (F.coalesce("flow", F.lit(0.0)) + even / max(n, 1))
+            new = nodes.join(flow, "node", "left").join(scores.withColumnRenamed("score", "old"), "node").select("node", "idle", score.alias("score"), F.col("old"))
+            stepped = tables.keep(new)
+            moved, even = stepped.agg(F.max(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("idle"), F.col("score")))).first()
+            even, scores = even or 0.0, stepped.select("node", "score")
+            if iterations is None and (moved or 0.0) <= tolerance:
+                break
+            if iterations is None and done == limit:
+                raise RuntimeError(f"scores still move by {moved} after {limit} rounds")
+        return cut(scores, "ranks")
+    finally:
+        tables.close()
 
 
 def without_ties(scores: DataFrame) -> DataFrame:

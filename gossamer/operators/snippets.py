@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import text
+from ..functions import html, text
 
 #: Words of a snippet, words to either side of a hit, characters and tries of the widening.
 SIZE, AROUND, CHARS, TRIES = 40, 5, 40, 15
@@ -120,10 +120,17 @@ def snippet(content: Column, query: str) -> Column:
 
 
 def as_html(results: DataFrame) -> DataFrame:
-    """One row (html) that lists `results` (rank, title, abs_url, snippet), by rank; results are a page of hits."""
-    line = F.format_string("<div><b>%d: <a href=\"%s\">%s</a></b><br>%s</div>", F.col("rank").cast("long"), "abs_url", F.coalesce("title", "abs_url"), F.coalesce("snippet", F.lit("")))
+    """One row (html) that lists `results` (rank, title, abs_url, snippet), by rank; results are a page of hits.
+
+    Titles and URLs are escaped, a snippet keeps its <b>. Without a result it says so.
+    """
+    safe = F.replace(F.replace(html.escaped(F.coalesce("snippet", F.lit(""))), F.lit("&lt;b&gt;"), F.lit("<b>")), F.lit("&lt;/b&gt;"), F.lit("</b>"))
+    url = html.escaped(F.col("abs_url"))
+    # Fixed value: the line of a result.
+    line = F.format_string('<div><b>%d: <a href="%s">%s</a></b><br>%s<br><a href="%s">%s</a></div>', F.col("rank").cast("long"), url, html.escaped(F.coalesce("title", "abs_url")), safe, url, url)
     rows = results.select(F.struct("rank", line.alias("line")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("r"))
-    return rows.select(F.concat(F.lit("<h3>Results:</h3>"), F.array_join(F.transform("r", lambda x: x["line"]), "")).alias("html"))
+    found = F.concat(F.lit("<h3>Results:</h3>"), F.array_join(F.transform("r", lambda x: x["line"]), ""))
+    return rows.select(F.when(F.size("r") > 0, found).otherwise("<h3>No results were found</h3>").alias("html"))
 
 
 def as_text(results: DataFrame) -> DataFrame:
@@ -134,6 +141,6 @@ def as_text(results: DataFrame) -> DataFrame:
     return rows.select(F.when(F.size("r") > 0, joined).otherwise("No results were found").alias("text"))
 
 
-def broken_lines(html: Column) -> Column:
+def broken_lines(page: Column) -> Column:
     """A line end after each closing div, for a console."""
-    return F.regexp_replace(html, "(</div>)", "$1\n")
+    return F.regexp_replace(page, "(</div>)", "$1\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from ..functions import html
 from ..operators import crawl, index, pagerank, records, search, snippets
 from ..shared import cut
 from ..sources import files, sinks
+from ..sources.versions import VersionedTable
 
 
 def documents(pages: DataFrame) -> DataFrame:
@@ -18,47 +21,83 @@ def documents(pages: DataFrame) -> DataFrame:
 
 
 def index_folder(spark: SparkSession, folder: str, target: str) -> int:
-    """Indexes the HTML files below `folder` into the table `target`; gives the number of documents there."""
+    """Indexes the HTML files below `folder` into the table `target` and its postings; gives the number of documents there."""
     docs = files.page_documents(files.html_folder(spark, folder)).select(F.xxhash64("filename").alias("index_id"), "filename", "title", "contents")
-    sinks.append(docs, target)
-    return spark.read.parquet(target).count()
+    sinks.append(docs, f"{target}/documents")
+    refresh_index(spark, target)
+    return spark.read.parquet(f"{target}/documents").count()
+
+
+def documents_of(spark: SparkSession, target: str) -> DataFrame:
+    """Index documents of a target that index_folder or update has written."""
+    table = VersionedTable(spark, f"{target}/pages")
+    return documents(table.read()) if table.exists() else spark.read.parquet(f"{target}/documents")
+
+
+def refresh_index(spark: SparkSession, target: str) -> index.Index:
+    """Writes the postings of a target anew, by which it is searched; readers see the old ones until they are complete."""
+    generation = uuid.uuid4().hex
+    stored = index.Index.of(documents_of(spark, target), "contents", "title").store(f"{target}/index-{generation}")
+    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(f"{target}/index")
+    return stored
+
 
+def open_index(spark: SparkSession, target: str) -> index.Index:
+    return index.Index.open(spark, f"{target}/index-{spark.read.parquet(f'{target}/index').first()[0]}")
 
-def crawl_and_index(start: str, query: str, snapshot: DataFrame, target: str, sites: DataFrame | None = None, max_pages: int = 50, batch: int = 15) -> DataFrame:
-    """Crawls from `start` and upserts the pages (abs_url, title, content) into `target`, those apart that are near-duplicates of what it holds; gives the actions."""
-    visited = crawl.crawl(start, query, snapshot, sites, max_pages, batch)
-    new = visited.select("page_id", "abs_url").join(snapshot.select("page_id", "title", "content").dropDuplicates(["page_id"]), "page_id").select("abs_url", "title", "content")
-    return update(new.dropDuplicates(["abs_url"]), target)
+
+def crawl_and_index(start: str | None, query: str, snapshot: DataFrame, target: str, sites: DataFrame | None = None, max_pages: int = 50, batch: int = 15) -> DataFrame:
+    """Crawls from `start` and upserts the pages (abs_url, title, content) into `target`, those apart that are near-duplicates of what it holds; gives the actions.
+
+    Without a start, the crawl goes on from the last good page of the one before; that page is kept with the target.
+    """
+    spark = snapshot.sparkSession
+    start = start or files.last_good(spark, f"{target}/last-good")
+    if not start:
+        raise ValueError("there is no page to start from")
+    visited = cut(crawl.crawl(start, query, snapshot, sites, max_pages, batch), "visited")
+    pages = visited.select("page_id", "abs_url", "round").join(snapshot.select("page_id", "title", "content").dropDuplicates(["page_id"]), "page_id")
+    good = pages.where(F.size(html.links(F.col("content"))) > 0).select("abs_url", F.struct("round", "page_id").alias("seq"))
+    good = good.agg(F.max_by("abs_url", "seq").alias("abs_url")).where("abs_url IS NOT NULL")
+    if not good.isEmpty():
+        sinks.last_good(good, f"{target}/last-good")
+    return update(pages.select("abs_url", "title", "content").dropDuplicates(["abs_url"]), target)
 
 
 def update(new: DataFrame, target: str) -> DataFrame:
-    """Upserts pages (abs_url, ..., content) into the table `target`; gives them with their action. A second run changes nothing."""
+    """Upserts pages (abs_url, ..., content) into `target` and its postings; gives them with their action. A second run changes nothing."""
     spark = new.sparkSession
-    try:
-        base = spark.read.schema(new.schema).parquet(target)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        base = spark.createDataFrame([], new.schema)
+    table = VersionedTable(spark, f"{target}/pages")
+    base = table.read() if table.exists() else spark.createDataFrame([], new.schema)
     actions = cut(index.upsert_actions(new, base, "abs_url", "content"), "actions")
-    sinks.replace(index.upsert(base, actions.where("action <> 'skip'").select(new.columns), "abs_url"), target)
+    changed = actions.where("action <> 'skip'").select(new.columns)
+    if not changed.isEmpty():
+        table.upsert(changed)
+        refresh_index(spark, target)
     return actions
 
 
-def ranked_results(docs: DataFrame, scores: DataFrame, query: str, k: int = 10, hits: int = 50) -> DataFrame:
-    """A result page (rank, title, abs_url, snippet): the best `hits` by text, of them the k with the best score (doc_id, rank), fused.
+def ranked(index_: index.Index, scores: DataFrame, query: str, k: int = 10, hits: int = 50) -> DataFrame:
+    """(rank, doc_id, score): of the best `hits` by text the k with the best score (doc_id, rank), fused; k rows."""
+    best = search.fused(scores, search.top(search.matches(index_, query), hits), k)
+    return best.select(F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
+
+
+def ranked_results(docs: DataFrame, index_: index.Index, scores: DataFrame, query: str, k: int = 10, hits: int = 50) -> DataFrame:
+    """A result page (rank, title, abs_url, snippet) of ranked(); of the documents the k that are shown are read.
 
     scores come from `link_scores`, computed once and kept, not for every query.
     """
-    best = cut(search.fused(scores, search.top(search.matches(docs, query), hits), k), "fused")
-    rows = docs.join(F.broadcast(best.select(F.col("doc_id").alias("index_id"), "score")), "index_id")  # best has k rows
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "index_id")))
-    return ranked.select("rank", "title", "abs_url", snippets.snippet(F.col("contents"), query).alias("snippet"))
+    best = cut(ranked(index_, scores, query, k, hits), "ranked")
+    rows = docs.join(F.broadcast(best.withColumnRenamed("doc_id", "index_id")), "index_id")  # best has k rows
+    return rows.select("rank", "title", "abs_url", snippets.snippet(F.col("contents"), query).alias("snippet"))
 
 
 def link_scores(pages: DataFrame, links: DataFrame, f: float = 0.7) -> DataFrame:
     """(node, score) of pages (node, url, content) by their links (node, href, anchor)."""
-    return pagerank.ranks(pagerank.bases(pages), pagerank.normalized(pagerank.strengths(pages, links)), f)
+    targets = pages.select(F.col("url").alias("href"), F.col("node").alias("dst"))
+    aimed = links.where("href IS NOT NULL").join(targets, "href").select("node", "dst", "href", "anchor")
+    return pagerank.ranks(pagerank.bases(pages), pagerank.normalized(pagerank.strengths(pages, aimed)), f)
 
 
 def folder_ranks(spark: SparkSession, folder: str, f: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import html, text, urls
 from .operators import crawl, index, links, orphans, pagerank, records, robots, search, snippets
 from .plans import runs
+from .shared import cut, shared_path
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,15 @@ def robots_safe_links(spark: SparkSession, folder: str) -> DataFrame:
     return robots.safe(each, table(spark, folder, "sites", "host", "robots_txt")).select("link_id")
 
 
+def page_walked_chars(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder, "content").select("page_id", F.length(html.walked_text(F.col("content"))).alias("chars"))
+
+
+def anchor_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """The polynomial hash of every anchor with its number of characters."""
+    return table(spark, folder, "page_links", "link_id", "anchor").select("link_id", text.polynomial_hash(F.col("anchor"), F.length("anchor")).alias("hash"))
+
+
 def link_scores(spark: SparkSession, folder: str) -> DataFrame:
     each = table(spark, folder, "page_links", "link_id", "page_id", "url", "anchor", "abs_url", "unique_url").withColumnRenamed("url", "href")
     return links.scored(table(spark, folder, "crawl_pages", "page_id", "content"), each, QUERY).select("link_id", "score")
@@ -89,9 +99,13 @@ def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crawl_order(spark: SparkSession, folder: str) -> DataFrame:
-    open_ = table(spark, folder, "crawl_pages", "page_id", "abs_url").select("*", urls.host(F.col("abs_url")).alias("host"), urls.path(F.col("abs_url")).alias("path"))
-    first = robots.safe(open_, table(spark, folder, "sites", "host", "robots_txt")).agg(F.min_by("abs_url", "page_id")).first()[0]
-    return crawl.crawl(first or "", QUERY, table(spark, folder, "crawl_pages", "page_id", "abs_url", "content"), table(spark, folder, "sites", "host", "robots_txt"), max_pages=8, batch=4)
+    """A crawl with the default budget, from the page with the most links to known pages among those that robots rules allow."""
+    pages = _pages(spark, folder, "abs_url", "content").where("abs_url IS NOT NULL")
+    allowed = robots.safe(pages.select("page_id", urls.host(F.col("abs_url")).alias("host"), urls.path(F.col("abs_url")).alias("path")), table(spark, folder, "sites", "host", "robots_txt")).select("page_id")
+    known = pages.select(urls.unique(F.col("abs_url")).alias("unique_url")).distinct()
+    often = links.extracted(pages).join(allowed, "page_id").join(known, "unique_url").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = pages.join(often, "page_id").agg(F.max_by("abs_url", F.struct("n", -F.col("page_id")))).first()[0]
+    return crawl.crawl(first or "", QUERY, table(spark, folder, "crawl_pages", "page_id", "abs_url", "content"), table(spark, folder, "sites", "host", "robots_txt"), batch=5)
 
 
 def last_good(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,8 +116,23 @@ def last_good(spark: SparkSession, folder: str) -> DataFrame:
 # --- index and search
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def _kept(spark: SparkSession, folder: str, what: str, make: Callable[[], object]) -> object:
+    """What a search needs and no query changes: made once a session and folder, and stored in the shared folder."""
+    key = (spark.sparkContext.applicationId, folder, what)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def _index(spark: SparkSession, folder: str) -> index.Index:
+    return _kept(spark, folder, "index", lambda: index.Index.of(_docs(spark, folder, "contents", "title"), "contents", "title").store(shared_path(spark, "index")))
+
+
 def postings_df(spark: SparkSession, folder: str) -> DataFrame:
-    return index.dictionary(index.postings(_docs(spark, folder, "contents"), "contents"))
+    return index.dictionary(_index(spark, folder).postings.where("field = 'contents'"))
 
 
 def doc_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,60 +145,85 @@ def doc_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def _search(query: str, k: int | None = None, scoring: str = "tfidf", default: str = "contents") -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        hits = search.matches(_docs(spark, folder, "contents", "title", "abs_url"), query, default=default, scoring=scoring)
+        hits = search.matches(_index(spark, folder), query, default=default, scoring=scoring)
         return (search.top(hits, k) if k else hits).select("doc_id", F.round("score", 6).alias("score"))
 
     return run
 
 
 def two_field_merge(spark: SparkSession, folder: str) -> DataFrame:
-    return search.two_fields(_docs(spark, folder, "contents", "title"), QUERY).select("doc_id", "field", F.round("score", 6).alias("score"))
+    return search.two_fields(_index(spark, folder), QUERY).select("doc_id", "field", F.round("score", 6).alias("score"))
 
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Pages as nodes and link counts as weights."""
-    pages = _pages(spark, folder, "unique_url", "content")
-    base = pagerank.bases(pages.select(F.col("page_id").alias("node"), "content"))
-    targets = pages.where("unique_url IS NOT NULL").groupBy("unique_url").agg(F.min("page_id").alias("dst"))
-    each = table(spark, folder, "page_links", "page_id", "unique_url").join(targets, "unique_url").join(pages.select("page_id"), "page_id", "left_semi")
-    edges = each.groupBy(F.col("page_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return base, pagerank.normalized(edges)
+    """Pages as nodes, and the strengths of their links as weights."""
+    pages = _pages(spark, folder, "unique_url", "content").select(F.col("page_id").alias("node"), "unique_url", "content")
+    targets = pages.where("unique_url IS NOT NULL").groupBy("unique_url").agg(F.min("node").alias("dst"))
+    each = table(spark, folder, "page_links", "page_id", "unique_url", "url", "anchor").join(targets, "unique_url")
+    edges = pagerank.strengths(pages, each.select(F.col("page_id").alias("node"), "dst", F.col("url").alias("href"), "anchor"))
+    return pagerank.bases(pages), pagerank.normalized(edges)
 
 
 def pagerank_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pagerank.ranks(*_graph(spark, folder), f=DAMPING, iterations=ROUNDS).select("node", F.round("score", 9).alias("score"))
 
 
+def _ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Converged scores (node, score), kept."""
+    return _kept(spark, folder, "ranks", lambda: pagerank.ranks(*_graph(spark, folder), f=DAMPING))
+
+
 def pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
-    return pagerank.ranks(*_graph(spark, folder), f=DAMPING)
+    return _ranks(spark, folder).select("node", F.round("score", 9).alias("score"))
 
 
 def _doc_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    latest = _pages(spark, folder, "abs_url").groupBy("abs_url").agg(F.min("page_id").alias("node"))
-    scores = pagerank.ranks(*_graph(spark, folder), f=DAMPING, iterations=ROUNDS)
-    return _docs(spark, folder, "abs_url").join(latest, "abs_url").join(scores, "node").select(F.col("index_id").alias("doc_id"), F.col("score").alias("rank"))
+    """Every document with the score of the page at its address, whatever its spelling; 0 without one."""
+    at = lambda df: df.withColumn("address", orphans.address(F.col("abs_url")))
+    latest = at(_pages(spark, folder, "abs_url")).where("address IS NOT NULL").groupBy("address").agg(F.min("page_id").alias("node"))
+    scores = latest.join(_ranks(spark, folder), "node").select("address", "score")
+    return at(_docs(spark, folder, "abs_url")).join(scores, "address", "left").select(F.col("index_id").alias("doc_id"), F.coalesce("score", F.lit(0.0)).alias("rank"))
+
+
+def _kept_doc_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return _kept(spark, folder, "doc-ranks", lambda: cut(_doc_ranks(spark, folder), "doc-ranks"))
 
 
 def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.top(search.matches(_docs(spark, folder, "contents"), QUERY), 50)
-    return search.fused(_doc_ranks(spark, folder), hits, 10).select("doc_id", F.round("rank", 9).alias("rank"), F.round("text_score", 6).alias("text_score"), F.round("score", 6).alias("score"))
+    hits = search.top(search.matches(_index(spark, folder), QUERY), 50)
+    return search.fused(_kept_doc_ranks(spark, folder), hits, 10).select("doc_id", F.round("rank", 9).alias("rank"), F.round("text_score", 6).alias("text_score"), F.round("score", 6).alias("score"))
+
 
+def strict_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Links into the crawl with the page each leads to; one that has none would be an error."""
+    pages = _pages(spark, folder, "unique_url").where("unique_url IS NOT NULL").groupBy("unique_url").agg(F.min("page_id").alias("target"))
+    inside = table(spark, folder, "page_links", "link_id", "unique_url").join(pages, "unique_url", "left_semi")
+    return links.strictly_joined(inside, pages, "unique_url").select("link_id", "target")
 
-def _results(spark: SparkSession, folder: str) -> DataFrame:
-    return runs.ranked_results(_docs(spark, folder, "title", "abs_url", "contents"), _doc_ranks(spark, folder), QUERY)
+
+def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship's ranking."""
+    best = runs.ranked(_index(spark, folder), _kept_doc_ranks(spark, folder), QUERY)
+    return best.join(_docs(spark, folder, "title", "abs_url").withColumnRenamed("index_id", "doc_id"), "doc_id").select("rank", "doc_id", "title", "abs_url", F.round("score", 6).alias("score"))
 
 
 def search_page(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: text hits, ranked by links, with highlighted snippets."""
-    return _results(spark, folder)
+    return runs.ranked_results(_docs(spark, folder, "title", "abs_url", "contents"), _index(spark, folder), _kept_doc_ranks(spark, folder), QUERY)
 
 
 def search_page_html(spark: SparkSession, folder: str) -> DataFrame:
-    return snippets.as_html(_results(spark, folder)).select(snippets.broken_lines(F.col("html")).alias("html"))
+    return snippets.as_html(search_page(spark, folder)).select(snippets.broken_lines(F.col("html")).alias("html"))
 
 
 def search_page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return snippets.as_text(_results(spark, folder))
+    return snippets.as_text(search_page(spark, folder))
+
+
+def phrase_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Snippets of the documents in which the whole query stands."""
+    rows = _docs(spark, folder, "contents").where(F.contains(F.lower(F.regexp_replace("contents", "[ \t\n\r\f]+", " ")), F.lit(PHRASE)))
+    return rows.select("index_id", snippets.snippet(F.col("contents"), PHRASE).alias("snippet"))
 
 
 def doc_snippets(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,6 +263,11 @@ def version_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("incoming_id", F.round(index.jaccard(F.col("a"), F.col("b")), 9).alias("exact"), index.minhash_estimate(index.minhash(F.col("a")), index.minhash(F.col("b"))).alias("estimate"))
 
 
+def version_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity of each incoming page with the last fetch of its address, by sets of runs."""
+    return version_minhash(spark, folder).select("incoming_id", "exact")
+
+
 def upserted_addresses(spark: SparkSession, folder: str) -> DataFrame:
     new, old = _versions(spark, folder)
     latest = new.where("abs_url IS NOT NULL").groupBy("abs_url").agg(F.max_by("content", "incoming_id").alias("content"))
@@ -293,6 +352,9 @@ SEARCHES: dict[str, Query] = {
     "wildcard_hits": _search("w?lrus"),
     "fuzzy_hits": _search("walrsu~"),
     "range_hits": _search("[waiter TO walrus]"),
+    "open_range_hits": _search("{waiter TO walrus}"),
+    "fuzzy_one_hits": _search("walrsus~1"),
+    "long_slop_hits": _search('"walrus and guards narrow"~4'),
     "boosted_hits": _search("walrus^2 kitchen"),
     "grouped_hits": _search("(walrus OR kitchen) AND deadline"),
 }
@@ -302,8 +364,8 @@ FLAGSHIP = "search_page"
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        page_titles, page_words, page_body_chars, page_out_links, link_urls, host_page_counts, robots_rules, robots_safe_links, link_scores, frontier_top, unseen_links, linked_pages, crawl_order, last_good,
-        postings_df, doc_lengths, doc_count, two_field_merge, pagerank_pages, pagerank_converged, rank_fusion, search_page, search_page_html, search_page_text, doc_snippets, highlighted_titles, hit_intervals,
-        upsert_actions, version_minhash, upserted_addresses, first_last_events, first_last_orders, nested_orders, set_union, set_intersection, set_difference, score_ties, p7_found, p7_report,
+        page_titles, page_words, page_body_chars, page_walked_chars, anchor_hashes, page_out_links, link_urls, host_page_counts, robots_rules, robots_safe_links, link_scores, frontier_top, unseen_links, linked_pages, crawl_order, last_good,
+        postings_df, doc_lengths, doc_count, two_field_merge, pagerank_pages, pagerank_converged, rank_fusion, strict_targets, search_ranked, search_page, search_page_html, search_page_text, doc_snippets, phrase_snippets, highlighted_titles, hit_intervals,
+        upsert_actions, version_minhash, version_exact, upserted_addresses, first_last_events, first_last_orders, nested_orders, set_union, set_intersection, set_difference, score_ties, p7_found, p7_report,
     )
 } | SEARCHES

@@ -99,6 +99,28 @@ def mark(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True).close()
 
 
+class Bucketed:
+    """Tables of a job that are bucketed alike by their column node, so joins by it shuffle none of them."""
+
+    def __init__(self, spark: SparkSession, size: int):
+        """size: bytes of the largest of them, by which the number of buckets goes."""
+        self.spark, self.names, self.paths = spark, [], []
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (128 << 20) + 1)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        name, path = f"kept_{uuid.uuid4().hex}", shared_path(self.spark, "kept")
+        df.repartition(self.buckets, "node").write.format("parquet").bucketBy(self.buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
+        self.names.append(name)
+        self.paths.append(path)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Drops the tables and removes their files."""
+        for name, path in zip(self.names, self.paths):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+
+
 @atexit.register
 def _cleanup() -> None:
     for spark, path in _OWNED:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html
+from ..shared import exists
 
 #: A page as the page map holds it.
 PAGE = "id string, url string, abs_url string, unique_url string, title string, content string, out_links array<struct<url:string,anchor:string,abs_url:string,unique_url:string>>"
@@ -34,14 +35,20 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 
 def page_map(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a JSON file {"pages": {abs_url: page}}; none if the file is missing or can't be read."""
-    try:
-        df = spark.read.schema(f"pages map<string,struct<{', '.join(x.replace(' ', ':', 1) for x in PAGE.split(', '))}>>").json(path, multiLine=True)
-        return df.select(F.explode("pages").alias("key", "page")).select("page.*")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], T._parse_datatype_string(PAGE))
-        raise
+    """Pages of a page map: JSON lines, a page a line, as sinks.page_map writes them, or a JSON document {"pages": {abs_url: page}}; none if there is nothing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], T._parse_datatype_string(PAGE))
+    kind = ", ".join(x.replace(" ", ":", 1) for x in PAGE.split(", "))
+    whole = spark.read.schema(f"pages map<string,struct<{kind}>>").json(path, multiLine=True).where("pages IS NOT NULL")
+    if not whole.isEmpty():
+        return whole.select(F.explode("pages").alias("key", "page")).select("page.*")
+    return spark.read.schema(PAGE).json(path)
+
+
+def last_good(spark: SparkSession, path: str) -> str | None:
+    """The page that sinks.last_good kept at `path`, or None."""
+    row = spark.read.text(path).first() if exists(spark, path) else None
+    return row[0] if row else None
 
 
 def inspections(spark: SparkSession, path: str) -> DataFrame:
@@ -56,10 +63,11 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def data_table(spark: SparkSession, path: str, columns: int, sep: str = ",", missing: str = "?", header: bool = False) -> DataFrame:
-    """A table of c0, c1, ... from a text file; `missing` is null, blanks around values go, sep ' ' is any run of blanks."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    """A table of c0, c1, ... from a text file; `missing` is null, blanks around values go, sep ' ' is any run of blanks.
+
+    header: the first line of each file is none of the data, whatever it says.
+    """
+    lines = spark.read.csv(path, schema="value string", sep="\x01", quote="", escape="", header=header, enforceSchema=True)
+    lines = lines.select(F.trim("value").alias("value")).where("value <> ''")
     parts = F.split("value", " +" if sep == " " else f"[{sep}]")
-    out = lines.select(*(F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit(missing)).alias(f"c{i}") for i in range(columns)))
-    if header:
-        out = out.where(~F.col("c0").eqNullSafe(F.lit("0")) | ~F.col("c1").eqNullSafe(F.lit("1")))
-    return out
+    return lines.select(*(F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit(missing)).alias(f"c{i}") for i in range(columns)))

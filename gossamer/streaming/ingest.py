@@ -8,33 +8,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index
 from ..shared import cut
-from ..sources import sinks
+from ..sources.versions import VersionedTable
 
 
-def merge_batch(batch: DataFrame, target: str, key: str = "abs_url", content: str = "content", order: str = "fetched_at") -> DataFrame:
-    """Upserts a batch into the parquet table `target`; gives the batch's rows with their action.
+def merge_batch(batch: DataFrame, target: str, key: str = "abs_url", content: str = "content", order: str = "fetched_at", number: int | None = None) -> DataFrame:
+    """Upserts a batch into the versioned table `target`; gives the batch's rows with their action.
 
-    Of several rows of one key in the batch the latest counts. The same batch again changes
-    nothing: its rows are near-duplicates of themselves by then.
+    Of several rows of one key in the batch the latest counts. The batch is appended as a delta;
+    the same batch number again changes nothing, nor do the same rows: they are near-duplicates of
+    themselves by then.
     """
-    spark = batch.sparkSession
     newest = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, content)).alias("r")).select("r.*")
-    try:
-        base = spark.read.schema(batch.schema).parquet(target)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        base = spark.createDataFrame([], batch.schema)
+    table = VersionedTable(batch.sparkSession, target, key)
+    base = table.read() if table.exists() else batch.sparkSession.createDataFrame([], batch.schema)
     actions = cut(index.upsert_actions(newest, base, key, content), "actions")
     changed = actions.where("action <> 'skip'").select(batch.columns)
-    sinks.replace(index.upsert(base, changed, key), target)
+    if not changed.isEmpty():
+        table.upsert(changed, None if number is None else f"stream-{number}")
     return actions
 
 
 def ingest(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Streams parquet files of `landing` into `target`; with `once` it ends when all that is there was taken."""
     stream = spark.readStream.schema(schema).parquet(landing)
-    writer = stream.writeStream.foreachBatch(lambda df, _: merge_batch(df, target)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, number: merge_batch(df, target, number=number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gossamer.functions import html, text, urls
 from gossamer.operators import crawl, index, links, orphans, pagerank, records, robots, search, snippets
-from gossamer.sources import files, sinks
+from gossamer.plans import runs
+from gossamer.sources import files, sinks, versions
 from gossamer.streaming import ingest
 
 
@@ -42,6 +43,10 @@ def test_html(spark):
     assert one(spark, html.body_text(F.col("h")), h=page) == "Some text the link"
     assert [tuple(x) for x in one(spark, html.links(F.col("h")), h=page)] == [("l.html", "the link")]
     assert one(spark, html.title(F.col("h")), h="<p>none") is None
+    hrefs = """<a href='/x'>a</a><a class=k href=/y>b</a><A HREF="/z">c</A><a data-href="/no">d</a><a href='it"s'>e</a>"""
+    assert [x.href for x in one(spark, html.links(F.col("h")), h=hrefs)] == ["/x", "/y", "/z", 'it"s']
+    assert one(spark, html.decoded(F.col("h")), h="&#65;&#x42;&#160;&eacute; &#xZZ; &#; &lt;&amp;lt;") == "AB é &#xZZ; &#; <&lt;"
+    assert one(spark, html.walked_text(F.col("h")), h=page) == "Some\n text  the link  "
     refresh = '<meta http-equiv="refresh" content="0; url=next.html">'
     assert one(spark, html.refresh_target(F.col("h")), h=refresh) == "next.html"
 
@@ -100,29 +105,72 @@ def test_crawl(spark):
     assert crawl.crawl("http://a.b/1", "walrus", snapshot, spark.createDataFrame([("a.b", "User-agent: *\nDisallow: /2")], "host string, robots_txt string")).count() == 2
 
 
+def test_crawl_goes_on_past_missing_pages(spark):
+    links_ = "".join(f'<a href="gone{i}">walrus</a>' for i in range(3))
+    pages = [(1, "http://a.b/1", links_ + '<a href="2">x</a>'), (2, "http://a.b/2", '<a href="old">x</a>'), (3, "http://a.b/3", ""), (4, "http://a.b/old", '<meta http-equiv="refresh" content="0; url=3">')]
+    snapshot = spark.createDataFrame(pages, "page_id long, abs_url string, content string")
+    assert [r.page_id for r in crawl.crawl("http://a.b/1", "walrus", snapshot, max_pages=3).orderBy("round").collect()] == [1, 2, 3]
+
+
 def docs(spark):
-    rows = [(1, "the walrus ate bread", "bread"), (2, "walrus walrus and carpenter", None), (3, None, "walrus"), (4, "", ""), (5, "bread of the carpenter", "notes")]
-    return spark.createDataFrame(rows, "index_id long, contents string, title string")
+    rows = [(1, "the walrus ate bread", "bread"), (2, "walrus walrus and carpenter", None), (3, None, "walrus"), (4, "", ""), (5, "bread of the carpenter", "notes"), (6, "Café Καφές 2x", None)]
+    return index.Index.of(spark.createDataFrame(rows, "index_id long, contents string, title string"), "contents", "title")
 
 
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("walrus", {1, 2}), ("walrus AND bread", {1}), ("+walrus -bread", {2}), ("walrus NOT carpenter", {1}), ('"the walrus"', {1}), ('"the ate"~1', {1}), ("title:walrus", {3}), ("walr*", {1, 2}), ("w?lrus", {1, 2}),
-        ("walrsu~", {1, 2}), ("[bread TO carpenter]", {1, 2, 5}), ("(walrus OR bread) AND carpenter", {2, 5}), ("walrus^3 bread", {1, 2, 5}), ("", set()), ("-walrus", set()), ("title:(walrus OR notes)", {3, 5}),
+        ("walrus", {1, 2}), ("walrus AND bread", {1}), ("+walrus -bread", {2}), ("walrus NOT carpenter", {1}), ('"walrus ate"', {1}), ('"the walrus"', {1, 2}), ('"bread carpenter"', set()), ('"bread of the carpenter"', {5}),
+        ('"ate walrus"~1', set()), ('"ate walrus"~2', {1}), ('"bread ate walrus"~3', set()), ('"bread ate walrus"~4', {1}), ('"walrus bread"~1', {1}), ("title:walrus", {3}), ("walr*", {1, 2}), ("w?lrus", {1, 2}),
+        ("walrsu~", {1, 2}), ("walrsu~1", set()), ("walru~1", {1, 2}), ("[bread TO carpenter]", {1, 2, 5, 6}), ("{bread TO carpenter}", {6}), ("{bread TO carpenter]", {2, 5, 6}), ("(walrus OR bread) AND carpenter", {2, 5}), ("walrus^3 bread", {1, 2, 5}),
+        ("", set()), ("-walrus", set()), ("the", set()), ("walrus AND (NOT bread)", set()), ("title:(walrus OR notes)", {3, 5}), ("café", {6}), ("ΚΑΦΈΣ", {6}), ("καφές", {6}),
     ],
 )
 def test_query_language(spark, query, want):
     assert {r.doc_id for r in search.matches(docs(spark), query).collect()} == want
 
 
-def test_search_scores(spark):
+def test_search_scores(spark, tmp_path):
     got = {r.doc_id: r.score for r in search.matches(docs(spark), "walrus").collect()}
-    idf = search.idf(5, 2)
-    assert got[1] == pytest.approx(idf * idf / 2 / idf) and got[2] == pytest.approx(2**0.5 * idf * idf / 2 / idf)
+    idf = search.idf(6, 2)
+    assert got[1] == pytest.approx(idf * idf / 3**0.5 / idf) and got[2] == pytest.approx(2**0.5 * idf * idf / 3**0.5 / idf)
     assert [r.doc_id for r in search.top(search.matches(docs(spark), "walrus"), 1).collect()] == [2]
     assert search.two_fields(docs(spark), "walrus", 3).count() == 3
-    assert search.matches(docs(spark).limit(0), "walrus").count() == 0
+    stored = docs(spark).store(str(tmp_path / "index"))
+    assert {r.doc_id: r.score for r in search.matches(stored, "walrus").collect()} == got
+    plan = stored.postings.where(search.parse('"walrus ate"').should[0].wants())._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan
+    nothing = spark.createDataFrame([], "index_id long, contents string, title string")
+    assert search.matches(index.Index.of(nothing, "contents"), "walrus").count() == 0
+
+
+def test_index_lifecycle(spark, tmp_path):
+    target = str(tmp_path / "t")
+    page = lambda title: spark.createDataFrame([("absUrl", "body", title)], "abs_url string, content string, title string")
+    runs.update(page("title"), target)
+    runs.VersionedTable(spark, f"{target}/pages").upsert(page("titleModified"))
+    runs.refresh_index(spark, target)
+    hits = search.matches(runs.open_index(spark, target), "body").collect()
+    assert len(hits) == 1 and [r.title for r in runs.documents_of(spark, target).collect()] == ["titleModified"]
+
+
+def test_versioned_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "DELTAS", 2)
+    table = versions.VersionedTable(spark, str(tmp_path / "t"), "k")
+    rows = lambda *xs: spark.createDataFrame(list(xs), "k string, v int")
+    assert table.read() is None and table.read("k string, v int").count() == 0
+    table.upsert(rows(("a", 1), ("b", 1)), "one")
+    table.upsert(rows(("a", 9)), "one")  # taken in before
+    table.upsert(rows(("b", 2), ("c", 2)))
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    other = versions.VersionedTable(spark, str(tmp_path / "t"), "k")
+    with pytest.raises(RuntimeError):
+        other._commit(table.manifest()[0], {"base": None, "deltas": [], "batches": []})
+    table.upsert(rows(("c", 3)))
+    assert table.manifest()[1]["deltas"] == [] and {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    table.vacuum()
+    assert len([x for x in (tmp_path / "t").iterdir() if x.is_dir()]) == 1 and table.read().count() == 3
+    assert {tuple(r) for r in versions.base_and_deltas(rows(("a", 1)), [rows(("a", 2), ("b", 1)), rows(("b", 5))], "k").collect()} == {("a", 2), ("b", 5)}
 
 
 #: The eight-page graph: edges with their weights, and bases.
@@ -145,10 +193,41 @@ def test_pagerank(spark):
         pagerank.ranks(base, weights, f=1)
 
 
+def test_pagerank_that_does_not_converge_is_an_error(spark):
+    weights = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, w double")
+    base = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "node string, base double")
+    with pytest.raises(RuntimeError):
+        pagerank.ranks(base, weights, f=0.99, tolerance=1e-9, limit=2)
+    before = spark.catalog.listTables()
+    pagerank.ranks(base, weights)
+    assert spark.catalog.listTables() == before
+
+
 def test_strengths(spark):
-    pages = spark.createDataFrame([(1, "a.html", '<b>Seal</b> <a href="b.html">Seal</a> b.html'), (2, "b.html", "")], "node long, url string, content string")
-    each = spark.createDataFrame([(1, "b.html", "Seal"), (1, "gone.html", "x"), (2, None, None)], "node long, href string, anchor string")
-    assert [tuple(r) for r in pagerank.strengths(pages, each).collect()] == [(1, 2, 3)]
+    pages = spark.createDataFrame([(1, '<b>Seal</b> <a href="b.html">Seal</a> b.html'), (2, "")], "node long, content string")
+    each = spark.createDataFrame([(1, 2, "b.html", "Seal"), (1, 3, "gone.html", "x"), (2, 1, None, None)], "node long, dst long, href string, anchor string")
+    assert {tuple(r) for r in pagerank.strengths(pages, each).collect()} == {(1, 2, 3), (1, 3, 0)}
+
+
+def test_strict_join(spark):
+    rows, targets = spark.createDataFrame([(1, "a"), (2, "b")], "i int, k string"), spark.createDataFrame([("a", 7)], "k string, t int")
+    assert [tuple(r) for r in links.strictly_joined(rows.where("k = 'a'"), targets, "k").select("i", "t").collect()] == [(1, 7)]
+    with pytest.raises(Exception, match="no target for k b"):
+        links.strictly_joined(rows, targets, "k").collect()
+
+
+def test_small_functions(spark):
+    assert one(spark, text.scope_hits(F.col("h"), F.lit("x"), "b"), h="<b>x</b> <b>x</b>") == 2
+    assert one(spark, text.scope_hits(F.col("h"), F.lit("x"), "b", greedy=True), h="<b>x</b> <b>x</b>") == 1
+    h = 1125899906842597
+    for c in "walrus and more words":
+        h = (31 * h + ord(c)) % (1 << 64)
+    h = (h + 3) % (1 << 64)
+    assert one(spark, text.polynomial_hash(F.col("t"), F.lit(3)), t="walrus and more words") == (h - (1 << 64) if h >> 63 else h)
+    assert one(spark, urls.local(F.lit("/d/"), F.lit("a.html"))) == one(spark, urls.local(F.lit("/d"), F.lit("a.html"))) == "/d/a.html"
+    assert one(spark, urls.resolved(F.lit("../x"), F.lit("http://a.b/c/d/e"))) == "http://a.b/c/x"
+    assert one(spark, text.word_index(F.array(F.lit("a"), F.lit("B")), F.lit("b"))) == 1
+    assert one(spark, text.without_stop_words(F.array(F.lit("the"), F.lit("w!"), F.lit("?")))) == ["w"]
 
 
 def test_snippets(spark):
@@ -165,7 +244,10 @@ def test_snippets(spark):
     array = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 5), (10, 12), (18, 20))))
     assert [tuple(x) for x in one(spark, snippets.merged(array, 5))] == [(0, 12), (18, 20)]
     results = spark.createDataFrame([(2, None, "u2", None), (1, "T", "u1", "s")], "rank int, title string, abs_url string, snippet string")
-    assert snippets.as_html(results).first()[0].startswith('<h3>Results:</h3><div><b>1: <a href="u1">T</a></b><br>s</div><div><b>2: ')
+    assert snippets.as_html(results).first()[0].startswith('<h3>Results:</h3><div><b>1: <a href="u1">T</a></b><br>s<br><a href="u1">u1</a></div><div><b>2: ')
+    assert snippets.as_html(results.limit(0)).first()[0] == "<h3>No results were found</h3>"
+    odd = spark.createDataFrame([(1, "<i>&", 'u"', "<b>x</b><script>")], "rank int, title string, abs_url string, snippet string")
+    assert snippets.as_html(odd).first()[0] == '<h3>Results:</h3><div><b>1: <a href="u&quot;">&lt;i&gt;&amp;</a></b><br><b>x</b>&lt;script&gt;<br><a href="u&quot;">u&quot;</a></div>'
     assert snippets.as_text(results.limit(0)).first()[0] == "No results were found"
 
 
@@ -196,7 +278,17 @@ def test_streamed_upsert(spark, tmp_path):
     spark.createDataFrame([("u1", "a b c d e", day), ("u1", "f g h i j", day + dt.timedelta(1)), (None, "x", day)], schema).coalesce(1).write.parquet(str(tmp_path / "landing"))
     for n in range(2):
         ingest.ingest(spark, str(tmp_path / "landing"), schema, str(tmp_path / "target"), str(tmp_path / f"state{n}")).awaitTermination()
-        assert [(r.abs_url, r.content) for r in spark.read.parquet(str(tmp_path / "target")).collect()] == [("u1", "f g h i j")]
+        table = versions.VersionedTable(spark, str(tmp_path / "target"))
+        assert [(r.abs_url, r.content) for r in table.read().collect()] == [("u1", "f g h i j")] and table.manifest()[0] == 1
+
+
+def test_streamed_arrivals(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    schema = "abs_url string, arrived_at timestamp"
+    spark.createDataFrame([("a", day), ("b", day), ("c", day + dt.timedelta(9))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.arrivals(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.pages for r in spark.table("arrived").collect()) == [1, 2]
 
 
 def test_records(spark):
@@ -226,13 +318,19 @@ def test_files(spark, tmp_path):
     assert row["name"] == "A, B" and row.inspection_type == ""
     (tmp_path / "t.data").write_text("1 ? 3  \n\n4 5 6\n")
     assert [tuple(r) for r in files.data_table(spark, str(tmp_path / "t.data"), 3, " ").collect()] == [("1", None, "3"), ("4", "5", "6")]
+    (tmp_path / "h.data").write_text("0\t1\t2\n0\t1\t7\n?\t1\t8\n")
+    assert [tuple(r) for r in files.data_table(spark, str(tmp_path / "h.data"), 3, "\t", header=True).collect()] == [("0", "1", "7"), (None, "1", "8")]
+    sinks.page_map(files.page_map(spark, str(tmp_path / "m.json")), str(tmp_path / "again"))
+    assert files.page_map(spark, str(tmp_path / "again")).collect() == files.page_map(spark, str(tmp_path / "m.json")).collect()
+    sinks.last_good(spark.createDataFrame([("http://a/b",)], "abs_url string"), str(tmp_path / "good"))
+    assert files.last_good(spark, str(tmp_path / "good")) == "http://a/b" and files.last_good(spark, str(tmp_path / "none")) is None
     (tmp_path / "w.txt").write_text("and\nof\nand\n")
     assert files.word_list(spark, str(tmp_path / "w.txt")).count() == 2
     rows = records.first_last(spark.createDataFrame([("1", "1/5/2015")], "id string, day string"), "id", "day")
     sinks.first_last_csv(rows, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "1,01/05/2015,01/05/2015"
     sinks.raw_pages(spark.createDataFrame([("http://a/b", "text")], "abs_url string, content string"), str(tmp_path / "raw"))
-    assert (tmp_path / "raw" / "file=http__a_b").exists() or any((tmp_path / "raw").glob("file=*"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "raw")).collect()] == [("http__a_b", "text")]
 
 
 def ts(day):

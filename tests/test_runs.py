@@ -15,14 +15,14 @@ def test_update_and_search(spark, tmp_path):
     target = str(tmp_path / "index")
     assert {r.action for r in runs.crawl_and_index("http://a.b/1", "walrus", snapshot, target).collect()} == {"insert"}
     assert {r.action for r in runs.crawl_and_index("http://a.b/1", "walrus", snapshot, target).collect()} == {"skip"}
-    kept = spark.read.parquet(target)
-    assert kept.count() == 2
-    docs = runs.documents(kept)
+    docs = runs.documents_of(spark, target)
+    assert docs.count() == 2
+    assert {r.action for r in runs.crawl_and_index(None, "walrus", snapshot, target).collect()} == {"skip"}  # from the last good page
     graph = snapshot.selectExpr("page_id AS node", "abs_url AS url", "content")
     links = spark.createDataFrame([(1, "http://a.b/2", "walrus")], "node long, href string, anchor string")
     scores = runs.link_scores(graph, links)
     ranks = docs.join(graph.selectExpr("node", "url AS abs_url"), "abs_url").join(scores, "node").selectExpr("index_id AS doc_id", "score AS rank")
-    page = runs.ranked_results(docs, ranks, "bread").collect()
+    page = runs.ranked_results(docs, runs.open_index(spark, target), ranks, "bread").collect()
     assert len(page) == 2 and all("<b>bread</b>" in r.snippet for r in page)
 
 
@@ -59,3 +59,4 @@ def test_commands(spark, tmp_path):
     snapshot = spark.createDataFrame([(1, "http://a.b/1", "One", "x y z words here")], "page_id long, abs_url string, title string, content string")
     snapshot.write.parquet(str(tmp_path / "pages"))
     assert run(spark, ["crawl", "-u", "http://a.b/1", "-q", "x", "--pages", str(tmp_path / "pages"), "--target", str(tmp_path / "t")]) == "insert 1"
+    assert run(spark, ["update", "-q", "x", "-u", "http://a.b/1", "--pages", str(tmp_path / "pages"), "--target", str(tmp_path / "t")]) == "skip 1"
