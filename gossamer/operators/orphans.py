@@ -1,9 +1,11 @@
 """References to records that don't exist, or didn't exist at the time of the reference.
 
-References are counted a key before anything is joined. The few keys that hold more than a
-fraction of all references (at most 1 / fraction keys, so their number is bounded whatever
-the data) are checked by broadcast; the other keys go through a shuffled join. Both orphan
-sets are united.
+References are aggregated once a key and period (count, first and last time) before anything is
+joined. From that table come the few keys that hold more than a fraction of all references, and
+the verdict on every key and period: all of its references are orphans, none is, or, where a
+record began or ended in between, each must be looked at. Verdicts of heavy keys are checked and
+sent by broadcast, as long as they are few; the others go through shuffled joins. Counts a
+period are sums of verdicts; rows are looked up only for those that are listed.
 """
 
 from __future__ import annotations
@@ -12,8 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import cut
+
 #: A key is heavy if it holds more than this share of all references; so at most 500 are.
 HEAVY_SHARE = 1 / 500
+#: Rows that may be broadcast, some ten MB; more are joined by a shuffle.
+FEW = 100_000
+
+
+def _parts(url: Column) -> tuple[Column, Column]:
+    """Host and the rest of a URL without scheme and fragment."""
+    bare = F.regexp_replace(F.substring_index(url, "#", 1), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    ends = [F.nullif(F.locate(c, bare), F.lit(0)) for c in "/?"]
+    end = F.coalesce(F.least(*ends), F.length(bare) + 1)
+    return F.regexp_replace(F.lower(F.substring(bare, F.lit(1), end - 1)), ":80$", ""), F.substring(bare, end, F.length(bare))
 
 
 def address(url: Column) -> Column:
@@ -21,44 +35,52 @@ def address(url: Column) -> Column:
 
     Null gives null. A URL without a path gives its host.
     """
-    rest = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_extract(rest, "^([^/?]*)", 1)
-    return F.concat(F.regexp_replace(F.lower(host), ":80$", ""), F.substring(rest, F.length(host) + 1, 1 << 30))
+    return F.concat(*_parts(url))
 
 
 def address_host(url: Column) -> Column:
-    return F.regexp_extract(address(url), "^([^/?]*)", 1)
+    return _parts(url)[0]
 
 
-def heavy_keys(refs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys of `refs` (key, ...) with more than `share` of its rows: (key), at most 1 / share rows."""
-    counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > refs.count() * share).select("key")
+def reference_counts(refs: DataFrame) -> DataFrame:
+    """(key, period, n, timeless, low, high) of `refs` (key, period, at): references, those of them without a time, and the first and last time; null keys refer to nothing."""
+    return (
+        refs.where("key IS NOT NULL").groupBy("key", "period")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at").isNull()).alias("timeless"), F.min("at").alias("low"), F.max("at").alias("high"))
+    )
 
 
-def _split(refs: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    heavy = heavy_keys(refs, share)
-    marked = refs.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), "key", "left")
-    return heavy, marked.where("__heavy"), marked.where("__heavy IS NULL").drop("__heavy")
+def heavy_keys(counts: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """Keys of reference counts with more than `share` of all references: (key), at most 1 / share rows."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > total * share).select("key")
 
 
-def missing_keys(refs: DataFrame, existing: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
-    """Rows of `refs` (key, ...) whose key no row of `existing` (key) has.
+def _few(df: DataFrame) -> DataFrame:
+    """The stored table df, broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
-    Null keys refer to nothing and are left out. Repeated references stay repeated.
-    """
-    refs = refs.where("key IS NOT NULL")
-    heavy, often, rare = _split(refs, share)
-    there = existing.select("key").join(F.broadcast(heavy), "key", "left_semi").distinct()
-    gone = often.drop("__heavy").join(F.broadcast(there), "key", "left_anti")
-    return gone.unionByName(rare.join(existing.select("key"), "key", "left_anti").select(gone.columns))
+
+def _split_join(counts: DataFrame, facts: DataFrame, heavy: DataFrame) -> DataFrame:
+    """counts left-joined with facts (key, ...), a row a key: the heavy keys by broadcast, the others by shuffle."""
+    marked = counts.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), "key", "left")  # at most 1 / share rows
+    of_heavy = cut(facts.join(F.broadcast(heavy), "key", "left_semi"), "heavy")
+    often = marked.where("__heavy").join(_few(of_heavy), "key", "left")
+    return often.unionByName(marked.where("__heavy IS NULL").join(facts, "key", "left")).drop("__heavy")
+
+
+def missing_counts(counts: DataFrame, existing: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """Of reference counts (key, period, n) those whose key no row of `existing` (key) has."""
+    heavy = cut(heavy_keys(counts, share), "heavy-keys")
+    there = existing.select("key").where("key IS NOT NULL").groupBy("key").agg(F.lit(True).alias("__there"))
+    return _split_join(counts, there, heavy).where("__there IS NULL").drop("__there")
 
 
 def lifetimes(records: DataFrame) -> DataFrame:
     """Records (key, since, until) as (key, spans): per key the union of [since, until), sorted.
 
     A null `since` is no lifetime; a null `until` is for ever. Spans that overlap or touch are
-    merged month by month first, so that the rows of a hot key spread over many groups.
+    merged day by day first, so that the rows of a hot key spread over many groups.
     """
     far = F.lit("9999-12-31").cast(records.schema["since"].dataType)
     spans = records.where("key IS NOT NULL AND since IS NOT NULL").select("key", "since", F.coalesce("until", far).alias("until")).where("until > since")
@@ -71,42 +93,91 @@ def lifetimes(records: DataFrame) -> DataFrame:
         df = df.withColumn("__no", F.sum("__new").over(w))
         return df.groupBy(*keys, "__no").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("__no")
 
-    monthly = islands(spans.withColumn("__month", F.date_trunc("month", "since")), "key", "__month")
-    merged = islands(monthly.select("key", "since", "until"), "key")
+    daily = islands(spans.withColumn("__day", F.date_trunc("day", "since")), "key", "__day")
+    merged = islands(daily.select("key", "since", "until"), "key")
     return merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until"))).alias("spans"))
 
 
-def absent_then(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
-    """Rows of `refs` (key, at, ...) for which no row of `records` (key, since, until) lived at `at`.
+def verdicts(counts: DataFrame, records: DataFrame, heavy: DataFrame) -> DataFrame:
+    """counts with gone and spans: how many of a key and period's references find no row of `records` (key, since, until) alive.
 
-    A record lives from `since` on until before `until`. A reference with a null `at` finds
-    nothing alive; a null key is left out.
+    A record lives from `since` on until before `until`. References without a time find nothing
+    alive. Where a lifetime begins or ends between the first and the last reference, gone is null,
+    and spans holds the lifetimes in between, by which each reference must be judged; else spans is null.
     """
-    refs = refs.where("key IS NOT NULL")
-    heavy, often, rare = _split(refs, share)
-    spans = lifetimes(records)
+    joined = _split_join(counts, lifetimes(records), heavy)
+    near = F.filter("spans", lambda s: (s["since"] <= F.col("high")) & (s["until"] > F.col("low")))
+    joined = joined.withColumn("spans", F.coalesce(near, F.array().cast(joined.schema["spans"].dataType)))
+    covered = F.exists("spans", lambda s: (s["since"] <= F.col("low")) & (s["until"] > F.col("high")))
+    gone = F.when(F.size("spans") == 0, F.col("n")).when(covered, F.col("timeless"))
+    return joined.withColumn("gone", gone).withColumn("spans", F.when(F.col("gone").isNull(), F.col("spans")))
+
+
+def _absent(refs: DataFrame, verdicts_: DataFrame) -> DataFrame:
+    """Rows of `refs` (key, period, at, ...) that are orphans by the verdict on their key and period."""
+    open_ = verdicts_.where("gone IS NULL OR gone > 0").select("key", "period", (F.col("gone") == F.col("n")).alias("__all"), "spans")
+    # periods are compared null-safely: a reference without a time has none
+    held = refs.withColumn("__period", F.coalesce("period", F.lit(""))).join(open_.withColumn("__period", F.coalesce("period", F.lit(""))).drop("period"), ["key", "__period"])
     alive = F.exists("spans", lambda s: (s["since"] <= F.col("at")) & (s["until"] > F.col("at")))
-    kept = [c for c in refs.columns]
-    of_heavy = spans.join(F.broadcast(heavy), "key", "left_semi")
-    gone = often.join(F.broadcast(of_heavy), "key", "left").where(~F.coalesce(alive, F.lit(False))).select(kept)
-    rest = rare.join(spans, "key", "left").where(~F.coalesce(alive, F.lit(False))).select(kept)
-    return gone.unionByName(rest)
+    return held.where(F.coalesce("__all", F.lit(False)) | F.col("at").isNull() | (F.col("spans").isNotNull() & ~F.coalesce(alive, F.lit(False)))).select(refs.columns)
 
 
-def dangling(pages: DataFrame, links: DataFrame, seeds: DataFrame, sites: DataFrame) -> DataFrame:
-    """Dangling references of a crawl: (ref, owner_id, target, period), distinct; period is the month.
+def absent_then(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """Rows of `refs` (key, period, at, ...) for which no row of `records` (key, since, until) lived at `at`; null keys are left out."""
+    counts = cut(reference_counts(refs), "counts")
+    often = cut(heavy_keys(counts, share), "heavy-keys")
+    found = cut(verdicts(counts, records, often), "verdicts")
+    refs = refs.where("key IS NOT NULL")
+    # rows of heavy keys meet their verdicts by broadcast, so none of them is shuffled
+    marked = refs.join(F.broadcast(often.withColumn("__heavy", F.lit(True))), "key", "left")
+    of_heavy = cut(found.join(F.broadcast(often), "key", "left_semi"), "heavy-verdicts")
+    return _absent(marked.where("__heavy").drop("__heavy"), _few(of_heavy)).unionByName(_absent(marked.where("__heavy IS NULL").drop("__heavy"), found))
+
 
-    `out_links` are ids in pages.out_links that no link has, by the month of pages.stored_at;
-    `abs_url` are links into the hosts of `sites` that no seed and no page alive at seen_at
-    answers, by the month of links.seen_at. Pages delivered twice count once.
+def absent_counts(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """(period, orphans): how many of `refs` (key, period, at) find no row of `records` alive.
+
+    Sums of the verdicts; only references of keys and periods that the verdict leaves open are looked at.
     """
-    out = pages.select("page_id", F.date_format("stored_at", "yyyy-MM").alias("period"), F.explode("out_links").alias("key"))
-    out = missing_keys(out, links.select(F.col("link_id").alias("key")))
-    out = out.select(F.lit("out_links").alias("ref"), F.col("page_id").alias("owner_id"), F.col("key").cast("string").alias("target"), "period").distinct()
-    refs = links.select("link_id", "abs_url", F.col("seen_at").alias("at"), address(F.col("abs_url")).alias("key"), address_host(F.col("abs_url")).alias("__host"))
-    refs = refs.join(sites.select(F.lower("host").alias("__host")).distinct(), "__host", "left_semi").drop("__host")
-    for_ever = seeds.select(address(F.col("abs_url")).alias("key"), F.lit("0001-01-01").cast("timestamp_ntz").alias("since"), F.lit(None).cast("timestamp_ntz").alias("until"))
-    lives = pages.select(address(F.col("abs_url")).alias("key"), F.col("fetched_at").alias("since"), F.col("removed_at").alias("until"))
-    gone = absent_then(refs, lives.unionByName(for_ever))
-    gone = gone.select(F.lit("abs_url").alias("ref"), F.col("link_id").alias("owner_id"), F.col("abs_url").alias("target"), F.date_format("at", "yyyy-MM").alias("period"))
-    return out.unionByName(gone.distinct())
+    counts = cut(reference_counts(refs), "counts")
+    found = cut(verdicts(counts, records, cut(heavy_keys(counts, share), "heavy-keys")), "verdicts")
+    sure = found.where("gone > 0").groupBy("period").agg(F.sum("gone").alias("orphans"))
+    rest = _absent(refs.where("key IS NOT NULL"), found.where("gone IS NULL")).groupBy("period").agg(F.count(F.lit(1)).alias("orphans"))
+    return sure.unionByName(rest).groupBy("period").agg(F.sum("orphans").alias("orphans"))
+
+
+class Crawl:
+    """The references of a crawl, and what they refer to.
+
+    `out_links`: ids in pages.out_links, by the month of pages.stored_at, an id of a page once, and
+    pages delivered twice once; they refer to links. `abs_url`: links into the hosts of `sites`,
+    by the month of links.seen_at; they refer to seeds, and to pages alive at seen_at. A link row
+    that comes twice counts twice in a report and once in a list.
+    """
+
+    def __init__(self, pages: DataFrame, links: DataFrame, seeds: DataFrame, sites: DataFrame):
+        month = lambda c: F.date_format(c, "yyyy-MM").alias("period")
+        once = pages.select("page_id", month("stored_at"), F.array_distinct("out_links").alias("out_links")).distinct()
+        self.out = once.select("page_id", "period", F.explode("out_links").alias("key"), F.lit(None).cast("timestamp_ntz").alias("at")).where("key IS NOT NULL")
+        self.ids = links.select(F.col("link_id").alias("key"))
+        into = links.select("link_id", "abs_url", F.col("seen_at").alias("at"), month("seen_at"), *(c.alias(n) for c, n in zip(_parts(F.col("abs_url")), ("__host", "__rest"))))
+        into = into.join(sites.select(F.lower("host").alias("__host")).distinct(), "__host", "left_semi")
+        self.into = into.select("link_id", "abs_url", "at", "period", F.concat("__host", "__rest").alias("key"))
+        for_ever = seeds.select(address(F.col("abs_url")).alias("key"), F.lit("0001-01-01").cast("timestamp_ntz").alias("since"), F.lit(None).cast("timestamp_ntz").alias("until"))
+        self.lives = pages.select(address(F.col("abs_url")).alias("key"), F.col("fetched_at").alias("since"), F.col("removed_at").alias("until")).unionByName(for_ever)
+
+
+def dangling(crawl: Crawl) -> DataFrame:
+    """Dangling references of a crawl: (ref, owner_id, target, period), distinct."""
+    gone = missing_counts(cut(reference_counts(crawl.out), "counts"), crawl.ids).select("key").distinct()
+    out = crawl.out.join(gone, "key", "left_semi").select(F.lit("out_links").alias("ref"), F.col("page_id").alias("owner_id"), F.col("key").cast("string").alias("target"), "period")
+    absent = absent_then(crawl.into, crawl.lives)
+    absent = absent.select(F.lit("abs_url").alias("ref"), F.col("link_id").alias("owner_id"), F.col("abs_url").alias("target"), "period")
+    return out.distinct().unionByName(absent.distinct())
+
+
+def dangling_counts(crawl: Crawl) -> DataFrame:
+    """(ref, period, orphans): how many dangling references a crawl has, by table and month."""
+    gone = missing_counts(cut(reference_counts(crawl.out), "counts"), crawl.ids).groupBy("period").agg(F.sum("n").alias("orphans"))
+    absent = absent_counts(crawl.into, crawl.lives)
+    return gone.select(F.lit("out_links").alias("ref"), "period", "orphans").unionByName(absent.select(F.lit("abs_url").alias("ref"), "period", "orphans"))

@@ -319,8 +319,8 @@ def score_ties(spark: SparkSession, folder: str) -> DataFrame:
 # --- problem 7
 
 
-def _dangling(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans.dangling(
+def _crawl(spark: SparkSession, folder: str) -> orphans.Crawl:
+    return orphans.Crawl(
         table(spark, folder, "crawl_pages", "page_id", "abs_url", "out_links", "fetched_at", "stored_at", "removed_at"),
         table(spark, folder, "page_links", "link_id", "abs_url", "seen_at"),
         table(spark, folder, "seed_urls", "abs_url"),
@@ -329,14 +329,12 @@ def _dangling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _dangling(spark, folder).select("ref", "owner_id", "target").distinct()
+    return orphans.dangling(_crawl(spark, folder)).select("ref", "owner_id", "target").distinct()
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per table and month."""
-    return _dangling(spark, folder).groupBy("ref", "period").agg(F.count(F.lit(1)).alias("orphans"))
-
-
+    return orphans.dangling_counts(_crawl(spark, folder))
 
 
 SEARCHES: dict[str, Query] = {

@@ -346,13 +346,29 @@ def test_orphans(spark):
     each = [(10, "http://s/a", ts(0)), (11, "HTTP://S/a#x", ts(3)), (12, "http://s/a", ts(9)), (13, "http://s/b", ts(3)), (14, "http://s/seed", ts(3)), (15, "http://else/b", ts(3)), (16, None, ts(3)), (17, "http://s/a", None)]
     each = spark.createDataFrame(each, "link_id long, abs_url string, seen_at timestamp_ntz")
     seeds, sites = spark.createDataFrame([("https://s/seed",)], "abs_url string"), spark.createDataFrame([("S",), (None,)], "host string")
-    got = {tuple(r)[:3] for r in orphans.dangling(pages, each, seeds, sites).collect()}
-    assert got == {("out_links", 1, "99"), ("abs_url", 10, "http://s/a"), ("abs_url", 13, "http://s/b"), ("abs_url", 17, "http://s/a")}
-    assert orphans.dangling(pages.limit(0), each.limit(0), seeds.limit(0), sites.limit(0)).count() == 0
-
-
-def test_orphans_of_a_hot_key(spark):
-    refs = spark.range(3000).select((F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))).alias("key"), "id")
-    there = spark.range(0, 3000, 2).select(F.col("id").alias("key"))
-    want = {r.id for r in refs.join(there, "key", "left_anti").collect()}
-    assert {r.id for r in orphans.missing_keys(refs, there).collect()} == want
+    crawl_ = orphans.Crawl(pages, each, seeds, sites)
+    got = {tuple(r) for r in orphans.dangling(crawl_).collect()}
+    assert {r[:3] for r in got} == {("out_links", 1, "99"), ("abs_url", 10, "http://s/a"), ("abs_url", 13, "http://s/b"), ("abs_url", 17, "http://s/a")}
+    counts = {(r.ref, r.period): r.orphans for r in orphans.dangling_counts(crawl_).collect()}
+    assert counts == {k: len([1 for r in got if (r[0], r[3]) == k]) for k in {(r[0], r[3]) for r in got}} and counts["abs_url", None] == 1
+    empty = orphans.Crawl(pages.limit(0), each.limit(0), seeds.limit(0), sites.limit(0))
+    assert orphans.dangling(empty).count() == orphans.dangling_counts(empty).count() == 0
+
+
+def test_verdicts_of_heavy_and_other_keys(spark, monkeypatch):
+    """A third of the references on one key whose record lives on and off, against brute force."""
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 == 0 else f"k{i % 40}", None if i % 50 == 0 else ts((i * 7) % 90), i) for i in range(900)]
+    refs = spark.createDataFrame(rows, "key string, at timestamp_ntz, id int").select("*", F.date_format("at", "yyyy-MM").alias("period"))
+    lives = [("hot", ts(d), ts(d + 4)) for d in range(0, 90, 9)] + [(f"k{i}", ts(i), None if i % 4 else ts(i + 20)) for i in range(0, 40, 2)] + [("k1", None, None), (None, ts(1), None), ("k3", ts(5), ts(2))]
+    records_ = spark.createDataFrame(lives, "key string, since timestamp_ntz, until timestamp_ntz")
+    alive = lambda k, at: at is not None and any(x == k and since and since <= at and (until is None or until > at) for x, since, until in lives)
+    want = {i for k, at, i in rows if k is not None and not alive(k, at)}
+    for share, few in ((1 / 4, 100), (1e-9, 100), (1 / 4, 0), (1.0, 100)):
+        monkeypatch.setattr(orphans, "FEW", few)
+        assert {r.id for r in orphans.absent_then(refs, records_, share).collect()} == want
+        got = {r.period: r.orphans for r in orphans.absent_counts(refs, records_, share).collect()}
+        assert sum(got.values()) == len(want)
+    counts = orphans.reference_counts(refs)
+    there = spark.createDataFrame([("hot",), ("k1",), (None,), ("k1",)], "key string")
+    for share in (1 / 4, 1e-9):
+        assert {r.key for r in orphans.missing_counts(counts, there, share).collect()} == {r[0] for r in rows if r[0]} - {"hot", "k1"}
