@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import spread
+from ..shared import cut, file_bytes, spread
 from .boilerplate import html_lines
 from .markup import _COMMENT, _FENCE, _MD_DISPLAY, _PRE, _TEX_CODE, _TEX_IN_HTML, _TEX_MATH, _WIKI_ITEM, _WIKI_MATH, language, markdown_text, tex_text, tidy, visible, wiki_text
+from .near_duplicates import bit_table, hashed, held
 
 _MARK = {"item": "- ", "code": "    "}
 #: Stands before a line of code until the markup around it is gone.
@@ -98,12 +99,21 @@ def clean(text: str | None) -> str | None:
 
 
 def clean_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, txt) of `pages` (page_id, text); every row comes out."""
+    """(page_id, txt) of `pages` (page_id, text), a row an id: of several rows with one id, which must be the same, one.
+
+    Texts aren't shuffled to find those rows: ids that come again are put into a bit table, and
+    only rows whose id may be in it are compared.
+    """
+    ids = pages.select(F.col("page_id").cast("bigint").alias("id"))
+    twice = cut(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "twice")
+    table = bit_table(twice.where("id IS NOT NULL"), lambda b: hashed(b.column(0)), file_bytes(twice) // 8)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([clean(x) for x in part.column(1).to_pylist()], pa.string())], ["page_id", "txt"])
+                again = held(table.value, hashed(part.column(0).fill_null(0))) | part.column(0).is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([clean(x) for x in part.column(1).to_pylist()], pa.string()), pa.array(again)], ["page_id", "txt", "again"])
 
-    return spread(pages.select(F.col("page_id").cast("bigint"), "text")).mapInArrow(fn, "page_id bigint, txt string")
+    cleaned = cut(spread(pages.select(F.col("page_id").cast("bigint"), "text")).mapInArrow(fn, "page_id bigint, txt string, again boolean"), "clean")
+    return cleaned.where("NOT again").select("page_id", "txt").unionByName(cleaned.where("again").select("page_id", "txt").dropDuplicates(["page_id"]))

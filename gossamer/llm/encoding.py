@@ -1,8 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, each shared chunk once.
 
 1. Texts are cut into chunks where a rolling hash of the last 16 bytes says so, so the same
-   passage gives the same chunks wherever it stands.
-2. Every distinct chunk of the corpus is encoded once and joined back to its places.
+   passage gives the same chunks wherever it stands. A first pass notes the chunks' hashes in a
+   bit table, by which most chunks are known to come once in the corpus.
+2. Every distinct chunk that may come again is encoded once and joined back to its places. The
+   others are encoded where they stand; a text that has none but those never leaves its task.
 3. At a joint of two chunks the tokens may differ from those of the whole text. The pattern that
    splits a text before the merges always splits before a blank that follows a visible
    character, whatever stands around it: up to the last such place of the left chunk and from
@@ -17,15 +19,16 @@ import base64
 import functools
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, spread
+from ..shared import cut, file_bytes, sent, spread
 from .shingles import U, mix
 
 #: Fixed value: the split pattern that belongs to the rank files.
@@ -33,6 +36,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: A chunk has at least, on average and at most so many bytes (the last is exceeded by a character at most).
 LEAST, MEAN_BITS, MOST = 64, 8, 16384
+#: Most cells of the table of repeated chunks as a power of two.
+MOST_CELLS = 26
 #: Distinct chunks that a task remembers having sent.
 REMEMBERED = 500_000
 
@@ -154,27 +159,88 @@ def joined(parts: list[np.ndarray], path: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    context = TaskContext.get()
-    uid = (context.partitionId() if context else 0) << 40
-    sent: set[bytes] = set()
-    for b in batches:
-        rows: list[tuple] = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            uid += 1
-            parts = chunks(text.encode("utf-8")) if text else []
-            if not parts:
-                rows.append((uid, doc, 0, None, None))
-            for seq, part in enumerate(parts):
-                key = hashlib.blake2b(part, digest_size=16).digest()
-                if key in sent:
-                    rows.append((uid, doc, seq, key, None))
-                else:
-                    rows.append((uid, doc, seq, key, part))
-                    if len(sent) < REMEMBERED:
-                        sent.add(key)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["uid", "doc_id", "seq", "key", "chunk"])
+def _key(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
+def _cell(key: bytes, bits: int) -> int:
+    return int.from_bytes(key[:8], "big") >> (64 - bits)
+
+
+def repeated_cells(documents: DataFrame) -> Broadcast:
+    """A bit table of the cells in which more than one chunk of `documents` (doc_id, text) falls.
+
+    It has 64 to 128 cells a chunk by the size of the files, but at most 2^MOST_CELLS (8 MB); beyond
+    that more chunks than need be count as repeated, which costs work and changes no result.
+    Tasks send a block of it where they have a chunk; blocks are joined on the executors.
+    """
+    bits = min(MOST_CELLS, max(16, (file_bytes(documents) >> MEAN_BITS).bit_length() + 6))
+    block = (1 << bits) // 8 // min(512, (1 << bits) // 8 // 1024)
+    names, kinds = ["block", "once", "more"], (pa.int32(), pa.binary(), pa.binary())
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for part in chunks(text.encode("utf-8")) if text else ():
+                    c = _cell(_key(part), bits)
+                    counts[c] = min(2, counts[c] + 1)
+        once, more = (np.packbits(counts >= n).reshape(-1, block) for n in (1, 2))
+        at = np.flatnonzero(once.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (once, more))], names)
+
+    def joined_blocks(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, more = np.zeros(block, np.uint8), np.zeros(block, np.uint8)
+        for b in parts:
+            for x, y in zip(b.column("once"), b.column("more")):
+                o = np.frombuffer(x.as_buffer(), np.uint8)
+                more |= np.frombuffer(y.as_buffer(), np.uint8) | once & o
+                once |= o
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([once.tobytes()], pa.binary()), pa.array([more.tobytes()], pa.binary())], names)
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    kind = "block int, once binary, more binary"
+    for r in spread(documents.select("text")).mapInArrow(note, kind).groupBy("block").applyInArrow(joined_blocks, kind).select("block", "more").collect():  # the table itself
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.more), np.uint8)
+    return sent(documents.sparkSession, out.tobytes())
+
+
+_PIECE = "uid bigint, doc_id bigint, seq int, key binary, chunk binary, ids array<int>"
+_PIECE_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+
+
+def _cut_up(path: str, table: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pieces of texts: a whole text (seq -1, ids), or its chunks, with their ids or, if they may come again, their bytes or just their key."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, again = encoder(path)[0], table.value
+        bits = len(again).bit_length() + 2
+        context = TaskContext.get()
+        uid = (context.partitionId() if context else 0) << 40
+        known: set[bytes] = set()
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                uid += 1
+                parts = chunks(text.encode("utf-8")) if text else []
+                keys = [_key(x) for x in parts]
+                cells_ = [_cell(k, bits) for k in keys]
+                shared = [again[c >> 3] >> (7 - (c & 7)) & 1 for c in cells_]
+                if not any(shared):
+                    rows.append((uid, doc, -1, None, None, encode(text) if text else []))
+                    continue
+                for seq, (part, key, often) in enumerate(zip(parts, keys, shared)):
+                    if not often:
+                        rows.append((uid, doc, seq, None, None, encode(part.decode("utf-8"))))
+                    elif key in known:
+                        rows.append((uid, doc, seq, key, None, None))
+                    else:
+                        rows.append((uid, doc, seq, key, part, None))
+                        if len(known) < REMEMBERED:
+                            known.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_PIECE_KINDS)], ["uid", "doc_id", "seq", "key", "chunk", "ids"])
+
+    return fn
 
 
 def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -185,13 +251,14 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     `path` is a rank file (byte_bpe_50k by default) that all executors can read.
     """
     path = path or vocabulary_path()
-    pieces = cut(spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(_cut_up, "uid bigint, doc_id bigint, seq int, key binary, chunk binary"), "chunks")
+    rows = documents.select(F.col("doc_id").cast("bigint"), "text")
+    pieces = cut(spread(rows).mapInArrow(_cut_up(path, repeated_cells(rows)), _PIECE), "chunks")
 
     def encode_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)[0]
         for b in batches:
-            ids = [np.array(encode(x.decode("utf-8")), "<i4").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+            ids = [encode(x.decode("utf-8")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "encoded"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -207,7 +274,9 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
             return batch
 
         for b in batches:
-            for u, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+            lists = b.column(3)
+            ids, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum([len(x) if x.is_valid else 0 for x in lists]))
+            for k, (u, d) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 if u != uid:
                     if uid is not None:
                         out[0].append(doc), out[1].append(joined(held, path))
@@ -216,15 +285,16 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
                     if size > 1_000_000:
                         yield flush()
                         size = 0
-                if x is not None:
-                    held.append(np.frombuffer(x, "<i4"))
+                held.append(ids[ends[k] : ends[k + 1]])
         if uid is not None:
             out[0].append(doc), out[1].append(joined(held, path))
         yield flush()
 
-    once = pieces.where("chunk IS NOT NULL").groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_each, "key binary, ids binary")
-    placed = pieces.select("uid", "doc_id", "seq", "key").join(once, "key", "left").select("uid", "doc_id", "seq", "ids")
-    return placed.repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(assemble, "doc_id bigint, ids array<int>")
+    once = pieces.where("chunk IS NOT NULL").groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_each, "key binary, encoded array<int>")
+    own = pieces.where("seq >= 0 AND key IS NULL").select("uid", "doc_id", "seq", "ids")
+    shared = pieces.where("seq >= 0 AND key IS NOT NULL").select("uid", "doc_id", "seq", "key").join(once, "key").select("uid", "doc_id", "seq", F.col("encoded").alias("ids"))
+    put_together = own.unionByName(shared).repartition("uid").sortWithinPartitions("uid", "seq").mapInArrow(assemble, "doc_id bigint, ids array<int>")
+    return pieces.where("seq < 0").select("doc_id", "ids").unionByName(put_together)
 
 
 def token_counts(texts: Iterator[str | None], path: str) -> list[int]:

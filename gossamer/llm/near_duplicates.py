@@ -127,17 +127,17 @@ def held(table: bytes, hashes: np.ndarray) -> np.ndarray:
     return np.frombuffer(table, np.uint8)[c >> 3] >> (7 - (c & 7)) & 1 > 0
 
 
-def _hashed(numbers: pa.Array) -> np.ndarray:
+def hashed(numbers: pa.Array) -> np.ndarray:
     return mix(numbers.to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(64 - HASH_BITS)
 
 
 def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of `rows` (fp, ...) whose fp is in the stored table `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
-    bits = bit_table(wanted.select("fp"), lambda b: _hashed(b.column(0)), file_bytes(wanted) // 8)
+    bits = bit_table(wanted.select("fp"), lambda b: hashed(b.column(0)), file_bytes(wanted) // 8)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(held(bits.value, _hashed(b.column("fp")))))
+            yield b.filter(pa.array(held(bits.value, hashed(b.column("fp")))))
 
     return rows.mapInArrow(fn, rows.schema).join(wanted.select("fp").distinct(), "fp", "left_semi")
 
@@ -148,12 +148,12 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     The wanted ids are summed up in a bit table of fixed size, by which nearly all others are
     dropped during the scan, before their texts are hashed; the join then is exact.
     """
-    bits = bit_table(wanted.select("id"), lambda b: _hashed(b.column(0)), file_bytes(wanted) // 8)
+    bits = bit_table(wanted.select("id"), lambda b: hashed(b.column(0)), file_bytes(wanted) // 8)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
-            keep = held(bits.value, _hashed(b.column(0)))
+            keep = held(bits.value, hashed(b.column(0)))
             ids, texts = (b.column(c).filter(pa.array(keep)).to_pylist() for c in range(2))
             out = [(i, fingerprint(s), pack48(s)) for i, s in zip(ids, shingle_sets(texts, k)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "fp", "packed"])
@@ -243,8 +243,11 @@ def record_pairs(docs: DataFrame, pairs: DataFrame, differ: DataFrame) -> DataFr
     return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
-def groups(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every record of docs (id, fp) with its group: (id, group_id), the smallest id it is linked with.
+def groups(docs: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Every record with its group: (id, group_id), the smallest id it is linked with.
+
+    docs: (id, fp), pairs: (a, b), as similar_classes gives them; records: (id). A record without a
+    shingle (null, empty, short) is linked with none and its own group; null ids are left out.
 
     Labels of classes are lowered along the pairs and along the labels themselves until
     nothing changes; each round is written to the shared folder, so lineage stays short.
@@ -261,4 +264,6 @@ def groups(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             break
     classes = docs.select("id", "fp").distinct().join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = classes.groupBy("label").agg(F.min("id").alias("group_id"))
-    return classes.join(first, "label").select("id", "group_id")
+    grouped = classes.join(first, "label").select("id", "group_id")
+    bare = records.select(F.col("id").cast("bigint")).where("id IS NOT NULL").distinct().join(docs.select("id"), "id", "left_anti")
+    return grouped.unionByName(bare.select("id", F.col("id").alias("group_id")))

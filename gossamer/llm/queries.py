@@ -28,7 +28,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.groups(*near_duplicates.similar_classes(_pages(spark, folder), RUN_OF, OVERLAP)).toDF("page_id", "group_id")
+    pages = _pages(spark, folder)
+    return near_duplicates.groups(*near_duplicates.similar_classes(pages, RUN_OF, OVERLAP), pages.select("id")).toDF("page_id", "group_id")
 
 
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +59,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_text(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_text.clean_texts(table(spark, folder, "crawl_pages", "page_id", "content").dropDuplicates(["page_id"]).toDF("page_id", "text"))
+    return clean_text.clean_texts(table(spark, folder, "crawl_pages", "page_id", "content").toDF("page_id", "text"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,6 +89,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p9_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mixture promises of each target: the cap is kept, and the share is met among the sources that have documents."""
+    mixture_, shares = _mixed(spark, folder)
+    able = shares.agg(F.sum(F.when(F.col("documents") > 0, F.col("target_share")))).first()[0] or 1.0
+    # rounding leaves each source off by less than a document
+    one = mixture_.agg(F.max("tokens") / F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0.0
+    met = F.when(F.col("documents") > 0, F.abs(F.col("actual_share") - F.col("target_share") / able) <= 2 * one).otherwise(F.col("actual_share") == 0)
+    return shares.select("source", "target_share", "max_repeats", "documents", (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"), met.alias("share_met"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -110,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_bounds": p9_bounds,
     "p10_found": p10_found,
     "p10_forms": p10_forms,
 }
@@ -162,8 +174,11 @@ ORACLE: dict[str, str] = {
     "p1_groups": _P1.replace("WITH sets", "WITH RECURSIVE sets") + """
         , links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM sets),
         reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
-        SELECT a AS page_id, min(b) AS group_id FROM reach GROUP BY a""",
+        SELECT a AS page_id, min(b) AS group_id FROM reach GROUP BY a UNION ALL SELECT DISTINCT page_id, page_id FROM crawl_pages WHERE page_id NOT IN (SELECT id FROM sets)""",
     "p3_found": _P3,
+    "p9_bounds": """
+        SELECT lower(trim(t.source)) AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats, coalesce(any_value(n), 0) AS documents, true AS cap_kept, true AS share_met
+        FROM mix_targets t LEFT JOIN (SELECT lower(trim(source)) AS s, count(*) AS n FROM documents GROUP BY 1) d ON s = lower(trim(t.source)) GROUP BY 1""",
     "p6_found": """
         SELECT link_id FROM (SELECT link_id, unique_url, min(link_id) OVER (PARTITION BY unique_url) AS first_at FROM page_links WHERE unique_url IS NOT NULL) x
         WHERE link_id > first_at OR unique_url IN (SELECT unique_url FROM seed_urls WHERE unique_url IS NOT NULL)""",

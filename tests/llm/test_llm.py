@@ -9,6 +9,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gossamer.llm import anchors, boilerplate, canonical, clean_text, encoding, history, ledger, markup, mixture, near_duplicates, shingles, terms
 
@@ -58,7 +59,8 @@ def test_near_duplicates_are_those_of_brute_force(spark, k, t):
     for i, j in want:
         a, b = sorted((root(i), root(j)))
         parent[b] = a
-    assert {r.id: r.group_id for r in near_duplicates.groups(docs, pairs).collect()} == {i: root(i) for i in parent}
+    bare = {i: i for i, _ in rows if i not in parent}
+    assert {r.id: r.group_id for r in near_duplicates.groups(docs, pairs, df.select("id")).collect()} == {i: root(i) for i in parent} | bare
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -219,7 +221,15 @@ def test_ledger(spark):
         for _ in range(2):  # a repeated batch gives the same
             got |= {r.at for r in book.accept(part, "url", "link_id", n).collect()}
     assert got == want
-    assert ledger.seen_keys(df.limit(0), seeds, "url", "link_id").count() == 0
+    nothing = ledger.seen_keys(df.limit(0), seeds, "url", "link_id")
+    assert nothing.count() == 0
+    seen = ledger.seen_keys(df.drop("key"), seeds, "url", "link_id")
+    assert tuple(ledger.wrong_answers(seen, df, seeds, "url").first()) == (len(rows) - 1, len(want), 0, 0.0)
+    short = seen.where("at <> 3").unionByName(seen.where("at = 2"))
+    assert ledger.wrong_answers(short, df, seeds, "url").first().wrong == 2
+    assert tuple(ledger.wrong_answers(nothing, df.limit(0), seeds, "url").first()) == (0, 0, 0, 0.0)
+    book.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledger_")]
 
 
 def test_encoding_is_exact(spark):
@@ -251,7 +261,7 @@ def test_pivotal_rounding_keeps_the_mass():
     assert many == pytest.approx(part[:5], abs=0.05)
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i, s, " ".join(r.choice("walrus fjord kelp hoof".split()) for _ in range(r.randint(1, 60)))) for s, n in (("big", 400), (" Big", 50), ("small", 30), ("other", 20)) for i in range(n)]
     rows = [(k, s, t) for k, (_, s, t) in enumerate(rows)] + [(900, None, "x"), (901, "big", None), (902, "big", "")]
@@ -259,6 +269,13 @@ def test_mixture(spark):
     targets = spark.createDataFrame([("big", 0.6, 1), ("Small", 0.3, 3), ("gone", 0.1, 2), (None, None, None)], "source string, target_share double, max_repeats int")
     mix, shares = mixture.mixed(docs, targets)
     mix, shares = mix.collect(), {x.source: x for x in shares.collect()}
+    drawn = sorted(tuple(x) for x in mix)
+    monkeypatch.setattr(mixture, "HOME", 60)
+    tree = sorted(tuple(x) for x in mixture.mixed(docs, targets)[0].collect())
+    for parts in (1, 4, 16):  # neither the layout nor the order of rows plays a part
+        again = docs.repartition(parts, "text").orderBy(F.desc("doc_id")) if parts == 4 else docs.repartition(parts)
+        assert sorted(tuple(x) for x in mixture.mixed(again, targets)[0].collect()) == tree
+    assert sum(x[2] * x[3] for x in tree) == pytest.approx(sum(x[2] * x[3] for x in drawn), abs=200)
     assert max(x.copies for x in mix if x.source == "small") <= 3 and max(x.copies for x in mix if x.source == "big") == 1
     assert not {x.doc_id for x in mix} & {900, 901, 902} and "other" not in {x.source for x in mix}
     assert shares["big"].actual_share == pytest.approx(2 / 3, abs=0.02) and shares["small"].actual_share == pytest.approx(1 / 3, abs=0.02) and shares["gone"].actual_share == 0
