@@ -12,10 +12,11 @@ from ..shared import Bucketed, cut, file_bytes
 def bases(pages: DataFrame) -> DataFrame:
     """(node, base) of `pages` (node, content): log2 of the words of a page, as a share of the sum.
 
-    A page without words counts as one word, so its base is 0; if all are, all bases are 0.
+    A page without words counts as one word, so its base is 0; if all are, all bases are 0. A
+    node that comes twice counts once; its content isn't shuffled for that.
     """
     n = F.greatest(F.size(text.words(html.text(F.coalesce("content", F.lit(""))))), F.lit(1))
-    phi = pages.select("node", F.log2(n).alias("phi"))
+    phi = cut(pages.select("node", F.log2(n).alias("phi")).groupBy("node").agg(F.max("phi").alias("phi")), "phi")
     total = phi.agg(F.sum("phi")).first()[0] or 0.0
     return phi.select("node", (F.col("phi") / total if total else F.lit(0.0)).alias("base"))
 
@@ -25,7 +26,7 @@ def strengths(pages: DataFrame, links: DataFrame) -> DataFrame:
 
     A link counts once for each time its href stands in the source's text, and once for each
     emphasised piece that holds the anchor. The links of a page are gathered before they meet it, so
-    its content is read once and not copied to each of them.
+    its content is read once and not copied to each of them. A page that comes twice counts once.
     """
     gathered = links.where("href IS NOT NULL").groupBy("node").agg(F.collect_list(F.struct("dst", "href", "anchor")).alias("links"))
     pieces = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(f"<{s}>(.*?)</{s}>"), F.lit(1)) for s in text.SCOPES)))
@@ -35,7 +36,8 @@ def strengths(pages: DataFrame, links: DataFrame) -> DataFrame:
         held = F.when(F.length(x["anchor"]) > 0, F.size(F.filter("pieces", lambda p: F.contains(p, x["anchor"])))).otherwise(0)
         return F.struct(x["dst"].alias("dst"), (text.occurrences(F.col("content"), x["href"]) + held).alias("weight"))
 
-    each = both.select(F.col("node").alias("src"), F.explode(F.transform("links", weighed)).alias("x")).select("src", "x.dst", F.coalesce("x.weight", F.lit(0)).alias("weight"))
+    once = both.select(F.col("node").alias("src"), F.transform("links", weighed).alias("links")).dropDuplicates(["src"])
+    each = once.select("src", F.explode("links").alias("x")).select("src", "x.dst", F.coalesce("x.weight", F.lit(0)).alias("weight"))
     return each.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 

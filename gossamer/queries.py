@@ -157,7 +157,7 @@ def two_field_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Pages as nodes, and the strengths of their links as weights."""
-    pages = _pages(spark, folder, "unique_url", "content").select(F.col("page_id").alias("node"), "unique_url", "content")
+    pages = table(spark, folder, "crawl_pages", "page_id", "unique_url", "content").withColumnRenamed("page_id", "node")
     targets = pages.where("unique_url IS NOT NULL").groupBy("unique_url").agg(F.min("node").alias("dst"))
     each = table(spark, folder, "page_links", "page_id", "unique_url", "url", "anchor").join(targets, "unique_url")
     edges = pagerank.strengths(pages, each.select(F.col("page_id").alias("node"), "dst", F.col("url").alias("href"), "anchor"))
