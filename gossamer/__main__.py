@@ -7,8 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import search, snippets
+from . import server
+from .operators import snippets
 from .plans import runs
+from .sources import fetch, files, sinks
 
 
 def _crawl_options(c: argparse.ArgumentParser) -> argparse.ArgumentParser:
@@ -32,6 +34,10 @@ def arguments() -> argparse.ArgumentParser:
     c = _crawl_options(c)
     c = sub.add_parser("ranks", help="PageRank of the pages in a folder")
     c.add_argument("folder"), c.add_argument("-f", type=float, default=0.7)
+    c = sub.add_parser("serve", help="answer searches of an index over HTTP")
+    c.add_argument("target"), c.add_argument("--port", type=int, default=8080)
+    c = sub.add_parser("fetch", help="fetch the pages that a file names, a URL a line, into a table")
+    c.add_argument("urls"), c.add_argument("target")
     c = sub.add_parser("inspections", help="first and last inspection of every place in a CSV file")
     c.add_argument("source"), c.add_argument("target")
     return p
@@ -42,18 +48,20 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     if a.command == "index":
         return f"{runs.index_folder(spark, a.folder, a.target)} documents"
     if a.command == "search":
-        docs = runs.documents_of(spark, a.target)
-        name = "filename" if "filename" in docs.columns else "abs_url"
-        hits = search.top(search.matches(runs.open_index(spark, a.target), a.query), a.k)
-        # k hits, numbered on the driver
-        order = {r.doc_id: i for i, r in enumerate(hits.collect(), 1)}
-        rows = docs.where(F.col("index_id").isin(*order)).select(F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), F.col("index_id")).alias("rank"), "title", F.col(name).alias("abs_url"), snippets.snippet(F.col("contents"), a.query).alias("snippet")) if order else spark.createDataFrame([], "rank int, title string, abs_url string, snippet string")
+        rows = runs.hits(spark, a.target, a.query, a.k)
         return (snippets.as_html(rows).select(snippets.broken_lines(F.col("html"))) if a.html else snippets.as_text(rows)).first()[0]
     if a.command in ("crawl", "update"):
         actions = runs.crawl_and_index(a.url, a.query, spark.read.parquet(a.pages), a.target, spark.read.parquet(a.sites) if a.sites else None, a.max, a.batch)
         return "\n".join(f"{r.action} {r.n}" for r in actions.groupBy("action").agg(F.count(F.lit(1)).alias("n")).orderBy("action").collect())
     if a.command == "ranks":
         return "\n".join(f"{r.node} {r.score:.6f}" for r in runs.folder_ranks(spark, a.folder, a.f).toLocalIterator())
+    if a.command == "serve":
+        answering = server.server(spark, a.target, a.port)
+        print(f"http://{answering.server_address[0]}:{answering.server_address[1]}/")
+        answering.serve_forever()
+    if a.command == "fetch":
+        sinks.append(fetch.fetched(files.word_list(spark, a.urls).withColumnRenamed("word", "url")), a.target)
+        return a.target
     runs.inspection_dates(spark, a.source, a.target)
     return a.target
 

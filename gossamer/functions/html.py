@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # The named references that are decoded, ampersand last.
 REFERENCES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
@@ -28,10 +30,14 @@ def _numbered(text: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    text = _numbered(text)
-    for reference, char in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+    """Text with its references as characters. It is computed once, and one without an ampersand is left alone."""
+
+    def spelled(t: Column) -> Column:
+        for reference, char in REFERENCES:
+            t = F.replace(t, F.lit(reference), F.lit(char))
+        return t
+
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("&")), spelled(_numbered(t))).otherwise(t))
 
 
 def tidy(text: Column) -> Column:

@@ -46,6 +46,15 @@ def open_index(spark: SparkSession, target: str) -> index.Index:
     return index.Index.open(spark, f"{target}/index-{spark.read.parquet(f'{target}/index').first()[0]}")
 
 
+def hits(spark: SparkSession, target: str, query: str, k: int = 10) -> DataFrame:
+    """A result page (rank, title, abs_url, snippet) of a target by text alone; k rows."""
+    docs = documents_of(spark, target)
+    name = "filename" if "filename" in docs.columns else "abs_url"
+    best = search.top(search.matches(open_index(spark, target), query), k)
+    best = cut(best.select(F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id")).alias("rank"), F.col("doc_id").alias("index_id")), "best")
+    return docs.join(F.broadcast(best), "index_id").select("rank", "title", F.col(name).alias("abs_url"), snippets.snippet(F.col("contents"), query).alias("snippet"))
+
+
 def crawl_and_index(start: str | None, query: str, snapshot: DataFrame, target: str, sites: DataFrame | None = None, max_pages: int = 50, batch: int = 15) -> DataFrame:
     """Crawls from `start` and upserts the pages (abs_url, title, content) into `target`, those apart that are near-duplicates of what it holds; gives the actions.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import __spark_entry__
+from gossamer import server
 from gossamer.plans import runs
-from gossamer.sources import files
+from gossamer.sources import fetch, files
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -60,3 +61,50 @@ def test_commands(spark, tmp_path):
     snapshot.write.parquet(str(tmp_path / "pages"))
     assert run(spark, ["crawl", "-u", "http://a.b/1", "-q", "x", "--pages", str(tmp_path / "pages"), "--target", str(tmp_path / "t")]) == "insert 1"
     assert run(spark, ["update", "-q", "x", "-u", "http://a.b/1", "--pages", str(tmp_path / "pages"), "--target", str(tmp_path / "t")]) == "skip 1"
+
+
+def test_server(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.html").write_text("<title>A & B</title>walrus words")
+    runs.index_folder(spark, str(tmp_path / "d"), str(tmp_path / "index"))
+    answering = server.server(spark, str(tmp_path / "index"), 0)
+    threading.Thread(target=answering.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{answering.server_address[1]}{path}").read().decode()
+    assert "<b>walrus</b>" in get("/?q=walrus") and "A &amp; B" in get("/?q=walrus")
+    assert get("/text?q=gone") == "No results were found" and "Results" not in get("/")
+    try:
+        get("/other")
+        raise AssertionError("a page that isn't there was answered")
+    except urllib.error.HTTPError as e:
+        assert e.code == 404
+    answering.shutdown()
+
+
+def test_fetched_pages(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "a.html").write_text("<p>walrus</p>")
+    (tmp_path / "b.html").write_text('<meta http-equiv="refresh" content="0; url=a.html">')
+    (tmp_path / "c.bin").write_bytes(b"\0\1")
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+    site = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{site.server_address[1]}"
+    urls = [f"{root}/{x}" for x in ("a.html", "b.html", "c.bin", "gone.html")] + ["no url"]
+    fetch.register(spark)
+    one = {r.url: r for r in spark.read.format("pages").option("urls", "\n".join(urls)).option("block", 2).load().collect()}
+    two = {r.url: r for r in fetch.fetched(spark.createDataFrame([(u,) for u in [*urls, urls[0], None]], "url string")).collect()}
+    assert one == two and len(one) == 5
+    assert one[urls[0]].content == "<p>walrus</p>" == one[urls[1]].content and one[urls[1]].final_url == urls[0]
+    assert one[urls[2]].content is None and one[urls[3]].status == 404 and one["no url"].error
+    site.shutdown()
