@@ -25,7 +25,7 @@ def arguments() -> argparse.ArgumentParser:
     c = sub.add_parser("index", help="index the HTML files below a folder")
     c.add_argument("folder"), c.add_argument("target")
     c = sub.add_parser("search", help="search an index table")
-    c.add_argument("target"), c.add_argument("query"), c.add_argument("-k", type=int, default=10), c.add_argument("--html", action="store_true")
+    c.add_argument("target"), c.add_argument("query", nargs="+", help="its words, put together with blanks"), c.add_argument("-k", type=int, default=10), c.add_argument("--html", action="store_true")
     c = sub.add_parser("crawl", help="crawl a table of pages from a URL and upsert what is found")
     c.add_argument("-u", "--url", required=True)
     c = _crawl_options(c)
@@ -48,7 +48,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> str:
     if a.command == "index":
         return f"{runs.index_folder(spark, a.folder, a.target)} documents"
     if a.command == "search":
-        rows = runs.hits(spark, a.target, a.query, a.k)
+        rows = runs.hits(spark, a.target, " ".join(a.query), a.k)
         return (snippets.as_html(rows).select(snippets.broken_lines(F.col("html"))) if a.html else snippets.as_text(rows)).first()[0]
     if a.command in ("crawl", "update"):
         actions = runs.crawl_and_index(a.url, a.query, spark.read.parquet(a.pages), a.target, spark.read.parquet(a.sites) if a.sites else None, a.max, a.batch)
