@@ -41,11 +41,13 @@ def prefix_length(n: int, t: float) -> int:
 class Run:
     """Postings of one run of sets, packed a tile at a time.
 
-    banded: with size bands, bitmaps and split lists; else there is one band, and no bitmaps.
+    banded: with size bands; mapped: with bitmaps too; hot: sets of a list beyond which it is split, 0 for never.
     """
 
-    def __init__(self, buckets: int, t: float, ranks: np.ndarray, banded: bool = False, hot: int = HOT):
-        self.buckets, self.t, self.ranks, self.banded, self.hot = buckets, t, ranks, banded, hot
+    def __init__(self, buckets: int, t: float, ranks: np.ndarray, banded: bool = False, mapped: bool = False, hot: int = 0):
+        self.buckets, self.t, self.ranks, self.banded, self.mapped, self.hot = buckets, t, ranks, banded, mapped, hot
+        # what a cell of the sketch holds on average is no sign of a hot shingle
+        self.mean = float(np.mean(np.exp2(ranks / 8) - 1)) if hot else 0.0
         self.clear()
 
     def clear(self) -> None:
@@ -59,20 +61,26 @@ class Run:
         self.fps.append(fp)
         self.sizes.append(len(s))
         self.hashes.append(h)
-        if self.banded:
+        if self.mapped:
             self.maps.append([parity_words(s, band) for band in range(size_band(len(s)), size_band(int(len(s) / self.t + 1e-9)) + 1)])
         self.posted += len(h)
 
+    def _bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first band of each set and the number of its bands."""
+        if not self.banded:
+            return np.zeros(len(self.sizes), np.int64), np.ones(len(self.sizes), np.int64)
+        first, last = (np.array([size_band(n) for n in sizes], np.int64) for sizes in (self.sizes, [int(n / self.t + 1e-9) for n in self.sizes]))
+        return first, last - first + 1
+
     def _blocks(self, h: np.ndarray) -> np.ndarray:
         """Blocks that the list of each hash is split into, by the sketch."""
-        if not self.banded:
+        if not self.hot:
             return np.ones(len(h), np.int64)
         often = np.exp2(self.ranks[cells(h, int(len(self.ranks)).bit_length() - 1)] / 8) - 1
-        return np.maximum(1, np.ceil(often / self.hot)).astype(np.int64)
+        return np.where(often > 4 * self.mean + self.hot, np.ceil((often - self.mean) / self.hot), 1).astype(np.int64)
 
     def rows(self) -> pa.RecordBatch:
-        first = np.array([size_band(n) for n in self.sizes], np.int64) if self.banded else np.zeros(len(self.sizes), np.int64)
-        bands = np.array([len(m) for m in self.maps], np.int64) if self.banded else np.ones(len(self.sizes), np.int64)
+        first, bands = self._bands()
         lengths = np.array([len(h) for h in self.hashes], np.int64)
         h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, U)
         doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -97,7 +105,7 @@ class Run:
         out: tuple[list, list] = ([], [])
         for i, j in zip(cuts[:-1], cuts[1:]):
             own, count = np.unique(doc[i:j], return_counts=True)
-            maps = [self.maps[d][int(band[i] - first[d])] for d in own] if self.banded else []
+            maps = [self.maps[d][int(band[i] - first[d])] for d in own] if self.mapped else []
             head = np.array([len(own), j - i, len(maps[0]) if maps else 0], np.int64).tobytes()
             out[0].append(int(tile[i]))
             out[1].append(head + fps[own].tobytes() + sizes[own].tobytes() + count.astype(np.uint32).tobytes() + pack48(h[i:j]) + place[i:j].astype(np.uint16).tobytes() + b"".join(m.tobytes() for m in maps))

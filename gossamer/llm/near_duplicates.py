@@ -65,7 +65,7 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
     shared = sent(records.sparkSession, ranks.tobytes())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8), banded=True)
+        run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8), banded=True, mapped=True, hot=anchors.HOT)
         for b in batches:
             for s in shingle_sets(b.column(0).to_pylist(), k):
                 if len(s):

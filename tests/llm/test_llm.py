@@ -115,9 +115,10 @@ def test_tiles_of_bands_and_blocks_give_each_pair_once():
                 sets[i * 4 + j] = np.unique(np.append(keep, r.choice(1 << 40, j, replace=False).astype(np.uint64) << np.uint64(8)))
     ranks = np.full(1 << shingles.SKETCH_BITS, 24, np.uint8)  # as if each shingle came 7 times
     want: dict = {}
-    for hot, banded in ((10_000, False), (10_000, True), (2, True)):
+    for hot, banded, mapped in ((0, False, False), (0, True, False), (10_000, True, True), (2, True, True)):
         seen: dict = {}
-        run = anchors.Run(3, 0.7, ranks, banded, hot)
+        run = anchors.Run(3, 0.7, ranks, banded, mapped, hot)
+        run.mean = 0.0
         for fp, s in sets.items():
             run.add(fp, s)
         rows = run.rows()
