@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,7 +168,32 @@ adr AS (SELECT came, id, content, regexp_replace(lower(regexp_extract(rest, '^[^
 SELECT id AS incoming_id FROM like_
 UNION SELECT a.id FROM adr a WHERE a.came > 0 AND (a.content IS NULL OR a.content = '') AND EXISTS (SELECT 1 FROM adr b WHERE b.address = a.address AND b.came < a.came)"""
 
+
+
+def _form(x: str) -> str:
+    """SQL of the canonical form for what texts of one look differ in: single characters by a rule, ligatures, invisible ones, blanks, accents."""
+    single, several = {}, []
+    for latin, twins in canonical.LOOK_ALIKE.items():
+        single |= dict.fromkeys(twins, latin)
+    for c in range(0x80, 0x1FFFF):
+        kind, _, rest = unicodedata.decomposition(chr(c)).partition(" ")
+        if kind[:1] == "<" and kind not in canonical.VISIBLE_KINDS and c != 0x017F and unicodedata.category(chr(c)) != "Zs" and not 0xD800 <= c < 0xE000:
+            plain = unicodedata.normalize("NFKC", chr(c))
+            if len(plain) == 1:
+                single[chr(c)] = single.get(plain, plain)
+            elif 0xFB00 <= c <= 0xFB06 or c in (0x2026, 0x2025, 0x01C6, 0x0133):
+                several.append((chr(c), plain))
+    out = f"regexp_replace({x}, '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{180B}}-\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    out = f"regexp_replace({out}, '[\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    for ligature, letters in several:
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"nfc_normalize(translate(nfc_normalize({out}), '{''.join(single)}', '{''.join(single.values()).replace(chr(39), chr(39) * 2)}'))"
+
+
 ORACLE: dict[str, str] = {
+    "p10_found": rf"""
+        WITH f AS MATERIALIZED (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id WHERE trim(regexp_replace(a.form, '\s', ' ', 'g')) <> ''""",
     "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p2_terms": _P2 + "SELECT field, term, occurrences, records, mark FROM m",
     "p1_found": _P1 + "SELECT a AS page_id_a, b AS page_id_b FROM pairs WHERE ua IS DISTINCT FROM ub",
