@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,6 +14,14 @@ LINK_CAP = 200
 DISTANCE = 5
 
 
+#: Places of a page whose links are gathered in one row.
+TOGETHER = 256
+
+
+def together(pos: Column) -> Column:
+    return F.floor(F.coalesce(pos, F.lit(0)) / TOGETHER)
+
+
 def extracted(pages: DataFrame, cap: int = LINK_CAP) -> DataFrame:
     """(page_id, pos, href, anchor, abs_url, unique_url) of `pages` (page_id, abs_url, content).
 
@@ -60,11 +68,12 @@ def with_score(rows: DataFrame, query: str) -> DataFrame:
 def scored(pages: DataFrame, links: DataFrame, query: str) -> DataFrame:
     """Links (page_id, pos, href, anchor, ...) with their score; a page is split into words once.
 
-    The links of a page are gathered before they meet its words, so a page's words travel and are
-    held once, not with each link; columns of pages (page_id, content) but these are not read.
+    The links of a page are gathered before they meet its words, TOGETHER places at a time, so
+    its words aren't copied to each link, and a page of very many links makes many rows;
+    columns of pages (page_id, content) but these are not read.
     """
     words = pages.select("page_id", "content").dropDuplicates(["page_id"]).select("page_id", F.split(text.plain(html.text(F.col("content"))), " ").alias("tokens"))
-    gathered = links.groupBy("page_id").agg(F.collect_list(F.struct(*(c for c in links.columns if c != "page_id"))).alias("__links"))
+    gathered = links.groupBy("page_id", together(F.col("pos")).alias("__part")).agg(F.collect_list(F.struct(*(c for c in links.columns if c != "page_id"))).alias("__links"))
     each = gathered.join(words, "page_id").select("page_id", "tokens", F.explode("__links").alias("__l")).select("page_id", "tokens", "__l.*")
     return with_score(each, query).drop("tokens").select(*links.columns, "score")
 

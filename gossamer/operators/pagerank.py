@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text
 from ..shared import Bucketed, cut, file_bytes
+from .links import together
 
 
 def bases(pages: DataFrame) -> DataFrame:
@@ -22,21 +23,22 @@ def bases(pages: DataFrame) -> DataFrame:
 
 
 def strengths(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst, weight): strength of the links (node, dst, href, anchor) of `pages` (node, content).
+    """(src, dst, weight): strength of the links (node, dst, pos, href, anchor) of `pages` (node, content).
 
     A link counts once for each time its href stands in the source's text, and once for each
-    emphasised piece that holds the anchor. The links of a page are gathered before they meet it, so
-    its content is read once and not copied to each of them. A page that comes twice counts once.
+    emphasised piece that holds the anchor. The links of a page are gathered before they meet it, some
+    hundred places at a time, so its content isn't copied to each of them. A page that comes
+    twice counts once.
     """
-    gathered = links.where("href IS NOT NULL").groupBy("node").agg(F.collect_list(F.struct("dst", "href", "anchor")).alias("links"))
+    gathered = links.where("href IS NOT NULL").groupBy("node", together(F.col("pos")).alias("part")).agg(F.collect_list(F.struct("dst", "href", "anchor")).alias("links"))
     pieces = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(f"<{s}>(.*?)</{s}>"), F.lit(1)) for s in text.SCOPES)))
-    both = pages.select("node", "content").join(gathered, "node").select("node", "links", "content", pieces.alias("pieces"))
+    both = pages.select("node", "content").join(gathered, "node").select("node", "part", "links", "content", pieces.alias("pieces"))
 
     def weighed(x: Column) -> Column:
         held = F.when(F.length(x["anchor"]) > 0, F.size(F.filter("pieces", lambda p: F.contains(p, x["anchor"])))).otherwise(0)
         return F.struct(x["dst"].alias("dst"), (text.occurrences(F.col("content"), x["href"]) + held).alias("weight"))
 
-    once = both.select(F.col("node").alias("src"), F.transform("links", weighed).alias("links")).dropDuplicates(["src"])
+    once = both.select(F.col("node").alias("src"), "part", F.transform("links", weighed).alias("links")).dropDuplicates(["src", "part"])
     each = once.select("src", F.explode("links").alias("x")).select("src", "x.dst", F.coalesce("x.weight", F.lit(0)).alias("weight"))
     return each.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 

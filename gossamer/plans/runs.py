@@ -103,9 +103,9 @@ def ranked_results(docs: DataFrame, index_: index.Index, scores: DataFrame, quer
 
 
 def link_scores(pages: DataFrame, links: DataFrame, f: float = 0.7) -> DataFrame:
-    """(node, score) of pages (node, url, content) by their links (node, href, anchor)."""
+    """(node, score) of pages (node, url, content) by their links (node, pos, href, anchor)."""
     targets = pages.select(F.col("url").alias("href"), F.col("node").alias("dst"))
-    aimed = links.where("href IS NOT NULL").join(targets, "href").select("node", "dst", "href", "anchor")
+    aimed = links.where("href IS NOT NULL").join(targets, "href").select("node", "dst", "pos", "href", "anchor")
     return pagerank.ranks(pagerank.bases(pages), pagerank.normalized(pagerank.strengths(pages, aimed)), f)
 
 
@@ -116,7 +116,8 @@ def folder_ranks(spark: SparkSession, folder: str, f: float) -> DataFrame:
     """
     pages = files.html_folder(spark, folder, recursive=False, extensions="*").select(F.regexp_extract("filename", "([^/]+)$", 1).alias("node"), F.col("html").alias("content"))
     pages = cut(pages.withColumn("url", F.col("node")), "pages")
-    links = pages.select("node", F.explode(html.links(F.col("content"))).alias("l")).select("node", "l.href", "l.anchor").where(F.col("href").endswith("html")).distinct()
+    links = pages.select("node", F.posexplode(html.links(F.col("content"))).alias("pos", "l")).select("node", "pos", "l.href", "l.anchor").where(F.col("href").endswith("html"))
+    links = links.groupBy("node", "href", "anchor").agg(F.min("pos").alias("pos"))
     return link_scores(pages, links, f).orderBy(F.desc("score"), "node")
 
 

@@ -78,12 +78,12 @@ def anchor_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_scores(spark: SparkSession, folder: str) -> DataFrame:
-    each = table(spark, folder, "page_links", "link_id", "page_id", "url", "anchor", "abs_url", "unique_url").withColumnRenamed("url", "href")
+    each = table(spark, folder, "page_links", "link_id", "page_id", "pos", "url", "anchor", "abs_url", "unique_url").withColumnRenamed("url", "href")
     return links.scored(table(spark, folder, "crawl_pages", "page_id", "content"), each, QUERY).select("link_id", "score")
 
 
 def frontier_top(spark: SparkSession, folder: str) -> DataFrame:
-    each = table(spark, folder, "page_links", "link_id", "page_id", "url", "anchor", "abs_url", "unique_url").withColumnRenamed("url", "href")
+    each = table(spark, folder, "page_links", "link_id", "page_id", "pos", "url", "anchor", "abs_url", "unique_url").withColumnRenamed("url", "href")
     scores = links.scored(table(spark, folder, "crawl_pages", "page_id", "content"), each, QUERY)
     return links.frontier(scores).select("abs_url", "score", "links").orderBy(F.desc("score"), "abs_url").limit(20)
 
@@ -159,8 +159,8 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Pages as nodes, and the strengths of their links as weights."""
     pages = table(spark, folder, "crawl_pages", "page_id", "unique_url", "content").withColumnRenamed("page_id", "node")
     targets = pages.where("unique_url IS NOT NULL").groupBy("unique_url").agg(F.min("node").alias("dst"))
-    each = table(spark, folder, "page_links", "page_id", "unique_url", "url", "anchor").join(targets, "unique_url")
-    edges = pagerank.strengths(pages, each.select(F.col("page_id").alias("node"), "dst", F.col("url").alias("href"), "anchor"))
+    each = table(spark, folder, "page_links", "page_id", "pos", "unique_url", "url", "anchor").join(targets, "unique_url")
+    edges = pagerank.strengths(pages, each.select(F.col("page_id").alias("node"), "dst", "pos", F.col("url").alias("href"), "anchor"))
     return pagerank.bases(pages), pagerank.normalized(edges)
 
 

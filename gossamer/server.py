@@ -10,16 +10,20 @@ from pyspark.sql import SparkSession
 
 from .operators import snippets
 from .plans import runs
+from .shared import scratch
 
 FORM = '<form action="/"><input name="q" value="{}"><input type="submit" value="Search"></form>'
 
 
 def page(spark: SparkSession, target: str, query: str, k: int = 10, as_text: bool = False) -> str:
     """The best k hits of `target` for a query; without a query the form alone."""
-    rows = runs.hits(spark, target, query, k) if query.strip() else None
+    found = ""
+    if query.strip():
+        with scratch():
+            rows = runs.hits(spark, target, query, k)
+            found = (snippets.as_text(rows) if as_text else snippets.as_html(rows)).first()[0]
     if as_text:
-        return snippets.as_text(rows).first()[0] if rows is not None else ""
-    found = snippets.as_html(rows).first()[0] if rows is not None else ""
+        return found
     return f"<html><head><title>{html.escape(query)}</title></head><body>{FORM.format(html.escape(query, quote=True))}{found}</body></html>"
 
 

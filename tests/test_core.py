@@ -72,7 +72,7 @@ def test_words(spark):
 )
 def test_link_score(spark, href, anchor, page, want):
     pages = spark.createDataFrame([(1, page)], "page_id long, content string")
-    each = spark.createDataFrame([(1, href, anchor)], "page_id long, href string, anchor string")
+    each = spark.createDataFrame([(1, 0, href, anchor)], "page_id long, pos int, href string, anchor string")
     assert links.scored(pages, each, "walrus carpenter bread").first()["score"] == want
 
 
@@ -205,7 +205,7 @@ def test_pagerank_that_does_not_converge_is_an_error(spark):
 
 def test_strengths(spark):
     pages = spark.createDataFrame([(1, '<b>Seal</b> <a href="b.html">Seal</a> b.html'), (2, "")], "node long, content string")
-    each = spark.createDataFrame([(1, 2, "b.html", "Seal"), (1, 3, "gone.html", "x"), (2, 1, None, None)], "node long, dst long, href string, anchor string")
+    each = spark.createDataFrame([(1, 2, 0, "b.html", "Seal"), (1, 3, 999, "gone.html", "x"), (2, 1, None, None, None)], "node long, dst long, pos int, href string, anchor string")
     assert {tuple(r) for r in pagerank.strengths(pages, each).collect()} == {(1, 2, 3), (1, 3, 0)}
 
 

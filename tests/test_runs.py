@@ -20,7 +20,7 @@ def test_update_and_search(spark, tmp_path):
     assert docs.count() == 2
     assert {r.action for r in runs.crawl_and_index(None, "walrus", snapshot, target).collect()} == {"skip"}  # from the last good page
     graph = snapshot.selectExpr("page_id AS node", "abs_url AS url", "content")
-    links = spark.createDataFrame([(1, "http://a.b/2", "walrus")], "node long, href string, anchor string")
+    links = spark.createDataFrame([(1, 0, "http://a.b/2", "walrus")], "node long, pos int, href string, anchor string")
     scores = runs.link_scores(graph, links)
     ranks = docs.join(graph.selectExpr("node", "url AS abs_url"), "abs_url").join(scores, "node").selectExpr("index_id AS doc_id", "score AS rank")
     page = runs.ranked_results(docs, runs.open_index(spark, target), ranks, "bread").collect()
