@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import file_bytes
 
 #: Run length and similarity of the near-duplicate gate of an update.
 SHINGLE, SIMILAR = 4, 0.9
-#: Folders of terms that the postings of a stored index are dealt to, and parts of each folder, so that a term of most documents isn't one task's.
-BUCKETS, PARTS = 64, 8
+#: Folders of terms that the postings of a stored index are dealt to, and bytes of documents for which a folder has a part, so that a term of most documents isn't one task's.
+BUCKETS, PART_BYTES = 64, 32 << 20
 
 
 def postings(docs: DataFrame, *fields: str, id_: str = "index_id") -> DataFrame:
@@ -21,12 +22,13 @@ def postings(docs: DataFrame, *fields: str, id_: str = "index_id") -> DataFrame:
 
     positions count all terms of the field, length those that are no stop words. Documents indexed
     twice count under their own ids; rows of one id are told apart by nothing, so their terms add
-    up. One shuffle deals the terms to their buckets and groups them there.
+    up. One shuffle deals the terms to their buckets, and by document to parts of them, and groups them there.
     """
+    parts = file_bytes(docs) // (BUCKETS * PART_BYTES) % 100_000 + 1
     each = docs.select(F.col(id_).alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.terms(F.col(f)).alias("terms")) for f in fields))).alias("x"))
     each = each.select("doc_id", "x.field", F.col("x.terms").alias("terms"), F.size(F.filter("x.terms", text.indexed)).alias("length"))
     each = each.select("doc_id", "field", "length", F.posexplode("terms").alias("pos", "term")).where(text.indexed(F.col("term")))
-    each = each.withColumns({"bucket": bucket(F.col("term")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))}).repartition("bucket", "part")
+    each = each.withColumns({"bucket": bucket(F.col("term")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts))}).repartition("bucket", "part")
     grouped = each.groupBy("bucket", "part", "field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
     return grouped.select("field", "term", "doc_id", "tf", "positions", "length", "bucket")
 
