@@ -113,25 +113,37 @@ def verdicts(counts: DataFrame, records: DataFrame, heavy: DataFrame) -> DataFra
     return joined.withColumn("gone", gone).withColumn("spans", F.when(F.col("gone").isNull(), F.col("spans")))
 
 
-def _absent(refs: DataFrame, verdicts_: DataFrame) -> DataFrame:
-    """Rows of `refs` (key, period, at, ...) that are orphans by the verdict on their key and period."""
-    open_ = verdicts_.where("gone IS NULL OR gone > 0").select("key", "period", (F.col("gone") == F.col("n")).alias("__all"), "spans")
-    # periods are compared null-safely: a reference without a time has none
-    held = refs.withColumn("__period", F.coalesce("period", F.lit(""))).join(open_.withColumn("__period", F.coalesce("period", F.lit(""))).drop("period"), ["key", "__period"])
+def _open(verdicts_: DataFrame) -> DataFrame:
+    """(key, __period, __all, spans) of the verdicts that leave an orphan; a reference without a time has no period, so periods are compared as texts."""
+    left = verdicts_.where("gone IS NULL OR gone > 0")
+    return left.select("key", F.coalesce("period", F.lit("")).alias("__period"), (F.col("gone") == F.col("n")).alias("__all"), "spans")
+
+
+def _is_orphan() -> Column:
+    """Whether a reference (at) that met its open verdict (__all, spans) is an orphan; null and false for one that met none."""
     alive = F.exists("spans", lambda s: (s["since"] <= F.col("at")) & (s["until"] > F.col("at")))
-    return held.where(F.coalesce("__all", F.lit(False)) | F.col("at").isNull() | (F.col("spans").isNotNull() & ~F.coalesce(alive, F.lit(False)))).select(refs.columns)
+    judged = F.coalesce("__all", F.lit(False)) | F.col("at").isNull() | (F.col("spans").isNotNull() & ~F.coalesce(alive, F.lit(False)))
+    return F.col("__met") & judged
 
 
 def absent_then(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
-    """Rows of `refs` (key, period, at, ...) for which no row of `records` (key, since, until) lived at `at`; null keys are left out."""
+    """Rows of `refs` (key, period, at, ...) for which no row of `records` (key, since, until) lived at `at`; null keys are left out.
+
+    The references are read once for the counts and once for the rows. Those of heavy keys are
+    judged where they are read, by broadcast verdicts; what remains of them goes through the
+    shuffle of the others by a number of its own, so it spreads evenly.
+    """
     counts = cut(reference_counts(refs), "counts")
     often = cut(heavy_keys(counts, share), "heavy-keys")
     found = cut(verdicts(counts, records, often), "verdicts")
-    refs = refs.where("key IS NOT NULL")
-    # rows of heavy keys meet their verdicts by broadcast, so none of them is shuffled
-    marked = refs.join(F.broadcast(often.withColumn("__heavy", F.lit(True))), "key", "left")
-    of_heavy = cut(found.join(F.broadcast(often), "key", "left_semi"), "heavy-verdicts")
-    return _absent(marked.where("__heavy").drop("__heavy"), _few(of_heavy)).unionByName(_absent(marked.where("__heavy IS NULL").drop("__heavy"), found))
+    of_heavy = cut(_open(found.join(F.broadcast(often), "key", "left_semi")), "heavy-verdicts")
+    met = F.lit(True).alias("__met")
+    rows = refs.where("key IS NOT NULL").withColumn("__period", F.coalesce("period", F.lit("")))
+    rows = rows.join(F.broadcast(often.withColumn("__heavy", F.lit(True))), "key", "left").join(_few(of_heavy.select("*", met)), ["key", "__period"], "left")
+    rows = rows.withColumn("__gone", F.when(F.col("__heavy"), F.coalesce(_is_orphan(), F.lit(False)))).where("__heavy IS NULL OR __gone").select(*refs.columns, "__period", "__gone")
+    rows = rows.withColumn("__own", F.when(F.col("__gone"), F.pmod(F.xxhash64(*refs.columns), F.lit(1 << 31)) + 1).otherwise(F.lit(0).cast("bigint")))
+    others = _open(found).select("*", met, F.lit(0).cast("bigint").alias("__own"))
+    return rows.join(others, ["key", "__period", "__own"], "left").where(F.col("__gone") | _is_orphan()).select(refs.columns)
 
 
 def absent_counts(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
@@ -142,7 +154,9 @@ def absent_counts(refs: DataFrame, records: DataFrame, share: float = HEAVY_SHAR
     counts = cut(reference_counts(refs), "counts")
     found = cut(verdicts(counts, records, cut(heavy_keys(counts, share), "heavy-keys")), "verdicts")
     sure = found.where("gone > 0").groupBy("period").agg(F.sum("gone").alias("orphans"))
-    rest = _absent(refs.where("key IS NOT NULL"), found.where("gone IS NULL")).groupBy("period").agg(F.count(F.lit(1)).alias("orphans"))
+    unsure = _open(found.where("gone IS NULL")).withColumn("__met", F.lit(True))
+    rest = refs.where("key IS NOT NULL").withColumn("__period", F.coalesce("period", F.lit(""))).join(unsure, ["key", "__period"]).where(_is_orphan())
+    rest = rest.groupBy("period").agg(F.count(F.lit(1)).alias("orphans"))
     return sure.unionByName(rest).groupBy("period").agg(F.sum("orphans").alias("orphans"))
 
 
