@@ -131,15 +131,15 @@ def hashed(numbers: pa.Array) -> np.ndarray:
     return mix(numbers.to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(64 - HASH_BITS)
 
 
-def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `rows` (fp, ...) whose fp is in the stored table `wanted` (fp, ...); most others are dropped by a bit table before the exact join."""
-    bits = bit_table(wanted.select("fp"), lambda b: hashed(b.column(0)), file_bytes(wanted) // 8)
+def maybe_among(rows: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
+    """Rows of `rows` (fp, ...) whose fp is among the about `many` of `wanted` (fp), by a bit table: all of those, and a few others."""
+    bits = bit_table(wanted, lambda b: hashed(b.column(0)), many)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(held(bits.value, hashed(b.column("fp")))))
 
-    return rows.mapInArrow(fn, rows.schema).join(wanted.select("fp").distinct(), "fp", "left_semi")
+    return rows.mapInArrow(fn, rows.schema)
 
 
 def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
