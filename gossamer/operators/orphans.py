@@ -24,10 +24,9 @@ FEW = 100_000
 
 def _parts(url: Column) -> tuple[Column, Column]:
     """Host and the rest of a URL without scheme and fragment."""
-    bare = F.regexp_replace(F.substring_index(url, "#", 1), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    ends = [F.nullif(F.locate(c, bare), F.lit(0)) for c in "/?"]
-    end = F.coalesce(F.least(*ends), F.length(bare) + 1)
-    return F.regexp_replace(F.lower(F.substring(bare, F.lit(1), end - 1)), ":80$", ""), F.substring(bare, end, F.length(bare))
+    host, rest = (F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^#]*)", i) for i in (1, 2))
+    host = F.lower(host)
+    return F.when(F.endswith(host, F.lit(":80")), F.substring(host, F.lit(1), F.length(host) - 3)).otherwise(host), rest
 
 
 def address(url: Column) -> Column:
