@@ -24,7 +24,8 @@ def postings(docs: DataFrame, *fields: str, id_: str = "index_id") -> DataFrame:
     twice count under their own ids; rows of one id are told apart by nothing, so their terms add
     up. One shuffle deals the terms to their buckets, and by document to parts of them, and groups them there.
     """
-    parts = file_bytes(docs) // (BUCKETS * PART_BYTES) % 100_000 + 1
+    size = file_bytes(docs)
+    parts = size // (BUCKETS * PART_BYTES) + 1 if size < 1 << 60 else 1  # a table that isn't in files has no size
     each = docs.select(F.col(id_).alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), text.terms(F.col(f)).alias("terms")) for f in fields))).alias("x"))
     each = each.select("doc_id", "x.field", F.col("x.terms").alias("terms"), F.size(F.filter("x.terms", text.indexed)).alias("length"))
     each = each.select("doc_id", "field", "length", F.posexplode("terms").alias("pos", "term")).where(text.indexed(F.col("term")))
