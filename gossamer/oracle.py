@@ -150,6 +150,26 @@ _BEST = (
           JOIN hits h ON h.doc_id = d.index_id ORDER BY 4 DESC, 1 LIMIT 10)"""
 )
 
+# the part of a text about the query's words, for a query that doesn't stand in it as a whole
+_WINDOW = "array_to_string(w[greatest({0} - {2}, 0) + 1 : least({1} + {2}, len(w) - 1) + 1], ' ')"
+_SIDE = "CAST(greatest(ceil((40 - (h[-1] - h[1] + 1)) / 2.0), 0) AS BIGINT)"
+_PAGE = (
+    _BEST
+    + rf""", r AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, b.title, b.abs_url, string_split({_tidy("coalesce(contents, '')")}, ' ') AS w FROM best b JOIN index_docs d ON d.index_id = b.doc_id),
+        h AS (SELECT *, list_filter(range(0, len(w)), lambda i: lower(regexp_replace(w[i + 1], '[^-a-zA-Z0-9_ ]', '', 'g')) IN ({", ".join(repr(x) for x in _ASK)})) AS h FROM r),
+        g AS (SELECT *, list_filter(range(1, len(h) + 1), lambda i: i = 1 OR h[i] - h[i - 1] > 15) AS b, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR h[i + 1] - h[i] > 15) AS e FROM h),
+        t AS (SELECT *, CASE WHEN len(h) = 0 THEN array_to_string(w[1:41], ' ') WHEN h[-1] - h[1] < 40 THEN {_WINDOW.format("h[1]", "h[-1]", _SIDE)}
+          ELSE array_to_string(list_transform(range(1, len(b) + 1), lambda k: {_WINDOW.format("h[b[k]]", "h[e[k]]", 5)}), ' ... ') END AS t FROM g),
+        page AS (SELECT rank, title, abs_url, array_to_string(string_split(regexp_replace(t, '(?i)({"|".join(sorted(_ASK, key=lambda x: (-len(x), x)))})', '<b>\1</b>', 'g'), ' ')[1:40], ' ') AS snippet FROM t)"""
+)
+
+
+def _escaped(x: str) -> str:
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, '{char}', '{reference}')"
+    return x
+
+
 _RUNS = "list_filter(string_split_regex(regexp_replace(coalesce({0}, ''), '[^a-zA-Z0-9 ]', '', 'g'), '[ \\n\\r]+'), lambda x: x <> '')"
 _COUNTED = "list_distinct(list_transform(list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i : i + 3], ' ')), lambda x, i: x))"
 _VERSIONS = f"""
@@ -262,6 +282,11 @@ ORACLE: dict[str, str] = {
     "pagerank_converged": _CONVERGED + " SELECT node, round(score, 9) AS score FROM rank",
     "rank_fusion": _BEST + " SELECT doc_id, round(rank, 9) AS rank, round(text_score, 6) AS text_score, round(score, 6) AS score FROM best",
     "search_ranked": _BEST + " SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, title, abs_url, round(score, 6) AS score FROM best",
+    "search_page": _PAGE + " SELECT rank, title, abs_url, snippet FROM page",
+    "search_page_text": _PAGE + " SELECT string_agg(rank || ': ' || coalesce(title, abs_url) || chr(10) || 'URL: ' || abs_url || chr(10) || snippet || chr(10) || chr(10), '' ORDER BY rank) AS text FROM page",
+    "search_page_html": _PAGE
+    + f""" SELECT '<h3>Results:</h3>' || string_agg('<div><b>' || rank || ': <a href="' || {_escaped("abs_url")} || '">' || {_escaped("coalesce(title, abs_url)")} || '</a></b><br>'
+          || replace(replace({_escaped("snippet")}, '&lt;b&gt;', '<b>'), '&lt;/b&gt;', '</b>') || '<br><a href="' || {_escaped("abs_url")} || '">' || {_escaped("abs_url")} || '</a></div>' || chr(10), '' ORDER BY rank) AS html FROM page""",
     "strict_targets": f"WITH {_PAGES}, u AS (SELECT unique_url, min(page_id) AS target FROM p WHERE unique_url IS NOT NULL GROUP BY 1) SELECT link_id, target FROM page_links JOIN u USING (unique_url)",
     "phrase_snippets": rf"""
         WITH f AS (SELECT index_id, {_tidy("contents")} AS flat FROM index_docs WHERE contains(lower(regexp_replace(contents, '{_W}', ' ', 'g')), '{PHRASE}')),

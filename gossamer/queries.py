@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import html, text, urls
 from .operators import crawl, index, links, orphans, pagerank, records, robots, search, snippets
 from .plans import runs
-from .shared import cut, shared_path
+from .shared import exists, shared_path
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,19 +116,21 @@ def last_good(spark: SparkSession, folder: str) -> DataFrame:
 # --- index and search
 
 
-_STORED: dict[tuple[str, str, str], object] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _kept(spark: SparkSession, folder: str, what: str, make: Callable[[], object]) -> object:
-    """What a search needs and no query changes: made once a session and folder, and stored in the shared folder."""
+def _kept(spark: SparkSession, folder: str, what: str, write: Callable[[str], object]) -> str:
+    """Where something is stored that searches need and no query changes: written once a session and folder, and again if it is gone."""
     key = (spark.sparkContext.applicationId, folder, what)
-    if key not in _STORED:
-        _STORED[key] = make()
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        path = shared_path(spark, what)
+        write(path)
+        _STORED[key] = path
     return _STORED[key]
 
 
 def _index(spark: SparkSession, folder: str) -> index.Index:
-    return _kept(spark, folder, "index", lambda: index.Index.of(_docs(spark, folder, "contents", "title"), "contents", "title").store(shared_path(spark, "index")))
+    return index.Index.open(spark, _kept(spark, folder, "index", lambda path: index.Index.of(_docs(spark, folder, "contents", "title"), "contents", "title").store(path)))
 
 
 def postings_df(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +172,7 @@ def pagerank_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Converged scores (node, score), kept."""
-    return _kept(spark, folder, "ranks", lambda: pagerank.ranks(*_graph(spark, folder), f=DAMPING))
+    return spark.read.parquet(_kept(spark, folder, "ranks", lambda path: pagerank.ranks(*_graph(spark, folder), f=DAMPING).write.parquet(path)))
 
 
 def pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +188,7 @@ def _doc_ranks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _kept_doc_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return _kept(spark, folder, "doc-ranks", lambda: cut(_doc_ranks(spark, folder), "doc-ranks"))
+    return spark.read.parquet(_kept(spark, folder, "doc-ranks", lambda path: _doc_ranks(spark, folder).write.parquet(path)))
 
 
 def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
