@@ -27,7 +27,7 @@ from .shingles import HASH_BITS, U, cells, mix, needed_overlap, pack48, parity_w
 #: Shared anchors that a pair must have (fewer if its sets are smaller than that).
 LEAST = 8
 #: Postings that a task holds before it writes a run, pairs expanded at once, and pairs whose bitmaps are held at once.
-RUN, CHUNK, MAPS = 1_000_000, 2_000_000, 50_000
+RUN, CHUNK, MAPS = 500_000, 500_000, 50_000
 #: Sets of a list that are compared in one task; a longer one is split into blocks of about so many.
 HOT = 20_000
 #: Greatest place that is kept; the bit above it tells the block of a split list.

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, file_bytes, sent, spread
 from . import anchors
-from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
+from .shingles import HASH_BITS, U, CellCounts, cells, fingerprint, lazily, mix, needed_overlap, pack48, rank_table, shingle_sets, unpack48
 
 #: Most cells of a bit table as a power of two.
 HELD_BITS = 26
 #: Elements of the sets that are intersected at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Sets that one tile of the exact check holds on average; a larger cluster is split into tiles of pairs of blocks.
 TILE = 2000
 
@@ -46,7 +46,7 @@ def scan(records: DataFrame, k: int) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), k)):
+            for i, s in zip(lazily(b.column(0)), shingle_sets(lazily(b.column(1)), k)):
                 if len(s) and i is not None:
                     counts.add(s)
                     for xs, x in zip(out, (i, len(s), fingerprint(s))):
@@ -67,7 +67,7 @@ def post(records: DataFrame, k: int, t: float, ranks: np.ndarray, buckets: int)
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = anchors.Run(buckets, t, np.frombuffer(shared.value, np.uint8), banded=True, mapped=True, hot=anchors.HOT)
         for b in batches:
-            for s in shingle_sets(b.column(0).to_pylist(), k):
+            for s in shingle_sets(lazily(b.column(0)), k):
                 if len(s):
                     run.add(fingerprint(s), s)
                     if run.posted >= anchors.RUN:
@@ -101,10 +101,11 @@ def bit_table(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], man
     block = (1 << bits) // 8 // min(512, (1 << bits) // 8 // 1024)
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(1 << bits, bool)
+        found = np.zeros((1 << bits) // 8, np.uint8)
         for b in batches:
-            found[cells(of(b), bits)] = True
-        blocks = np.packbits(found).reshape(-1, block)
+            c = np.unique(cells(of(b), bits))
+            np.bitwise_or.at(found, c >> 3, np.uint8(128) >> (c & 7).astype(np.uint8))
+        blocks = found.reshape(-1, block)
         at = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())], ["block", "bits"])
 
@@ -154,7 +155,7 @@ def sets_of(records: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for b in batches:
             b = b.filter(pa.compute.is_valid(b.column(0)))
             keep = held(bits.value, hashed(b.column(0)))
-            ids, texts = (b.column(c).filter(pa.array(keep)).to_pylist() for c in range(2))
+            ids, texts = (lazily(b.column(c).filter(pa.array(keep))) for c in range(2))
             out = [(i, fingerprint(s), pack48(s)) for i, s in zip(ids, shingle_sets(texts, k)) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["id", "fp", "packed"])
 

@@ -64,6 +64,12 @@ def _blocks(texts: Iterable[str | None]) -> Iterator[tuple[bytes, np.ndarray]]:
         yield b"\0".join(parts) + b"\0", np.cumsum([len(p) + 1 for p in parts]) - 1
 
 
+def lazily(column: pa.Array, step: int = 500) -> Iterator:
+    """Values of an Arrow column, some hundred at a time, so a batch of long texts isn't held twice."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[np.ndarray]:
     """For each text its set of shingle hashes, sorted; null, empty and short texts have none."""
     salt = mix(np.arange(1, k + 1, dtype=U))
