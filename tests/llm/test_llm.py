@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,68 @@ def test_tiles_of_bands_and_blocks_give_each_pair_once():
         assert {tuple(p) for p in pairs[good].tolist()} == like
 
 
+def test_pairs_of_two_old_sets_are_not_expanded(monkeypatch):
+    r, packed, marks = np.random.default_rng(2), [], []
+    common = np.sort(r.choice(1 << 40, 40, replace=False)).astype(np.uint64)
+    for mark, fps in ((0, range(200)), (1, range(195, 203))):  # five sets are on both sides
+        run = anchors.Run(1, 0.7, np.zeros(1 << shingles.SKETCH_BITS, np.uint8))
+        for fp in fps:
+            run.add(fp, np.append(common[: 40 - fp % 7], np.uint64((1 << 41) + fp)))
+        packed += [x.as_buffer() for x in run.rows().column(1)]
+        marks.append(mark)
+    many, expand, chunk = [], anchors.Postings._expand, anchors.CHUNK
+    monkeypatch.setattr(anchors.Postings, "_expand", lambda self, i, j, *a: (many.append(len(i)), expand(self, i, j, *a))[1])
+    of = lambda sides: Counter(k for b in anchors.Postings(packed, marks).pairs(0.7, sides) for p, q, n in zip(*(c.to_pylist() for c in b.columns[:3])) for k in [(p, q)] * n)
+    want = {k: n for k, n in of(False).items() if max(k) >= 195}
+    whole = sum(many)
+    for chunk in (chunk, 11):
+        monkeypatch.setattr(anchors, "CHUNK", chunk)
+        many.clear()
+        assert of(True) == want and len(want) == 8 * 195 + 8 * 7 // 2
+        assert sum(many) < whole / 10
+
+
+def test_kept_anchors_are_dealt_to_the_tiles_of_those_that_are_posted_there(monkeypatch):
+    r, ranks = np.random.default_rng(3), np.zeros(1 << shingles.SKETCH_BITS, np.uint8)
+    sets = [np.unique(r.integers(0, 1 << 48, int(n), dtype=np.uint64)) for n in r.integers(1, 600, 90)]
+    kept, whole = [], anchors.Run(5, 0.7, ranks, banded=True)
+    for part in (sets[:40], sets[40:]):
+        run = anchors.Run(1, 0.7, ranks)
+        for s in part:
+            run.add(shingles.fingerprint(s), s)
+            whole.add(shingles.fingerprint(s), s)
+        kept.append(run.rows().column(1))
+    assert [len(x) for x in kept] == [1, 1]  # however many tiles there are
+    posted = {k: anchors.Postings([x.as_buffer()], tile=k) for k, x in zip(*(c.to_pylist() if n == 0 else c for n, c in enumerate(whole.rows().columns)))}
+    for wanted in (None, lambda h: h % np.uint64(3) == 0):
+        for size in (anchors.RUN, 1000):
+            monkeypatch.setattr(anchors, "RUN", size)
+            found: dict = {}
+            for b in anchors.dealt(iter(kept), 5, 0.7, wanted):
+                for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                    found.setdefault(k, []).append(x.as_buffer())
+            rows = lambda tiles: {(k, *x) for k, p in tiles.items() for x in zip(*(getattr(p, c).tolist() for c in ("h", "fp", "size", "place"))) if not wanted or wanted(np.uint64(x[0]))}
+            assert rows({k: anchors.Postings(x, tile=k) for k, x in found.items()}) == rows(posted)
+
+
+def test_tiles_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(history, "TILE", 10)
+    links = [(-1, i) for i in range(300)] + [(i, i + 1) for i in range(1000, 1500)]
+    pairs = history.tiled(spark.createDataFrame(links, "a long, b long"), 800).collect()
+    sizes = Counter(r.tile for r in pairs)
+    assert sorted((r.a, r.b) for r in pairs) == sorted(links) and len(sizes) <= 81 and max(sizes.values()) < 60
+
+
+def test_what_a_batch_asks_for_is_found_by_either_join(spark, monkeypatch):
+    rows, cols = corpus(4), "id long, at long, text string"
+    got = []
+    for most in (history.ASKED, 0):
+        monkeypatch.setattr(history, "ASKED", most)
+        h = history.History(spark, k=4, t=0.7).start(spark.createDataFrame([(i, -1, x) for i, x in rows[:60]], cols))
+        got.append({r.id for r in h.accept(spark.createDataFrame([(i, i, x) for i, x in rows[60:]], cols)).collect()})
+    assert got[0] == got[1] == {j for j, y in rows[60:] if any(i < j and alike(x, y, 4, 0.7) for i, x in rows)}
+
+
 def test_terms_are_those_of_brute_force(spark, monkeypatch):
     rows = [("Crème brûlée x_y 12", "T"), ("crème CRÈME", None), (None, ""), ("", "t t"), ("x " * 5000 + "é", "t"), ("crème brûlée x_y 12", "T")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "contents string, title string, term string").repartition(3)
